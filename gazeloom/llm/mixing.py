@@ -93,6 +93,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     among those that fit.
 
     doc_id, size, source_size, target, taken (words, whole copies)."""
+    ranked = _copies(docs, weights, most, seed, weight_col, passes)
+    return ranked.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 5) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; see mix(). Documents without words
+    take no part in the counts and stay once. Rows that share a doc_id are counted together:
+    each is repeated as often as the first of them."""
+    taken = _copies(docs, weights, most, seed, None, 3)
+    times = taken.filter("size > 0 and copies != 1").groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies"))
+    times = cut(times.withColumnRenamed("doc_id", "_id"), "copies")
+    out = docs.join(small(times), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def _copies(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, weight_col: str | None, passes: int) -> DataFrame:
     own = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     dice = _unit(F.lit(seed), F.col("doc_id"), F.coalesce("source", F.lit("")), F.col("source").isNull(), F.coalesce("text", F.lit("")))
     slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), dice.alias("_u"), own.alias("_own")), "sizes")
@@ -111,4 +127,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     ranked = cut(ranked.select("doc_id", "source", "size", "source_size", "target", "_whole", "_rank", "_u", F.lit(0).alias("_drawn")), "pareto")
     for _ in range(passes):
         ranked = _draw(ranked)
-    return ranked.select("doc_id", "size", "source_size", "target", ((F.col("_whole") + F.col("_drawn")) * F.col("size")).cast("long").alias("taken"))
+    return ranked.withColumn("copies", F.col("_whole") + F.col("_drawn"))
