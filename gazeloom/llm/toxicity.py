@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A word transducer reads words and emits symbols: insult, threat, target, negation, reported
-speech, quotation mark, other. Its insults and threats come from a short fixed list and from
-whole words and word beginnings that a bounded sample of labelled rows shows to be toxic. Three
+A word transducer reads words and emits symbols: insult, weak insult, threat, target, negation,
+reported speech, quotation mark, other. Its insults and threats come from a short fixed list and
+from whole words and word beginnings that a bounded sample of labelled rows ties to toxic rows,
+nearly always (insults) or more often than chance (weak insults). Three
 further transducers read symbols and mark what they find: negation marks insults and threats
 up to three words after it, reported speech those up to the end of the clause, a target those
 within the clause. They are composed into one machine, which runs over the clauses that hold
@@ -44,10 +45,10 @@ _ENDS = frozenset(".!?;:\n")
 _QUOTES = frozenset('"“”«»„')
 _LETTERS = re.compile(r"[^\W\d_]+")
 
-Symbol = str  # o other, i insult, h threat, t target, n negation, r report, q quotation mark
+Symbol = str  # o other, i insult, w weak insult, h threat, t target, n negation, r report, q quotation mark
 #: A deterministic transducer: (state, symbol read) -> (state, symbol emitted); state 0 first.
 Transducer = dict[tuple, tuple]
-_MARKS = tuple(a + b for a in "ih" for b in ("", "n", "r", "nr", "t", "nt", "rt", "nrt"))
+_MARKS = tuple(a + b for a in "ihw" for b in ("", "n", "r", "nr", "t", "nt", "rt", "nrt"))
 _SYMBOLS = ("o", "t", "n", "r", "q", *_MARKS)
 
 
@@ -57,7 +58,7 @@ def negation() -> Transducer:
     for left in range(4):
         for s in _SYMBOLS:
             to = 3 if s == "n" else max(0, left - 1)
-            out[left, s] = (to, s + "n" if s in "ih" and left else s)
+            out[left, s] = (to, s + "n" if s in "ihw" and left else s)
     return out
 
 
@@ -67,13 +68,13 @@ def report() -> Transducer:
     for inside in range(2):
         for s in _SYMBOLS:
             to = 1 if s == "r" else 1 - inside if s == "q" else inside
-            out[inside, s] = (to, s + "r" if s in ("i", "h", "in", "hn") and inside else s)
+            out[inside, s] = (to, s + "r" if s in ("i", "h", "w", "in", "hn", "wn") and inside else s)
     return out
 
 
 def target() -> Transducer:
     """State 1 once a target was read in the clause."""
-    return {(seen, s): (1 if s == "t" else seen, s + "t" if s[0] in "ih" and "t" not in s and seen else s) for seen in range(2) for s in _SYMBOLS}
+    return {(seen, s): (1 if s == "t" else seen, s + "t" if s[0] in "ihw" and "t" not in s and seen else s) for seen in range(2) for s in _SYMBOLS}
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
@@ -95,13 +96,15 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 
 GRAMMAR = compose(compose(negation(), report()), target())
 #: Kinds of matched clauses that the model weighs.
-KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat")
-_MOST = 4  # a kind counts up to so many clauses
+KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat", "weak insult")
+_MOST = 6  # a kind counts up to so many clauses
 
 
 def kind_of(mark: str) -> int | None:
     """The kind of an emitted insult or threat; None where it counts for nothing."""
     what, rest = mark[0], mark[1:]
+    if what == "w":
+        return None if "n" in rest or "r" in rest else 6
     if what == "h":
         return None if "n" in rest or "r" in rest else 5 if "t" in rest else 4
     return 2 if "n" in rest else 3 if "r" in rest else 1 if "t" in rest else 0
@@ -109,10 +112,10 @@ def kind_of(mark: str) -> int | None:
 
 @dataclass
 class Lexicon:
-    """Insult and threat words, and beginnings of insult words; all in lower case."""
+    """The symbols of insult and threat words, and of beginnings of words; in lower case."""
 
     words: dict[str, str] = field(default_factory=dict)
-    beginnings: frozenset[str] = frozenset()
+    beginnings: dict[str, str] = field(default_factory=dict)
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -123,11 +126,8 @@ class Lexicon:
         return found
 
     def symbol(self, word: str) -> Symbol:
-        if word in self.words:
-            return self.words[word]
-        if any(word[:n] in self.beginnings for n in _PREFIXES if len(word) >= n):
-            return "i"
-        return _OTHERS.get(word, "o")
+        found = {self.words.get(word), *(self.beginnings.get(word[:n]) for n in _PREFIXES if len(word) > n)}
+        return next((s for s in "ihw" if s in found), _OTHERS.get(word, "o"))
 
 
 _OTHERS = {**{w: "t" for w in TARGETS}, **{w: "n" for w in NEGATIONS}, **{w: "r" for w in REPORTS}, **{q: "q" for q in _QUOTES}}
@@ -156,26 +156,37 @@ def clauses(text: str, lexicon: Lexicon, automaton: ahocorasick.Automaton) -> np
         aimed = "t" in symbols
         for s in symbols:
             state, emitted = GRAMMAR[state, s]
-            if emitted[0] in "ih":
+            if emitted[0] in "ihw":
                 kinds.add(kind_of(emitted + "t" if aimed and "t" not in emitted else emitted))
         for k in kinds - {None}:
             counts[k] += 1
     return counts
 
 
-def features(text: str) -> set[str]:
-    """What the word transducer can learn from: words, and beginnings of longer words (with *)."""
-    words = set(_LETTERS.findall(text.lower()))
-    return words | {w[:n] + "*" for w in words for n in _PREFIXES if len(w) > n}
+def features(text: str) -> set[tuple[str, int]]:
+    """What the word transducer can learn from: words, and beginnings of longer words (with *),
+    each with a hash of the word before it."""
+    out, before = set(), 0
+    for word in _LETTERS.findall(text.lower()):
+        if word not in FIXED:
+            out.add((word, before))
+            out.update((word[:n] + "*", before) for n in _PREFIXES if len(word) > n)
+        before = zlib.crc32(word.encode())
+    return out
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
-    weights: np.ndarray  # intercept, then one for each kind
+    weights: np.ndarray
+
+    def score(self, counts: np.ndarray, length: int) -> float:
+        return 1 / (1 + math.exp(-float(np.clip(inputs(counts, length) @ self.weights, -30, 30))))
 
-    def score(self, counts: np.ndarray) -> float:
-        return 1 / (1 + math.exp(-float(self.weights[0] + np.minimum(counts, _MOST) @ self.weights[1:])))
+    def scorer(self):
+        """A function from a text to its score."""
+        automaton = self.lexicon.automaton()
+        return lambda text: self.score(clauses(text or "", self.lexicon, automaton), length_of(text or ""))
 
 
 def held_out(doc_id) -> F.Column:
@@ -192,33 +203,45 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
     return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "fit-rows")
 
 
-def _counts(wanted: frozenset[str] | None):
-    """Rows of the sample that hold each feature (all of them, or the wanted ones)."""
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each feature, word before it and text."""
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            own = list(features(text or ""))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in own], pa.string()), pa.array([c for _, c in own], pa.int64()), pa.array([zlib.crc32((text or "").encode())] * len(own), pa.int64())], names=["feature", "before", "text"])
+
+
+def _counts(wanted: frozenset[str]):
+    """In how many texts each wanted feature occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                own = features(text or "")
-                found.update(own if wanted is None else own & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
+                found.update({f for f, _ in features(text or "")} & wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
 
     return run
 
 
 def learn_lexicon(rows: DataFrame, least: int = 4) -> Lexicon:
     """Entries whose tie to toxic rows could not be chance among so many: a likelihood-ratio
-    statistic beyond 2 ln(entries) + 6, and a share of toxic rows of 0.8 or more."""
+    statistic beyond 2 ln(entries) + 6. Those with a share of toxic rows of 0.9 or more are
+    insults, those with at least three times the share of all rows weak insults. An entry's
+    toxic rows count only as far as they are different texts and have different words before
+    it, so that copies of a text, and a word that one text repeats, don't speak for themselves."""
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}  # two rows
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     words = dict(FIXED)
     if not n_toxic or not n_clean:
         return Lexicon(words)
-    toxic = cut(rows.filter("toxic = 1").select("text").mapInArrow(_counts(None), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("hits")).filter(F.col("hits") >= least), "fit-toxic")
+    seen = rows.filter("toxic = 1").select("text").mapInArrow(_occurrences, "feature string, before long, text long")
+    toxic = seen.groupBy("feature").agg(F.least(F.countDistinct("before"), F.countDistinct("text")).alias("hits"))
+    toxic = cut(toxic.filter(F.col("hits") >= least), "fit-toxic")
     tried = toxic.count()
     if not tried:
         return Lexicon(words)
-    # Only a share of toxic rows of 0.8 is kept, so the best entries by hits are enough to look at.
+    # What is kept occurs in many toxic rows, so the entries with most hits are enough to look at.
     best = {r[0]: r[1] for r in toxic.orderBy(F.desc("hits"), "feature").limit(50 * LEXICON_ROWS).collect()}
     clean = rows.filter("toxic = 0").select("text").mapInArrow(_counts(frozenset(best)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     misses = {r[0]: r[1] for r in clean.collect()}  # at most as many rows as best
@@ -228,37 +251,55 @@ def learn_lexicon(rows: DataFrame, least: int = 4) -> Lexicon:
         b = misses.get(entry, 0)
         share = a / (a + b)
         g2 = 2 * (a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0))
-        if share >= max(0.8, base) and g2 > bar:
-            kept.append((g2, entry))
-    kept = [e for _, e in sorted(kept, key=lambda x: (-x[0], x[1]))[:LEXICON_ROWS]]
-    beginnings = frozenset(e[:-1] for e in kept if e.endswith("*"))
-    for e in kept:
+        if share >= min(0.8, 3 * base) and g2 > bar:
+            kept.append((g2, entry, "i" if share >= 0.9 else "w"))
+    kept = sorted(kept, key=lambda x: (-x[0], x[1]))[:LEXICON_ROWS]
+    beginnings = {e[:-1]: symbol for _, e, symbol in kept if e.endswith("*")}
+    for _, e, symbol in kept:
         if not e.endswith("*"):
-            words.setdefault(e, "i")
+            words.setdefault(e, symbol)
     return Lexicon(words, beginnings)
 
 
+def inputs(counts: np.ndarray, length: float) -> np.ndarray:
+    """What the logistic model weighs: 1, for each kind whether it occurs, for each kind how
+    many more there are, and the text's length as a power of two."""
+    counts = np.minimum(counts, _MOST)
+    return np.concatenate([[1.0], np.minimum(counts, 1), np.maximum(counts - 1, 0), [length]])
+
+
+def length_of(text: str) -> int:
+    return len(text).bit_length()
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The lexicon and the weights, from at most so many labelled rows. Without rows of both
     labels the fixed words and fixed weights are used."""
     chosen = sample(docs, labels, rows)
     lexicon = learn_lexicon(chosen)
-    weights = np.array([-3.0, 4.0, 5.0, 1.0, 1.0, 1.0, 4.0])
+    prior = np.array([-3.0, *(4.0, 5.0, 0.5, 0.5, 0.5, 4.0, 1.0), *(1.0, 1.0, 0.0, 0.0, 0.0, 1.0, 1.0), 0.0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            codes = [int(sum(int(c) * (_MOST + 1) ** i for i, c in enumerate(np.minimum(clauses(t or "", lexicon, automaton), _MOST)))) for t in batch.column(0).to_pylist()]
+            codes = []
+            for text in batch.column(0).to_pylist():
+                code = length_of(text or "")
+                for c in np.minimum(clauses(text or "", lexicon, automaton), _MOST).tolist():
+                    code = code * (_MOST + 1) + c
+                codes.append(code)
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), batch.column(1)], names=["code", "toxic"])
 
-    patterns = chosen.mapInArrow(count, "code long, toxic int").groupBy("code", "toxic").count().collect()  # at most 2 * 5^6 rows
+    patterns = chosen.mapInArrow(count, "code long, toxic int").groupBy("code", "toxic").count().collect()  # at most `rows` rows
     if len({r[1] for r in patterns}) < 2:
-        return Model(lexicon, weights)
-    x = np.array([[1, *((r[0] // (_MOST + 1) ** i) % (_MOST + 1) for i in range(len(KINDS)))] for r in patterns], float)
-    y, n = np.array([r[1] for r in patterns], float), np.array([r[2] for r in patterns], float)
-    prior = weights.copy()
+        return Model(lexicon, prior)
+    x, size = [], _MOST + 1
+    for code, _, _ in patterns:
+        places = [code // size**i % size for i in range(len(KINDS))][::-1]
+        x.append(inputs(np.array(places), code // size ** len(KINDS)))
+    x, y, n = np.array(x), np.array([r[1] for r in patterns], float), np.array([r[2] for r in patterns], float)
     prior[0] = math.log((n @ y + 1) / (n @ (1 - y) + 1))
-    ridge = np.array([0.01, *[0.5] * len(KINDS)])
+    ridge = np.array([0.01, *[0.5] * (len(prior) - 1)])
     w = prior.copy()
     for _ in range(60):  # Newton steps on the penalised likelihood
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -274,9 +315,9 @@ SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 def _scores(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.lexicon.automaton()
+        scored = model.scorer()
         for batch in batches:
-            scores = [model.score(clauses(t or "", model.lexicon, automaton)) for t in batch.column(1).to_pylist()]
+            scores = [scored(t) for t in batch.column(1).to_pylist()]
             held = [d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -295,8 +336,8 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.lexicon.automaton()
+        scored = model.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([model.score(clauses(t or "", model.lexicon, automaton)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([scored(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
