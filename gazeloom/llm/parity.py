@@ -42,8 +42,10 @@ FIRST_BAND = 64
 WORDS_PER = 0.45
 #: Up to so many members, a bucket's sets are compared each with each.
 SMALL_BUCKET = 8
-#: Sketch words a task of the join holds, and sets a block holds, about.
-PART_WORDS, BLOCK_SETS, PAIRS_PER_GROUP = 1_500_000, 256, 1000
+#: About so many sketch words are in a part of the key space, shingles on a side of a block, and
+#: pairs with one center in a group.
+PART_WORDS, BLOCK_SHINGLES, CENTER_PAIRS, PAIRS_PER_GROUP = 1_500_000, 1_500_000, 256, 1000
+LEAST_PARTS = 12
 _U = np.uint64
 
 
@@ -369,7 +371,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(texts.mapInArrow(_base(n), "doc_id long, n_shingles long, set_id long"), "base")
     total = base.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(tasks, total * 6 // 10 // PART_WORDS)
+    parts = max(LEAST_PARTS, total * 6 // 10 // PART_WORDS)
     words = texts.mapInArrow(_words(n, percent, parts), _PARTS)
     matches = cut(words.groupBy("part").applyInArrow(_match, _MATCHES), "matches")
     passed = matches.groupBy("set_id", "band").agg(F.sum("found").alias("found"), F.first("least").alias("least"), F.sum("common").alias("common"))
@@ -381,7 +383,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFr
     sets = _fetch(texts.select("text"), cut(wanted, "wanted"), n)
     # A center's pairs are cut into groups of bounded size, each with the center's set.
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    spread = pairs.join(counts, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / F.lit(BLOCK_SETS))))
+    spread = pairs.join(counts, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / F.lit(CENTER_PAIRS))))
     n_pairs = pairs.count()
     groups = max(tasks, n_pairs // PAIRS_PER_GROUP)
     asked = spread.select(F.col("a").alias("center"), "chunk", F.col("b").alias("member"))
@@ -402,10 +404,11 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFr
     held = inside.join(open_.select("list", "first"), "list")
     joint = components(held.select(F.col("first").alias("a"), F.col("member").alias("b")), "joint")
     people = held.select("member", "comp").distinct().join(joint, F.col("member") == joint["id"], "left").select("member", "comp", F.coalesce("root", "member").alias("joint"))
+    people = people.join(sets.select(F.col("set_id").alias("member"), (F.octet_length("hashes") / 6).alias("size")), "member")
     people = cut(people, "people")
-    size = people.groupBy("joint", "comp").agg(F.count("*").alias("n"))
+    size = people.groupBy("joint", "comp").agg(F.sum("size").alias("n"))
     main = size.groupBy("joint").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = cut(main.withColumns({"right": F.ceil(F.col("all") / F.lit(BLOCK_SETS)), "left": F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK_SETS))}).filter("left > 0"), "main")
+    main = cut(main.withColumns({"right": F.ceil(F.col("all") / F.lit(BLOCK_SHINGLES)), "left": F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK_SHINGLES))}).filter("left > 0"), "main")
     told = people.join(main, "joint")
     turn = lambda c, k: F.pmod(F.xxhash64("member", F.lit(k)), F.col(c))
     odd = told.filter("comp != main").withColumn("i", turn("left", 1)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("right") - 1))).withColumn("odd", F.lit(True))
