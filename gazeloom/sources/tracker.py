@@ -20,7 +20,7 @@ def run_info(path: Column) -> dict[str, Column]:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of recordings in their order, a file at a time."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
     return lines.withColumns(run_info(F.col("path"))).select("subject", "run", "run_type", "path", F.col("line_no").cast("long").alias("line_no"), "value")
 
