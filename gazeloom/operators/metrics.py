@@ -56,14 +56,16 @@ def sections_to_score(df: DataFrame, keys: tuple[str, ...] = (*RUN, "section"),
 def evaluate_run(df: DataFrame, column: str = "aggregated") -> DataFrame:
     """One row a run with reports: numbers of sections and of sections by trial, and the scores
     without (_2) and with (_3) `mixed` over sections, and over sections by trial (_t2, _t3)."""
-    sections = sections_to_score(df, column=column)
-    trials = sections_to_score(df, (*TRIAL, "section"), column)
-    out = sections.groupBy(*RUN).agg(F.count("*").alias("n_sections"))
-    out = out.join(trials.groupBy(*RUN).agg(F.countDistinct("trial").alias("n_trials")), list(RUN), "left")
-    for rows, names in ((sections, ("_2", "_3")), (trials, ("_t2", "_t3"))):
-        for suffix in names:
-            out = out.join(scores(confusion(rows, RUN, exclude_mixed=suffix.endswith("2")), RUN, suffix).drop(f"n{suffix}"), list(RUN), "left")
-    return out
+    whole = sections_to_score(df, column=column).select(*RUN, F.lit(None).cast("long").alias("trial"), "reported", "inferred", F.lit("_").alias("_over"))
+    parts = sections_to_score(df, (*TRIAL, "section"), column).select(*RUN, "trial", "reported", "inferred", F.lit("_t").alias("_over"))
+    # Each row counts once with `mixed`, and once more without; all scores come from one count.
+    both = F.when(F.col("reported") == "mixed", F.array(F.lit("3"))).otherwise(F.array(F.lit("2"), F.lit("3")))
+    rows = whole.unionByName(parts).withColumn("_k", F.explode(both)).withColumn("_v", F.concat("_over", "_k"))
+    keys = (*RUN, "_v")
+    n = rows.filter("_k = '3'").groupBy(*RUN).agg(F.count_if(F.col("_over") == "_").alias("n_sections"), F.countDistinct("trial").alias("n_trials"))
+    each = scores(confusion(rows, keys), keys)
+    wide = each.groupBy(*RUN).agg(*[F.max(F.when(F.col("_v") == v, F.col(k))).alias(k + v) for v in ("_2", "_3", "_t2", "_t3") for k in ("accuracy", "f1_macro", "f1_weighted", "mcc")])
+    return n.join(wide, list(RUN), "left")
 
 
 def compare_configurations(frames: dict[str, DataFrame], column: str = "aggregated") -> DataFrame:
