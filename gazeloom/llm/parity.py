@@ -45,7 +45,8 @@ SMALL_BUCKET = 8
 #: About so many sketch words are in a part of the key space, shingles on a side of a block, and
 #: pairs with one center in a group.
 PART_WORDS, BLOCK_SHINGLES, CENTER_PAIRS, PAIRS_PER_GROUP = 1_500_000, 1_500_000, 256, 1000
-LEAST_PARTS = 12
+#: With fewer parts than a set has words, rows by set and part would grow faster than the input.
+LEAST_PARTS = 48
 _U = np.uint64
 
 
