@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the
-    session names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root) if _settable(spark) else None
-    return root
+_LOCAL: list[str] = []
 
 
-def _settable(spark: SparkSession) -> bool:
-    return spark.conf.isModifiable("spark.checkpoint.dir")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it. Only where it names
+    none, as in tests, a local one is made."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _LOCAL[0]
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -56,10 +55,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit words (multiply and shift)."""
     x = x.astype(np.uint64, copy=True)
@@ -97,8 +92,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte strings data[start:end], equal for equal strings. A
     polynomial over random byte values; spans are read from running sums, so the cost
-    doesn't depend on how many there are. The sums restart every 2^20 bytes' worth of
-    powers, which keeps the table of powers bounded."""
+    is in proportion to the data. The table of powers is as long as the longest data seen."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     n = len(data)

@@ -24,7 +24,7 @@ RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "obje
 NEVER = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "figcaption", "fieldset")
 BLOCKS = ("address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-HINTS = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "recommended", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "widget")
+HINTS = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "disqus", "consent", "cookie", "cookies", "disclaimer", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "recommended", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "widget")
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar")
 STOP_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was were which will with you "
@@ -32,13 +32,14 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces dans des du elle est et il je le les leur mais ne nous ou par pas plus pour qui sa ses son sont sur une vous "
     "als auch auf aus bei bin das dass dem den der des die ein eine einem einen einer es für hat ich im ist mit nach nicht oder sich sie sind so über um und von vor war wie wird zu zum zur".split()
 )
+#: In a name with one of these the hint is about what is beside the element (has-sidebar).
+AROUND = frozenset(("has", "with", "without", "no", "content", "main", "layout"))
 # Rules of pass one, after the published defaults of stop-word density classifiers.
 SHORT, LONG, MANY_LINKS, LOW_STOP, HIGH_STOP = 70, 200, 0.4, 0.10, 0.20
 
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?([a-zA-Z]+)|\b(hidden)(?=[\s=>]|$)|\b(aria-hidden)\s*=\s*["']?true""", re.I)
-_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -56,7 +57,12 @@ def _hinted(attributes: str) -> bool:
     for role, hidden, aria in _ROLE.findall(attributes):
         if hidden or aria or role.lower() in ROLES:
             return True
-    return any(part in HINTS for found in _NAMES.findall(attributes) for name in "".join(found).split() for part in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+    for found in _NAMES.findall(attributes):
+        for name in "".join(found).split():
+            parts = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+            if not AROUND & set(parts) and any(p in HINTS for p in parts):
+                return True
+    return False
 
 
 def blocks_of(page: str) -> list[Block]:

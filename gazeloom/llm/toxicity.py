@@ -42,6 +42,7 @@ REPORTS = "said says wrote writes called calls reported claimed claims quoted ac
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»„]|[.!?;:\n]")
 _ENDS = frozenset(".!?;:\n")
+_END = re.compile(r"[.!?;:\n]")
 _QUOTES = frozenset('"“”«»„')
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -147,8 +148,8 @@ def clauses(text: str, lexicon: Lexicon, automaton: ahocorasick.Automaton) -> np
             continue
         if entry not in lexicon.beginnings and end + 1 < len(low) and low[end + 1].isalpha():
             continue
-        left = max(low.rfind(mark, 0, start) for mark in _ENDS) + 1
-        right = min((at for mark in _ENDS if (at := low.find(mark, end + 1)) >= 0), default=len(low))
+        left = max(done, *(low.rfind(mark, max(done, 0), start) for mark in _ENDS)) + 1
+        right = m.start() if (m := _END.search(low, end + 1)) else len(low)
         done = right
         state, kinds = 0, set()
         # A clause without marks can be as long as the text: the grammar reads it once.

@@ -353,6 +353,7 @@ def test_html():
     assert html_text.main_text(page) == "\n".join(["A & B title", LONG.strip() + " and é more", "Short one.", LONG.strip()])
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>only <a>links</a></nav>") == ""
     assert html_text.main_text("<p>" + LONG + "</p><p>tiny</p><div><a href=x>" + LONG + "</a></div>") == LONG.strip() + "\ntiny"
+    assert html_text.main_text(f'<div class="page has-sidebar"><p>{LONG}</p><div class="sidebar"><p>{LONG}</p></div></div>') == LONG.strip()
     assert html_text.main_text("<!-- never closed <p>" + LONG) == ""
     assert html_text.main_text("<body>" + "<p>x y z</p>" * 3).count("x y z") == 3
 
