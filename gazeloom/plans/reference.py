@@ -60,10 +60,16 @@ def _reported(spark: SparkSession, d: str) -> DataFrame:
 # --- A: sources and sinks
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tracker_lines(spark: SparkSession, d: str) -> DataFrame:
     """Tracker text as a recording of the bound samples would have it: (subject, run, line_no,
     value)."""
-    s = samples(spark, d)
+    s = _written(samples(spark, d))
     i = F.col("sample_idx")
     t = (1000 + i * 4).cast("string")
     at = lambda k: (1000 + i * 10 + k).alias("line_no")
@@ -86,9 +92,7 @@ def tracker_lines(spark: SparkSession, d: str) -> DataFrame:
         out = out.union(runs.select(*RUN, F.lit(k).cast("long"), F.lit(text)))
     for k, text in enumerate(("garbage line", "12x\t1.0\t2.0\t3.0", "99\tbad\t2.0\t3.0", "END\t5\tSAMPLES", "5\t1.0\t2.0\t3.0\t...")):
         out = out.union(runs.select(*RUN, (2000 + F.col("n") * 10 + k).cast("long"), F.lit(text)))
-    path = _folder(spark)  # as files would be: written once, read by each part of the parser
-    out.write.parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    return _written(out)  # as files would be: written once, read by each part of the parser
 
 
 @query(f"SELECT {KEY}, run_us + 1000000 AS t_us, x, y, diameter, trial, type, image1, (1 + (sample_idx // 25) % 8)::INTEGER AS fixpoint1, fixpoint2, image1 AS percept, fixation, saccade, blink FROM g")

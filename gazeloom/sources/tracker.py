@@ -34,11 +34,11 @@ def _parts(lines: DataFrame) -> DataFrame:
 
 def _body(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Header and body lines: the body runs from the first SYNCTIME to the first END after it."""
-    parts = _parts(lines)
-    begin = parts.filter(F.contains("value", F.lit("SYNCTIME")) & ~F.contains("value", F.lit("GAZE_COORDS"))).groupBy(*RUN).agg(F.min("line_no").alias("_begin"))
-    placed = parts.join(begin, list(RUN), "left")
-    end = placed.filter((F.col("_kind") == "END") & (F.col("line_no") > F.col("_begin"))).groupBy(*RUN).agg(F.min("line_no").alias("_end"))
-    placed = placed.join(end, list(RUN), "left")
+    whole = Window.partitionBy(*RUN)
+    synced = F.contains("value", F.lit("SYNCTIME")) & ~F.contains("value", F.lit("GAZE_COORDS"))
+    placed = _parts(lines).withColumn("_begin", F.min(F.when(synced, F.col("line_no"))).over(whole))
+    ends = (F.col("_kind") == "END") & (F.col("line_no") > F.col("_begin"))
+    placed = placed.withColumn("_end", F.min(F.when(ends, F.col("line_no"))).over(whole))
     header = placed.filter(F.col("_begin").isNull() | (F.col("line_no") < F.col("_begin")))
     body = placed.filter((F.col("line_no") > F.col("_begin")) & (F.col("_end").isNull() | (F.col("line_no") < F.col("_end"))))
     return header, body
