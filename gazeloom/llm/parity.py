@@ -150,7 +150,7 @@ def _base(n: int):
 _PARTS = "part int, keys binary, who binary, sets binary, bands binary, sizes binary, least binary"
 
 
-def _words(n: int, percent: int, parts: int, most: int = 3_000_000):
+def _words(n: int, percent: int, parts: int, most: int = 1_500_000):
     """Sketch words by part of the key space, packed: 4 bytes of the key and 2 of the set's
     place among the sets of the row."""
 

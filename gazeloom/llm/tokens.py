@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from .common import span_hashes, text_buffer
 
 #: Most pieces a worker remembers (about 20 bytes each).
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 1_500_000
 _JOINABLE = re.compile(r" [A-Za-z](?:.*\S)?\Z", re.S).match
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
@@ -68,7 +68,7 @@ class PieceEncoder:
     """Keeps an open-addressing table from a piece's hash to its ids, probed for all pieces of
     a batch at once."""
 
-    BITS = 23
+    BITS = 22
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -185,7 +185,7 @@ def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray
     return np.insert(ids, offs[1:], np.uint16(end_id)), offs + np.arange(len(offs))
 
 
-def text_slices(batch: pa.RecordBatch, column: int, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about so many bytes of text each, at least one row."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .tokens import text_slices
 
 #: Labelled rows used for fitting at most, and learned entries kept at most.
 FIT_ROWS, LEXICON_ROWS = 8000, 2000
@@ -317,10 +318,10 @@ SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 def _scores(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = model.scorer()
-        for batch in batches:
-            scores = [scored(t) for t in batch.column(1).to_pylist()]
-            held = [d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+        for rows in (rows for batch in batches for rows in text_slices(batch, 1)):
+            scores = [scored(t) for t in rows.column(1).to_pylist()]
+            held = [d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d in rows.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(held), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
@@ -338,7 +339,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = model.scorer()
-        for batch in batches:
-            yield batch.filter(pa.array([scored(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        for rows in (rows for batch in batches for rows in text_slices(batch, at)):
+            yield rows.filter(pa.array([scored(t) < threshold for t in rows.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
