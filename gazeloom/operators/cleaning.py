@@ -1,4 +1,8 @@
-"""Cleaning of sample tables: event flags, masks, outliers, interpolation, centring, trials."""
+"""Cleaning of sample tables: event flags, masks, outliers, interpolation, centring, trials.
+
+Scalars of a run or trial are taken over windows of the partitioning that the steps before left, so
+a chain of steps shuffles its samples once and reads them once.
+"""
 
 from __future__ import annotations
 
@@ -63,9 +67,9 @@ def remove_off_screen(df: DataFrame, parameters: DataFrame, width: float = 1920,
 
 def remove_diameter_outliers(df: DataFrame, deviations: float = 3.0) -> DataFrame:
     """Diameters beyond the run's median by so many population deviations become missing."""
-    per_run = df.groupBy(*RUN).agg(F.median("diameter").alias("_m"), F.stddev_pop("diameter").alias("_s"))
-    d = F.col("diameter")
-    return df.join(per_run, list(RUN)).withColumn("diameter", F.when(F.abs(d - F.col("_m")) <= deviations * F.col("_s"), d)).drop("_m", "_s")
+    d, run = F.col("diameter"), Window.partitionBy(*RUN)
+    out = df.withColumns({"_m": F.median("diameter").over(run), "_s": F.stddev_pop("diameter").over(run)})
+    return out.withColumn("diameter", F.when(F.abs(d - F.col("_m")) <= deviations * F.col("_s"), d)).drop("_m", "_s")
 
 
 def interpolate(df: DataFrame, columns: tuple[str, ...] = ("x", "y", "diameter")) -> DataFrame:
@@ -129,9 +133,13 @@ def centroid(df: DataFrame, threshold: float) -> DataFrame:
 def align_to_center(df: DataFrame, threshold: float, center: tuple[float, float] = (960.0, 540.0)) -> DataFrame:
     """Shift x and y so that the centroid of fixation samples is the centre. Runs without one
     stay."""
-    c = centroid(df.filter("fixation = 1"), threshold)
-    shift = lambda v, to, at: v + F.coalesce(F.lit(to) - at, F.lit(0.0))
-    return df.join(c, list(RUN), "left").withColumns({"x": shift(F.col("x"), center[0], F.col("cx")), "y": shift(F.col("y"), center[1], F.col("cy"))}).drop("cx", "cy")
+    x, y, run = F.col("x"), F.col("y"), Window.partitionBy(*RUN)
+    used = (F.col("fixation") == 1) & x.isNotNull() & y.isNotNull()
+    out = df.withColumns({"_mx": F.avg(F.when(used, x)).over(run), "_my": F.avg(F.when(used, y)).over(run)})
+    near = used & ((x - F.col("_mx")) ** 2 + (y - F.col("_my")) ** 2 < threshold**2)
+    out = out.withColumns({"_cx": F.avg(F.when(near, x)).over(run), "_cy": F.avg(F.when(near, y)).over(run)})
+    shift = lambda v, to, at: v + F.coalesce(F.lit(to) - F.col(at), F.lit(0.0))
+    return out.withColumns({"x": shift(x, center[0], "_cx"), "y": shift(y, center[1], "_cy")}).drop("_mx", "_my", "_cx", "_cy")
 
 
 def alignment_threshold(fixation_distance: float = 56.0) -> float:
@@ -142,8 +150,8 @@ def alignment_threshold(fixation_distance: float = 56.0) -> float:
 def exclude_trials(df: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Without the trials whose share of blinks is above the threshold; samples outside trials
     stay."""
-    bad = df.groupBy(*TRIAL).agg(F.avg((F.col("blink") == 1).cast("double")).alias("_share")).filter(F.col("_share") > threshold)
-    return df.join(bad.select(*TRIAL), list(TRIAL), "left_anti").select(*df.columns)
+    share = F.avg((F.col("blink") == 1).cast("double")).over(Window.partitionBy(*TRIAL))
+    return df.withColumn("_share", share).filter(F.col("trial").isNull() | (F.col("_share") <= threshold)).drop("_share")
 
 
 def missing_data(df: DataFrame, columns: tuple[str, ...] = ("x", "y"), threshold: float = 0.3) -> DataFrame:

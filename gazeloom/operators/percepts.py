@@ -67,8 +67,8 @@ def aggregate_sections(df: DataFrame, column: str, method: str = "mode", skip_pe
     make = {"mode": lambda v: F.mode(v, True), "mean": F.avg, "median": F.median}.get(method)
     if make is None:
         raise ValueError(f"unknown method {method}")
-    per = df.withColumn("_v", value).groupBy(*RUN, "section").agg(make(F.col("_v")).alias(name))
-    return df.drop(name).join(per, [*RUN, "section"])
+    whole = Window.partitionBy(*RUN, "section")
+    return df.withColumn("_v", value).withColumn(name, make(F.col("_v")).over(whole)).drop("_v")
 
 
 def labeled(samples: DataFrame, parameters: DataFrame) -> DataFrame:
