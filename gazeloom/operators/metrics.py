@@ -77,6 +77,25 @@ def compare_configurations(frames: dict[str, DataFrame], column: str = "aggregat
     return scores(confusion(out, ("config", *RUN), exclude_mixed=True), ("config", *RUN)).drop("n", "f1_weighted")
 
 
+def compare_columns(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(config, subject, run, accuracy, f1_macro, mcc) of section labels that are columns of one
+    frame, each its own configuration; the samples are read once."""
+    rows = df.filter((F.col("type") == "rivalry") & F.col("reported").isNotNull())
+    first = [F.min(F.when(F.col(c).isNotNull(), F.struct("run_us", F.col(c).alias("v"))))["v"].alias(c) for c in columns]
+    sections = rows.groupBy(*RUN, "section").agg(F.mode("reported", True).alias("reported"), *first)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.col(c).alias("inferred")) for c in columns]))
+    out = sections.select(*RUN, "reported", each.alias("_c")).select("_c.config", *RUN, "reported", "_c.inferred")
+    return scores(confusion(out, ("config", *RUN), exclude_mixed=True), ("config", *RUN)).drop("n", "f1_weighted")
+
+
+def configurations_by_subject(runs: DataFrame, columns: tuple[str, ...], baseline: str) -> DataFrame:
+    """A row a subject with the mean accuracy of each configuration, and (delta_) its difference
+    from the baseline's."""
+    mean = {c: F.avg(F.when(F.col("config") == c, F.col("accuracy"))) for c in columns}
+    out = runs.filter("accuracy is not null").groupBy("subject").agg(*[m.alias(c) for c, m in mean.items()])
+    return out.withColumns({f"delta_{c}": F.col(c) - F.col(baseline) for c in columns if c != baseline})
+
+
 def configuration_summary(runs: DataFrame, baseline: str) -> DataFrame:
     """Mean and sample deviation of each score by configuration, and the accuracy's difference from
     the baseline's."""

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.windows import RUN, TRIAL, changed, last_known, mirrored, moving_sums, run_order, running, trial_order
 
+#: The pipelines of `pipelines` and the sample labels whose modes they take.
+PIPELINES = {"baseline": "percept", "no_jumps": "percept", "smoothed": "_s", "ratio": "_r0", "ratio_smoothed": "_s2"}
+
 
 def distances(df: DataFrame, parameters: DataFrame, center: tuple[float, float] = (960.0, 540.0), degrees: float | None = None) -> DataFrame:
     """d1, d2 (to the two fixation points, back-filled by the next known id; ids without a
@@ -95,6 +98,21 @@ def smooth(df: DataFrame, column: str, size: int, method: str = "uniform", thres
     return numbered.join(out, [*keys, "_at"]).drop("_at")
 
 
+def pipelines(df: DataFrame, margin_us: int = 50_000, size: int = 150, delta: float = 0.05, scope: str = "trial") -> DataFrame:
+    """The modal label of each sample's section by the five reconstruction pipelines, a column each:
+    baseline (nearest point), no_jumps (without samples near section starts), smoothed (and by the
+    median over `size` samples), ratio (log-ratio beyond 0), ratio_smoothed (beyond 0.2, smoothed).
+    All but the baseline leave out samples near section starts."""
+    out = mark_peri_jump(df, margin_us, scope)
+    ratio = lambda tau: L.by_ratio(F.col("d1"), F.col("d2"), F.col("image1"), tau)
+    out = out.withColumns({"_r0": ratio(0.0), "_r2": ratio(0.2)})
+    out = smooth(out, "percept", size, "median", delta=delta, name="_s")
+    out = smooth(out, "_r2", size, "median", delta=delta, name="_s2")
+    for name, column in PIPELINES.items():
+        out = aggregate_sections(out, column, skip_peri_jump=name != "baseline", name=name)
+    return out.drop("_r0", "_r2", "_s", "_s2")
+
+
 def grid_search(df: DataFrame, true: str, inferred: str, windows: tuple[int, ...], deltas: tuple[float, ...], threshold: float = 0.5) -> DataFrame:
     """(subject, run, size, delta, mismatches) of the best uniform window and dead band: fewest
     disagreements, then the smallest window, then the first delta. The running sum is made

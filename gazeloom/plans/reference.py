@@ -628,6 +628,65 @@ def f7_configuration_summary(spark, d):
     return out.select("config", "n_runs", *[F.round(c, 5).alias(c) for c in ("mean_accuracy", "std_accuracy", "mean_mcc", "delta_accuracy")])
 
 
+def _median_sql(name: str, source: str, column: str, size: int) -> str:
+    """CTEs {name}(subject, run, run_us, label): the column's run smoothed by its upper median, the
+    edges reflected."""
+    half = size // 2
+    return f"""
+{name}_v AS (SELECT {KEY}, run_us, row_number() OVER (PARTITION BY {KEY} ORDER BY run_us) - 1 AS k, count(*) OVER (PARTITION BY {KEY}) AS n,
+  CASE {column} WHEN 'house' THEN 1.0 WHEN 'face' THEN 0.0 ELSE 0.5 END::DOUBLE AS v FROM {source}),
+{name}_m AS (SELECT * FROM (SELECT {KEY}, run_us, unnest([2 * n * t + k, 2 * n * t - 1 - k]) AS k, n, v FROM {name}_v, (SELECT unnest(range(-{size}, {size} + 1)) AS t) WHERE abs(t) <= {half} // n + 1) WHERE k >= -{half} AND k < n + {half}),
+{name}_w AS (SELECT {KEY}, run_us, k, n, list_sort(list(v) OVER (PARTITION BY {KEY} ORDER BY k ROWS BETWEEN {half} PRECEDING AND {size - half - 1} FOLLOWING))[{half + 1}] AS s FROM {name}_m),
+{name} AS (SELECT {KEY}, run_us, CASE WHEN s >= 0.55 THEN 'house' WHEN s <= 0.45 THEN 'face' ELSE 'mixed' END AS label FROM {name}_w WHERE k >= 0 AND k < n)"""
+
+
+def _ratio_sql(tau: float) -> str:
+    return f"CASE WHEN r < -{tau}::DOUBLE THEN image1 WHEN r > {tau}::DOUBLE THEN CASE WHEN image1 = 'house' THEN 'face' ELSE 'house' END ELSE 'mixed' END"
+
+
+_FIVE = f"""
+ratios AS (SELECT *, CASE WHEN d1 IS NOT NULL AND d2 IS NOT NULL THEN ln(greatest(d1, 1e-6) / greatest(d2, 1e-6)) END AS r FROM labeled),
+kinds AS (SELECT l.*, {_ratio_sql(0.0)} AS r0, {_ratio_sql(0.2)} AS r2,
+  EXISTS (SELECT 1 FROM starts s WHERE s.subject = l.subject AND s.run = l.run AND s.trial = l.trial AND abs(s.start - l.trial_us) <= 50000) AS peri FROM ratios l),"""
+_FIVE_LABELS = f"""
+five AS (
+  SELECT {KEY}, section, 'baseline' AS config, percept AS label FROM kinds
+  UNION ALL SELECT {KEY}, section, 'no_jumps', percept FROM kinds WHERE NOT peri
+  UNION ALL SELECT {KEY}, section, 'smoothed', c.label FROM kinds JOIN sc c USING ({KEY}, run_us) WHERE NOT peri
+  UNION ALL SELECT {KEY}, section, 'ratio', r0 FROM kinds WHERE NOT peri
+  UNION ALL SELECT {KEY}, section, 'ratio_smoothed', e.label FROM kinds JOIN se e USING ({KEY}, run_us) WHERE NOT peri),
+five_modes AS (SELECT config, {KEY}, section, label AS inferred, row_number() OVER (PARTITION BY config, {KEY}, section ORDER BY count(*) DESC, label) AS place FROM five GROUP BY config, {KEY}, section, label),
+five_sections AS (SELECT f.config, {KEY}, section, m.reported, f.inferred FROM sec_mode m JOIN five_modes f USING ({KEY}, section) WHERE f.place = 1)"""
+_PIPELINES = (LABELED, REPORTS, _INSIDE, _SECTION_ROWS, _STARTS, _FIVE.strip().rstrip(","), _median_sql("sc", "kinds", "percept", 150), _median_sql("se", "kinds", "r2", 150), _FIVE_LABELS, _metrics_sql("pm", "five_sections", "reported <> 'mixed'", "config, subject, run"))
+
+
+def _pipelines(spark, d):
+    return M.compare_columns(P.pipelines(_reported(spark, d)), tuple(P.PIPELINES)).withColumns(r6("accuracy", "f1_macro", "mcc"))
+
+
+@query("SELECT config, subject, run, accuracy, f1_macro, mcc FROM pm", *_PIPELINES)
+def f7_compare_pipelines(spark, d):
+    """The reference's five pipelines with its parameters, all report runs."""
+    return _pipelines(spark, d)
+
+
+@query("""SELECT config, count(accuracy)::BIGINT AS n_runs, round(avg(accuracy), 5) AS mean_accuracy, round(stddev(accuracy), 5) AS std_accuracy, round(avg(f1_macro), 5) AS mean_f1_macro, round(stddev(f1_macro), 5) AS std_f1_macro,
+  round(avg(mcc), 5) AS mean_mcc, round(stddev(mcc), 5) AS std_mcc, round(avg(accuracy) - (SELECT avg(accuracy) FROM pm WHERE config = 'baseline'), 5) AS delta_accuracy FROM pm GROUP BY config""", *_PIPELINES)
+def f7_pipeline_summary(spark, d):
+    out = M.configuration_summary(_pipelines(spark, d), "baseline")
+    return out.select("config", "n_runs", *[F.round(c, 5).alias(c) for c in out.columns if c not in ("config", "n_runs")])
+
+
+_BY_SUBJECT = ", ".join(f"avg(accuracy) FILTER (config = '{c}') AS {c}" for c in P.PIPELINES)
+_BY_SUBJECT_OUT = ", ".join([f"round({c}, 5) AS {c}" for c in P.PIPELINES] + [f"round({c} - baseline, 5) AS delta_{c}" for c in P.PIPELINES if c != "baseline"])
+
+
+@query(f"SELECT subject, {_BY_SUBJECT_OUT} FROM (SELECT subject, {_BY_SUBJECT} FROM pm WHERE accuracy IS NOT NULL GROUP BY subject)", *_PIPELINES)
+def f7_pipelines_by_subject(spark, d):
+    out = M.configurations_by_subject(_pipelines(spark, d), tuple(P.PIPELINES), "baseline")
+    return out.select("subject", *[F.round(c, 5).alias(c) for c in out.columns if c != "subject"])
+
+
 # --- G: events
 
 _OFFSETS = "offsets AS (SELECT subject, run, trial, (28.75 + 140.0 * (dense_rank() OVER (PARTITION BY subject, run ORDER BY trial) - 1))::DOUBLE AS off FROM (SELECT DISTINCT subject, run, trial FROM g WHERE (subject + trial) % 4 <> 0))"
