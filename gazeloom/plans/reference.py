@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.windows import RUN, TRIAL
+from ..operators import batch as B
 from ..operators import cleaning as C
 from ..operators import events as E
 from ..operators import joins as J
@@ -166,6 +167,15 @@ def a9_load_runs(spark, d):
     return back.groupBy(*RUN, "run_type").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"), F.count("y").alias("n_y"))
 
 
+@query(f"SELECT {KEY}, run_type, count(*)::BIGINT AS n, round(sum(x), 3) AS sum_x, count(y)::BIGINT AS n_y FROM g GROUP BY ALL")
+def a9_load_all_runs(spark, d):
+    path = _folder(spark)
+    T.write_runs(samples(spark, d).drop("run_type"), path, "csv")
+    schema = "sample_idx long, run_us long, trial long, trial_us long, x double, y double, diameter double, blink int, saccade int, fixation int, fixpoint1 int, fixpoint2 int, image1 string, type string, subject long, run long"
+    back = T.read_runs(spark, path, schema, "csv", required=("trial", "x", "y"))
+    return back.groupBy(*RUN, "run_type").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"), F.count("y").alias("n_y"))
+
+
 @query(f"SELECT {KEYT}, percept, onset_us, duration_us FROM reports", REPORTS)
 def a10_latest_reports(spark, d):
     r = reports(spark, d)
@@ -195,6 +205,13 @@ def a13_subject_batch(spark, d):
     return P.labeled(s, C.parameters_as_of(s, stimuli(spark, d))).groupBy(*RUN).agg(F.max("section").alias("n_sections"), F.count("*").alias("n"))
 
 
+@query(f"SELECT {KEY}, max(section)::BIGINT AS n_sections, count(*)::BIGINT AS n FROM labeled GROUP BY ALL", LABELED)
+def a13_all_subjects(spark, d):
+    """All subjects through the batch; the samples stand for preprocessed ones."""
+    out = B.run_batch(samples(spark, d), stimuli(spark, d), reconstruct_only=True, margin_us=None)["percepts"]
+    return out.groupBy(*RUN).agg(F.max("section").alias("n_sections"), F.count("*").alias("n"))
+
+
 # --- B: cleaning
 
 _W = "WINDOW w AS (PARTITION BY subject, run ORDER BY run_us)"

@@ -5,9 +5,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gazeloom.operators import metrics as M
+from gazeloom.operators import batch as B
 from gazeloom.operators import percepts as P
-from gazeloom.plans import reference
+from gazeloom.plans import bind, reference
+from gazeloom.sources import tables as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +51,35 @@ def test_all_five_pipelines_are_scored(spark):
     by_subject = against_sql(spark, "f7_pipelines_by_subject")
     assert len(by_subject) == len({r["subject"] for r in by_subject})
     assert {r["config"] for r in against_sql(spark, "f7_pipeline_summary")} == set(P.PIPELINES)
+
+
+@pytest.mark.parametrize("name", ["a9_load_all_runs", "a13_all_subjects"])
+def test_all_subjects_are_loaded_and_labelled(spark, name):
+    assert {r["subject"] for r in against_sql(spark, name)} == set(range(11, 21))
+
+
+def test_subject_filter_of_loaded_runs(spark, tmp_path):
+    df = spark.createDataFrame([(s, r, float(s)) for s in (1, 2, 3) for r in (1, 2)], "subject long, run long, x double")
+    T.write_runs(df, str(tmp_path / "runs"))
+    some = T.read_runs(spark, str(tmp_path / "runs"), "x double, subject long, run long", subjects=[1, 3])
+    assert sorted((r["subject"], r["run"], r["x"]) for r in some.collect()) == [(1, 1, 1.0), (1, 2, 1.0), (3, 1, 3.0), (3, 2, 3.0)]
+
+
+def test_batch_stages(spark):
+    s, p, r = (f(spark, SF) for f in (bind.samples, bind.stimuli, bind.reports))
+    keys = lambda df: {x[0] for x in df.select("subject").distinct().collect()}
+    loose = {"threshold": 2.0, "coalesce_us": 9_000, "blink_padding": 1, "share": 1.0}
+    everything = B.run_batch(s, p, r, [12, 14], evaluate=True, events=True, cleaning=loose)
+    assert list(everything) == ["preprocessed", "percepts", "scores", "events", "switch_events"]
+    assert all(keys(df) == {12, 14} for df in everything.values())
+    assert everything["switch_events"].filter("duration <> 0").isEmpty() and not everything["events"].filter("duration > 0").isEmpty()
+    kinds = {(x["run"] % 2, x["trial_type"].split("_")[0]) for x in everything["events"].collect()}
+    assert kinds == {(1, "report"), (0, "no")}
+    assert list(B.run_batch(s, p, preprocess_only=True)) == ["preprocessed"]
+    only = B.run_batch(s, p, reconstruct_only=True)
+    assert list(only) == ["percepts"] and only["percepts"].count() == s.count()
+    assert list(B.run_batch(s, p, preprocess_only=True, reconstruct_only=True)) == []
+    given = B.run_batch(s, p, r, [12], preprocess_only=True, reconstruct_only=True, events=True, percepts=only["percepts"])
+    assert list(given) == ["events", "switch_events"] and keys(given["events"]) == {12}
+    with pytest.raises(ValueError):
+        B.run_batch(s, p, r, preprocess_only=True, events=True)
