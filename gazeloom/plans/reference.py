@@ -750,6 +750,18 @@ def g3_collapse_to_epochs(spark, d):
     return E.collapse_to_epochs(s, "aggregated", E.trial_offsets(_some(samples(spark, d))), "no_report")
 
 
+
+@query(f"SELECT {KEYT}, off AS \"offset\" FROM offsets", _ALL_OFFSETS)
+def g1_all_trial_offsets(spark, d):
+    return E.trial_offsets(samples(spark, d))
+
+
+@query(f"SELECT {KEYT}, onset, duration, trial_type FROM events_", LABELED, _ALL_OFFSETS, _epochs_sql("ep", "labeled", "aggregated"), _COLLAPSED)
+def g3_collapse_all_epochs(spark, d):
+    s = _labeled(spark, d)
+    return E.collapse_to_epochs(s, "aggregated", E.trial_offsets(s), "no_report")
+
+
 _MERGED = """
 ordered AS (SELECT *, row_number() OVER (PARTITION BY subject, run ORDER BY onset, duration, trial_type) AS k FROM events_),
 fold AS (

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazeloom.operators import batch as B
+from gazeloom.operators import events as E
 from gazeloom.operators import percepts as P
 from gazeloom.plans import bind, reference
 from gazeloom.sources import tables as T
@@ -83,3 +84,19 @@ def test_batch_stages(spark):
     assert list(given) == ["events", "switch_events"] and keys(given["events"]) == {12}
     with pytest.raises(ValueError):
         B.run_batch(s, p, r, preprocess_only=True, events=True)
+
+
+def test_every_trial_has_an_offset_and_its_own_onset(spark):
+    trials = {tuple(r) for r in bind.samples(spark, SF).select("subject", "run", "trial").distinct().collect()}
+    offsets = against_sql(spark, "g1_all_trial_offsets")
+    assert {(r["subject"], r["run"], r["trial"]) for r in offsets} == trials
+    epochs = against_sql(spark, "g3_collapse_all_epochs")
+    assert {(r["subject"], r["run"], r["trial"]) for r in epochs} == trials
+    assert all(r["onset"] >= 28.7 for r in epochs)
+
+
+def test_onsets_with_gaps_in_trial_numbers(spark):
+    data = [(1, 1, t, 4000 * i, "rivalry", "house" if i < 50 else "face") for t in (2, 5, 9) for i in range(101)]
+    df = spark.createDataFrame(data, "subject long, run long, trial long, trial_us long, type string, aggregated string")
+    epochs = E.collapse_to_epochs(df, "aggregated", E.trial_offsets(df), "no_report").orderBy("trial", "onset").collect()
+    assert [(r["trial"], r["onset"], r["duration"]) for r in epochs] == [(2, 28.8, 0.2), (2, 29.0, 0.2), (5, 168.8, 0.2), (5, 169.0, 0.2), (9, 308.8, 0.2), (9, 309.0, 0.2)]
