@@ -534,6 +534,38 @@ def d11_grid_search(spark, d):
     return P.grid_search(_labeled(spark, d), "aggregated", "percept3", (5, 8, 11), (0.2, 0.05, 0.1))
 
 
+def _full_grid_sql(smoothed: str) -> str:
+    """CTE place: the reference's 724 combinations by run; smoothed from the sums a (values), z
+    (zeros) and o (values under one) of a window of `size`."""
+    return f"""
+series AS (SELECT {KEY}, row_number() OVER (PARTITION BY {KEY} ORDER BY run_us) - 1 AS k, count(*) OVER (PARTITION BY {KEY}) AS n,
+  CASE percept3 WHEN 'house' THEN 1.0 WHEN 'face' THEN 0.0 ELSE 0.5 END::DOUBLE AS v, CASE aggregated WHEN 'house' THEN 1.0 WHEN 'face' THEN 0.0 ELSE 0.5 END::DOUBLE AS t FROM labeled),
+turns AS (SELECT *, unnest(range(-(1001 // n + 1), 1001 // n + 2)) AS z FROM series),
+spread AS (SELECT {KEY}, unnest([2 * n * z + k, 2 * n * z - 1 - k]) AS k, n, v, t FROM turns),
+prefix AS MATERIALIZED (SELECT {KEY}, (subject * 1000 + run) * 1000000000 + k AS pos, k, n, t, sum(v) OVER w AS a, count(*) FILTER (v = 0) OVER w AS z, count(*) FILTER (v < 1) OVER w AS o FROM spread WHERE k >= -1001 AND k < n + 1000 WINDOW w AS (PARTITION BY {KEY} ORDER BY k)),
+sizes AS (SELECT unnest(range(200, 2001, 10)) AS size),
+moved AS (SELECT m.subject, m.run, m.t, size, p.a - q.a AS a, p.z - q.z AS z, p.o - q.o AS o FROM (SELECT *, pos + size - size // 2 - 1 AS upper, pos - size // 2 - 1 AS lower FROM prefix, sizes WHERE k >= 0 AND k < n) m
+  JOIN prefix p ON p.pos = m.upper JOIN prefix q ON q.pos = m.lower),
+smoothed AS (SELECT {KEY}, t, size, {smoothed} AS s FROM moved),
+deltas AS (SELECT unnest([0, 1, 2, 3]) AS j, unnest([0.02, 0.05, 0.07, 0.1])::DOUBLE AS delta),
+score AS (SELECT {KEY}, size, j, delta, sum((CASE WHEN s >= 0.5 + delta THEN 1.0 WHEN s <= 0.5 - delta THEN 0.0 ELSE 0.5 END <> t)::INTEGER) AS mismatches FROM smoothed, deltas GROUP BY ALL),
+place AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY mismatches, size, j) AS place FROM score)"""
+
+
+_BEST = f"SELECT {KEY}, size::BIGINT AS size, delta, mismatches::BIGINT AS mismatches FROM place WHERE place = 1"
+
+
+@query(_BEST, LABELED, _full_grid_sql("a / size"))
+def d11_full_grid_search(spark, d):
+    """The reference's grid: 181 windows of 200 to 2,000 samples by 4 dead bands."""
+    return P.grid_search(_labeled(spark, d), "aggregated", "percept3")
+
+
+@query(_BEST, LABELED, _full_grid_sql("CASE WHEN size // 2 < z THEN 0.0 WHEN size // 2 < o THEN 0.5 ELSE 1.0 END"))
+def d11_full_grid_search_median(spark, d):
+    return P.grid_search(_labeled(spark, d), "aggregated", "percept3", method="median")
+
+
 # --- E, F: joins and scores
 
 

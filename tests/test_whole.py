@@ -2,6 +2,7 @@
 cases that the cut forms couldn't pass."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,26 @@ def test_onsets_with_gaps_in_trial_numbers(spark):
     df = spark.createDataFrame(data, "subject long, run long, trial long, trial_us long, type string, aggregated string")
     epochs = E.collapse_to_epochs(df, "aggregated", E.trial_offsets(df), "no_report").orderBy("trial", "onset").collect()
     assert [(r["trial"], r["onset"], r["duration"]) for r in epochs] == [(2, 28.8, 0.2), (2, 29.0, 0.2), (5, 168.8, 0.2), (5, 169.0, 0.2), (9, 308.8, 0.2), (9, 309.0, 0.2)]
+
+
+@pytest.mark.parametrize("method", ["uniform", "median"])
+def test_default_grid_is_the_references(spark, method):
+    code, rng = {"house": 1.0, "face": 0.0, "mixed": 0.5}, np.random.default_rng(5)
+    true = ["house" if (i // 260) % 2 else "face" for i in range(900)]
+    seen = [t if rng.random() < 0.6 else ("house", "face", "mixed")[rng.integers(3)] for t in true]
+    df = spark.createDataFrame([(1, 1, 4000 * i, t, s) for i, (t, s) in enumerate(zip(true, seen))], "subject long, run long, run_us long, t string, p string")
+    v, t = np.array([code[x] for x in seen]), np.array([code[x] for x in true])
+    best = None
+    for size in range(200, 2001, 10):
+        windows = np.lib.stride_tricks.sliding_window_view(np.pad(v, (size // 2, size - size // 2 - 1), mode="symmetric"), size)
+        s = windows.sum(1) / size if method == "uniform" else np.sort(windows, axis=1)[:, size // 2]
+        for j, delta in enumerate((0.02, 0.05, 0.07, 0.1)):
+            cut = np.where(s >= 0.5 + delta, 1.0, np.where(s <= 0.5 - delta, 0.0, 0.5))
+            now = (int((cut != t).sum()), size, j, delta)
+            best = now if best is None or now < best else best
+    assert [tuple(r) for r in P.grid_search(df, "t", "p", method=method).collect()] == [(1, 1, best[1], best[3], best[0])]
+
+
+@pytest.mark.parametrize("name", ["d11_full_grid_search", "d11_full_grid_search_median"])
+def test_full_grid_against_sql(spark, name):
+    assert all(200 <= r["size"] <= 2000 for r in against_sql(spark, name))
