@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags. Pass one looks at each block alone: blocks in
 containers that never hold article text, and blocks that are mostly links, are bad; long blocks
 with many stop words are good, long ones with few are bad; middling ones are near-good and short
-ones ambiguous. Pass two gives ambiguous and near-good blocks the label of the nearest decided
+ones ambiguous. A container's name is only a hint: inside an article it makes blocks ambiguous, and
+it says nothing on a page whose long texts are all under such names. Where the stop words don't fit
+the page's language, length alone decides. Pass two gives ambiguous and near-good blocks the label of the nearest decided
 blocks, of the same article or main container first.
 """
 
@@ -32,45 +34,58 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces dans des du elle est et il je le les leur mais ne nous ou par pas plus pour qui sa ses son sont sur une vous "
     "als auch auf aus bei bin das dass dem den der des die ein eine einem einen einer es für hat ich im ist mit nach nicht oder sich sie sind so über um und von vor war wie wird zu zum zur".split()
 )
+#: Hints that stay final in an article, but for long texts with many stop words.
+ADVERTS = frozenset(("ad", "ads", "advert", "advertisement", "sponsor", "sponsored"))
+#: Languages of the stop words.
+LANGUAGES = ("en", "es", "fr", "de")
 #: In a name with one of these the hint is about what is beside the element (has-sidebar).
 AROUND = frozenset(("has", "with", "without", "no", "content", "main", "layout"))
 # Rules of pass one, after the published defaults of stop-word density classifiers.
 SHORT, LONG, MANY_LINKS, LOW_STOP, HIGH_STOP = 70, 200, 0.4, 0.10, 0.20
 
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_ROLE = re.compile(r"""\brole\s*=\s*["']?([a-zA-Z]+)|\b(hidden)(?=[\s=>]|$)|\b(aria-hidden)\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("pieces", "linked", "bad", "inside", "text", "label")
+    __slots__ = ("pieces", "linked", "bad", "hint", "inside", "language", "text", "label")
 
-    def __init__(self, bad: bool, inside: int):
+    def __init__(self, bad: bool, hint: int, inside: int, language: str):
         self.pieces: list[str] = []
-        self.linked, self.bad, self.inside = 0, bad, inside
+        self.linked, self.bad, self.hint, self.inside, self.language = 0, bad, hint, inside, language
 
 
-def _hinted(attributes: str) -> bool:
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    for role, hidden, aria in _ROLE.findall(attributes):
-        if hidden or aria or role.lower() in ROLES:
-            return True
-    for found in _NAMES.findall(attributes):
-        for name in "".join(found).split():
-            parts = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-            if not AROUND & set(parts) and any(p in HINTS for p in parts):
-                return True
-    return False
+def _attributes(raw: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    """Hidden, or of a role that no article text has."""
+    role = attributes.get("role", "").split()
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(role) and role[0].lower() in ROLES
+
+
+def _hint(attributes: dict[str, str]) -> int:
+    """2 if the element's names speak of advertising, 1 if of something else beside articles."""
+    found = 0
+    for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        parts = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        if not AROUND & set(parts) and any(p in HINTS for p in parts):
+            found = max(found, 2 if ADVERTS & set(parts) else 1)
+    return found
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open block elements: name, bad from here, article
-    articles, link = 0, 0
-    now = Block(False, 0)
+    stack: list[tuple[str, bool, int, int]] = []  # open block elements: name, bad from here, hint, article
+    articles, link, language = 0, 0, ""
+    now = Block(False, 0, 0, "")
 
     def put(raw: str) -> None:
         if raw:
@@ -85,7 +100,7 @@ def blocks_of(page: str) -> list[Block]:
             now.text = " ".join("".join(now.pieces).split())
             if now.text:
                 out.append(now)
-        now = Block(bool(stack) and stack[-1][1], stack[-1][2] if stack else 0)
+        now = Block(*(stack[-1][1:] if stack else (False, 0, 0)), language)
 
     at, n = 0, len(page)
     while at < n:
@@ -131,13 +146,17 @@ def blocks_of(page: str) -> list[Block]:
         elif name not in VOID:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()  # these end where the next of their kind starts
-            bad, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            bad, hint, inside = stack[-1][1:] if stack else (False, 0, 0)
+            named = _attributes(attributes) if attributes.strip() else {}
+            if name in ("html", "body"):
+                language = re.split("[-_]", named.get("lang", "").strip().lower())[0] or language
             if name in ("article", "main"):
                 articles += 1
                 inside = articles
             # A page or article is never given up for its name.
-            bad = bad or name in NEVER or (name not in ("html", "body", "article", "main") and _hinted(attributes))
-            stack.append((name, bad, inside))
+            if name not in ("html", "body", "article", "main"):
+                bad, hint = bad or name in NEVER or _hidden(named), max(hint, _hint(named))
+            stack.append((name, bad, hint, inside))
         fresh()
     fresh()
     return out
@@ -145,18 +164,29 @@ def blocks_of(page: str) -> list[Block]:
 
 def classify(blocks: list[Block]) -> list[bool]:
     """Which blocks are article text."""
+    words = [[w.lower() for w in _WORD.findall(b.text)] for b in blocks]
+    stops = [sum(w in STOP_WORDS for w in ws) for ws in words]
+    linked = [b.linked > MANY_LINKS * len(b.text.replace(" ", "")) for b in blocks]
+    language = next((b.language for b in reversed(blocks) if b.language), "")
+    own = [i for i, b in enumerate(blocks) if not b.bad and not linked[i]]
+    fits = language in LANGUAGES if language else sum(stops[i] for i in own) >= LOW_STOP * sum(len(words[i]) for i in own)
+    share = [n / max(1, len(ws)) for n, ws in zip(stops, words)]
+    solid = [len(b.text) >= LONG and (share[i] >= HIGH_STOP or not fits) for i, b in enumerate(blocks)]
+    # Names say nothing where all long texts of the page are under hints.
+    hints = any(solid[i] and not blocks[i].hint for i in own)
     labels: list[bool | None] = []
-    for b in blocks:
-        words = [w.lower() for w in _WORD.findall(b.text)]
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        solid = len(b.text.replace(" ", ""))
-        if b.bad or b.linked > MANY_LINKS * solid:
+    for i, b in enumerate(blocks):
+        if b.bad or linked[i]:
             labels.append(False)
+        elif b.hint and b.inside:
+            labels.append(None if solid[i] or b.hint == 1 else False)
+        elif b.hint and (hints or not solid[i]):
+            labels.append(False if hints or b.hint == 2 or not any(solid[k] for k in own) else None)
         elif len(b.text) < SHORT:
             labels.append(None)
-        elif stops >= HIGH_STOP and len(b.text) >= LONG:
+        elif solid[i]:
             labels.append(True)
-        elif stops < LOW_STOP and not b.inside:
+        elif fits and share[i] < LOW_STOP and not b.inside:
             labels.append(False)
         else:
             labels.append(None)
