@@ -12,7 +12,8 @@ def components(links: DataFrame, name: str = "links", most_rounds: int = 40) ->
     """links: (a, b) longs, in any direction, repeated or not. (id, root) for every node that
     isn't the least of its component. Each round links every node's neighbours to the least of
     them (larger ones first, then smaller ones); least neighbours are found by partial
-    aggregates and joined back, so a node with very many links is no single task's list."""
+    aggregates and joined back, so a node with very many links is no single task's list. Raises
+    if roots still change after the most rounds."""
     edges = cut(links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
     before = None
     for _ in range(most_rounds):
@@ -27,4 +28,6 @@ def components(links: DataFrame, name: str = "links", most_rounds: int = 40) ->
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components of {name} not found in {most_rounds} rounds")
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("root"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazeloom.llm import html_text
+from gazeloom.llm.components import components
 from gazeloom.operators import batch as B
 from gazeloom.operators import events as E
 from gazeloom.operators import percepts as P
@@ -155,3 +156,10 @@ def test_languages_without_stop_words():
     for page in ('<html lang="fi"><nav><a href=x>koti</a></nav>', "<nav><a href=x>koti</a></nav>"):
         assert html_text.main_text(f"{page}<div><p>{finnish * 3}</p><p>{finnish}</p></div>") == (finnish * 3).strip() + "\n" + finnish.strip()
     assert html_text.main_text(f'<html lang="en"><p>{TEXT}</p><p>{finnish}</p></html>') == TEXT
+
+
+def test_unfinished_components_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=1)
+    assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(1, 41)}
