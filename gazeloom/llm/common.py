@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -76,28 +77,27 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-_TABLES = np.random.default_rng(20240607).integers(1, 2**63, 512, dtype=np.uint64) | np.uint64(1)
-_BASE, _BASE_INV = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 2**64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte strings data[start:end], equal for equal strings. A
-    polynomial over random byte values; spans are read from running sums, so the cost
-    is in proportion to the data. The table of powers is as long as the longest data seen."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    if n + 1 > len(_POWERS.get("up", ())):
-        _POWERS["up"], _POWERS["down"] = _powers(_BASE, max(n, 1 << 20)), _powers(_BASE_INV, max(n, 1 << 20))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLES[data] * _POWERS["up"][:n], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * _POWERS["down"][starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+#: Longer strings are hashed one by one.
+LONG_SPAN = 64
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte strings data[start:end], equal for equal strings. Eight bytes at
+    a time enter a chain of bijective steps, so that two strings of one length and up to eight
+    bytes never share a hash; strings of more than LONG_SPAN bytes go through blake2b. Another
+    lane gives hashes that are independent of these."""
+    size = (ends - starts).astype(np.int64)
+    out = mix64(size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(lane + 1))
+    factor = np.uint64((0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)[lane])
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    live, at = np.flatnonzero(size <= LONG_SPAN), 0
+    while len(live):
+        block = eights[starts[live] + at] & _BYTES[np.minimum(size[live] - at, 8)]
+        out[live] = mix64(out[live] ^ (block * factor))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out

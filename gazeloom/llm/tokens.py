@@ -66,7 +66,8 @@ def piece_starts(data: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 
 class PieceEncoder:
     """Keeps an open-addressing table from a piece's hash to its ids, probed for all pieces of
-    a batch at once."""
+    a batch at once. A second hash of every entry tells pieces apart that share the first; a
+    batch with such a pair goes to the tokenizer whole."""
 
     BITS = 22
 
@@ -84,6 +85,7 @@ class PieceEncoder:
         self.slots, self.entry = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
         self.at, self.size, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.check = np.zeros(1 << 16, np.uint64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 where there is none."""
@@ -120,14 +122,15 @@ class PieceEncoder:
         index = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return ids[index], size.astype(np.int32)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
         """Encode new distinct pieces and enter them."""
         ids, size = self._encode_pieces(pieces)
         total, n = len(ids), self.count + len(keys)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.at, self.size, self.check = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.check))
+        self.check[self.count : n] = checks
         self.flat[self.used : self.used + total] = ids
         self.at[self.count : n], self.size[self.count : n] = self.used + np.concatenate([[0], np.cumsum(size)[:-1]]), size
         entries = np.arange(self.count, n, dtype=np.int32)
@@ -154,7 +157,7 @@ class PieceEncoder:
             return self._plain(texts)
         starts = piece_starts(data, offs[:-1])
         ends = np.append(starts[1:], len(data))
-        hashes = span_hashes(data, starts, ends)
+        hashes, checks = span_hashes(data, starts, ends), span_hashes(data, starts, ends, lane=1)
         hashes[hashes == 0] = 1
         found = self._find(hashes)
         missing = np.flatnonzero(found < 0)
@@ -165,8 +168,10 @@ class PieceEncoder:
                 missing = np.arange(len(hashes))
                 keys, first = np.unique(hashes, return_index=True)
             which = missing[first]
-            self._learn(keys, [raw[s:e].decode("utf-8") for s, e in zip(starts[which].tolist(), ends[which].tolist())])
+            self._learn(keys, checks[which], [raw[s:e].decode("utf-8") for s, e in zip(starts[which].tolist(), ends[which].tolist())])
             found[missing] = self._find(hashes[missing])
+        if (self.check[found] != checks).any():
+            return self._plain(texts)
         at, size = self.at[found], self.size[found].astype(np.int64)
         ends_at = np.cumsum(size)
         index = np.repeat(at - (ends_at - size), size)
