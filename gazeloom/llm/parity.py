@@ -6,19 +6,24 @@ at most as many words as the sets differ in shingles, so the sketches' Hamming d
 is a lower bound of the symmetric difference. Two sets with a Jaccard similarity of 3/4 or more
 differ in at most a seventh of both sizes together. So
 
-* a set has a partner only if all its words but so many are found in other sets (pigeonhole
-  join of sketch words, counted per set), and
-* linked sets share at least one non-empty word.
+* a set has a partner only if all its words but so many are found in other sets (pigeonhole), and
+* of two linked sets, the rarest word they share is among the rarest few of either's words.
 
 Sketches are sized so that a set has more non-empty words than it may differ in; small sets use
 a word for each shingle; a set whose words happen to be too few joins by shingles as well, which
 keeps the join exact. A set takes part in its own band, and in the one below if it can have a
-partner there.
-
-Sets that pass are compared: in small buckets of a word each with each, in large ones with the
-two members whose words are most common. Buckets in which this leaves several components are
-joined block by block until every pair of different components was compared. Comparisons are
-of whole sets. Equal sets are one class throughout.
+partner there. A set in a band is called a unit below.
+
+Four steps, each a shuffle of packed rows: words meet by key and are counted; a unit's found words
+meet and are counted, and the rarest few of units with enough stay; these meet by key again and
+give pairs; pairs that their sizes and missing words don't rule out are compared as whole sets.
+In small buckets each is paired with each, in large ones all with two of them. Large buckets in
+which this leaves several components are joined block by block until every pair of different
+components was compared. Equal sets are one class throughout.
+
+Words that many units of one batch have are known to be found, whatever others hold: they are
+dealt out by batch and later by unit, not by key, and the parts of such a bucket meet by
+their leads. Sets are named by 62 bits that are checked against 64 more, shingles by 64 bits.
 """
 
 from __future__ import annotations
@@ -42,12 +47,16 @@ FIRST_BAND = 64
 WORDS_PER = 0.45
 #: Up to so many members, a bucket's sets are compared each with each.
 SMALL_BUCKET = 8
-#: About so many sketch words are in a part of the key space, shingles on a side of a block, and
-#: pairs with one center in a group.
-PART_WORDS, BLOCK_SHINGLES, CENTER_PAIRS, PAIRS_PER_GROUP = 1_500_000, 1_500_000, 256, 1000
-#: With fewer parts than a set has words, rows by set and part would grow faster than the input.
-LEAST_PARTS = 48
+#: A word of so many units of a batch is dealt out by batch.
+COMMON_HERE = 32
+#: About so many words are in a part of the key space and in a batch, sets in a part of a common
+#: word's bucket, shingles on a side of a block, members with one center in a run, and bytes of
+#: sets in a task that compares them.
+PART_WORDS, BATCH_WORDS, SALT_SETS, BLOCK_SHINGLES, CENTER_PAIRS, TASK_BYTES = 1_500_000, 1_000_000, 200_000, 1_000_000, 256, 64_000_000
 _U = np.uint64
+_EVERYWHERE = 65535  # the count of words that are common in some batch
+_INFO = np.dtype([("unit", "<u8"), ("size", "<u4"), ("words", "<u4"), ("least", "<u4")])
+_ENTRY = np.dtype([("key", "<u4"), ("unit", "<u8"), ("size", "<u4"), ("own", "<u4")])
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
@@ -85,11 +94,12 @@ def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     return out
 
 
-def set_id(hashes: np.ndarray) -> int:
-    """A 64-bit name of a set (signed)."""
-    total = mix64(hashes ^ _U(0x51ED270B35A0F2C9)).sum(dtype=_U, keepdims=True)
-    total += np.bitwise_xor.reduce(mix64(hashes ^ _U(0x2545F4914F6CDD1D)), keepdims=True) + _U(len(hashes))
-    return int(mix64(total).astype(np.int64)[0])
+def set_id(hashes: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """The name of a set: 62 bits (in 64, signed, the last two free), and 64 more."""
+    first, second = mix64(hashes ^ _U(0x51ED270B35A0F2C9 + salt)), mix64(hashes ^ _U(0x2545F4914F6CDD1D + salt))
+    sums = np.array([first.sum(dtype=_U), second.sum(dtype=_U)]) + _U(len(hashes))
+    names = mix64(sums).astype(np.int64)
+    return int(names[0]) & ~3 or 4, int(names[1])
 
 
 def band(size: int) -> int:
@@ -122,183 +132,295 @@ def sketch(hashes: np.ndarray, b: int) -> np.ndarray:
 
 
 def sketches(hashes: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """(band, words that must be found elsewhere, keys) for each band the set takes part in."""
+    """(code, words that must be found elsewhere, keys) for each unit of the set; its code is 0
+    in the set's own band, 1 in the band below, 2 by shingles."""
     size, own = len(hashes), band(len(hashes))
-    bands = [(own, None)]
+    bands = [(0, own, None)]
     if own and -(-size * percent // 100) < band_end(own - 1):
-        bands.append((own - 1, band_end(own - 1)))
-    out = []
-    for b, below in bands:
+        bands.append((1, own - 1, band_end(own - 1)))
+    out, few = [], False
+    for code, b, below in bands:
         keys = sketch(hashes, b)
         least = len(keys) - may_differ(size, percent, below)
-        out.append((b, max(1, least), keys))
-        if least < 1:  # too few words: by shingles too, among sets of this kind
-            out.append((-1, max(1, size - may_differ(size, percent)), mix64(hashes ^ _U(0x8CB92BA72F3D8DD7))))
+        out.append((code, max(1, least), keys))
+        few |= least < 1
+    if few:  # too few words: by shingles too, among sets of this kind
+        out.append((2, max(1, size - may_differ(size, percent)), mix64(hashes ^ _U(0x8CB92BA72F3D8DD7))))
     return out
 
 
-def _base(n: int):
+def _by_shingle(unit: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each word of the unit is one shingle."""
+    code = unit & _U(3)
+    return (code == 2) | (size < (FIRST_BAND << code.astype(np.int64)))
+
+
+def _base(n: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text_slices(batch, 1):
                 sets = shingle_sets(rows.column(1), n)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+                names = [set_id(s, salt) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64())], names=["doc_id", "n_shingles", "set_id", "more"])
 
     return run
 
 
-_PARTS = "part int, keys binary, who binary, sets binary, bands binary, sizes binary, least binary"
-
-
-def _words(n: int, percent: int, parts: int, most: int = 1_500_000):
-    """Sketch words by part of the key space, packed: 4 bytes of the key and 2 of the set's
-    place among the sets of the row."""
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start, and the end."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    fresh = np.zeros(n, bool)
+    fresh[0] = True
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(fresh), n)
+
+
+def _packed(group: np.ndarray, unit: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Entries, in the order of their groups and units, as a row a group: the group, its units,
+    how many entries each unit has, and the columns."""
+    runs = _edges(group, unit)
+    at = runs[:-1]
+    counts = np.diff(runs).astype("<u4")
+    units = unit[at]
+    groups = _edges(group)
+    inside = np.searchsorted(at, groups)
+    return [(int(group[a]), units[u:v].tobytes(), counts[u:v].tobytes(), *(c[a:b].tobytes() for c in columns)) for a, b, u, v in zip(groups[:-1].tolist(), groups[1:].tolist(), inside[:-1].tolist(), inside[1:].tolist())]
+
+
+def _flat(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in table[name].to_pylist() if x), kind)
+
+
+def _of_units(table: pa.Table) -> np.ndarray:
+    """The unit of each entry of packed rows."""
+    return np.repeat(_flat(table, "units", "<u8"), _flat(table, "runs", "<u4"))
+
+
+_WORDS = "part int, salt int, units binary, runs binary, keys binary, info binary"
+
+
+def _words(n: int, percent: int, parts: int, salts: int, name_salt: int):
+    """Sketch words by part of the key space, in batches; what is known of a batch's units, by
+    the part in which the units' found words will meet."""
+
+    def flush(held: list[np.ndarray], units: list[tuple]) -> pa.RecordBatch:
+        info = np.array(units, _INFO)
+        keys, unit = np.concatenate(held), np.repeat(info["unit"], info["words"])
+        _, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+        common = count[place] >= COMMON_HERE
+        salt = 1 + int(info["unit"][0] >> _U(2)) % salts
+        marks = np.unique(keys[common])  # tell a key's other holders that it is common here
+        keys = np.concatenate([keys, marks])
+        unit, common = np.concatenate([unit, np.zeros(len(marks), _U)]), np.concatenate([common, np.zeros(len(marks), bool)])
+        group = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64) * 2 + common
+        order = np.argsort(group, kind="stable")  # units stay in order
+        rows = [(g >> 1, salt if g & 1 else 0, u, r, k, None) for g, u, r, k in _packed(group[order], unit[order], keys[order].astype("<u4"))]
+        home = _home(info["unit"], parts)
+        order = np.argsort(home, kind="stable")
+        edges = _edges(home[order])
+        rows += [(int(home[order[a]]), 0, None, None, None, info[order[a:b]].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "salt", "units", "runs", "keys", "info"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        units: list[tuple[int, int, int, int]] = []
+        units: list[tuple] = []
         seen: set[int] = set()
         total = 0
-
-        def flush() -> pa.RecordBatch:
-            keys = np.concatenate(held)
-            who = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
-            part = ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            low = keys.astype(np.uint32)
-            columns = np.array(units, np.int64)
-            rows = []
-            for p in range(parts):
-                pick = order[edges[p] : edges[p + 1]]
-                if len(pick):
-                    rows.append((p, low[pick].tobytes(), who[pick].tobytes()))
-            fixed = [columns[:, 0].tobytes(), columns[:, 1].astype(np.int8).tobytes(), columns[:, 2].astype(np.int32).tobytes(), columns[:, 3].astype(np.int32).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), *[pa.array([f] * len(rows), pa.binary()) for f in fixed]], names=["part", "keys", "who", "sets", "bands", "sizes", "least"])
-
         for batch in batches:
             for rows in text_slices(batch, 1):
                 for hashes in shingle_sets(rows.column(1), n):
-                    if not len(hashes) or (name := set_id(hashes)) in seen:
+                    if not len(hashes) or (name := set_id(hashes, name_salt)[0]) in seen:
                         continue
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(name)
-                    for b, least, keys in sketches(hashes, percent):
+                    for code, least, keys in sketches(hashes, percent):
                         held.append(keys)
-                        units.append((name, b, len(hashes), least))
+                        units.append(((name | code) & 0xFFFFFFFFFFFFFFFF, len(hashes), len(keys), least))
                         total += len(keys)
-                    if total > most or len(units) > 60_000:
-                        yield flush()
+                    if total > BATCH_WORDS:
+                        yield flush(held, units)
                         held, units, total = [], [], 0
         if held:
-            yield flush()
+            yield flush(held, units)
+
+    return run
+
+
+def _home(unit: np.ndarray, parts: int) -> np.ndarray:
+    """The part in which a unit's words meet."""
+    return ((mix64(unit) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
+_MATCHES = "home int, part int, units binary, runs binary, keys binary, counts binary, info binary"
+
+
+def _match(parts: int):
+    """The words of a part that two sets or more have, by the homes of their units, with the
+    number of sets that have them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, salt = table["part"][0].as_py(), table["salt"][0].as_py()
+        keys, unit = _flat(table, "keys", "<u4"), _of_units(table)
+        if salt:
+            count = np.full(len(keys), _EVERYWHERE)
+        else:
+            order = np.argsort(keys, kind="stable")
+            edges = _edges(keys[order])
+            shared = order[np.repeat(np.diff(edges) > 1, np.diff(edges))]
+            order = shared[np.lexsort((unit[shared], keys[shared]))]
+            keys, unit = keys[order], unit[order]
+            first = _edges(keys, unit)[:-1]  # other tasks saw the same set; a key's marks are one
+            keys, unit = keys[first], unit[first]
+            edges = _edges(keys)
+            size, mark = np.diff(edges), unit[edges[:-1]] == 0 if len(keys) else np.zeros(0, bool)
+            count = np.repeat(np.where(mark, _EVERYWHERE, np.minimum(size, _EVERYWHERE - 1)), size)
+            keep = (count > 1) & (unit != 0)
+            keys, unit, count = keys[keep], unit[keep], count[keep]
+        home = _home(unit, parts)
+        order = np.lexsort((unit, home))
+        rows = [(h, part, u, r, k, c, None) for h, u, r, k, c in _packed(home[order], unit[order], keys[order], count[order].astype("<u2"))]
+        rows += [(part, 0, None, None, None, None, x) for x in table["info"].to_pylist() if x]
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["home", "part", "units", "runs", "keys", "counts", "info"])
 
     return run
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """keys, and for each key its set, band, size and least."""
-    keys, out = [], [[], [], [], []]
-    for k, w, *fixed in zip(*(table[c].to_pylist() for c in ("keys", "who", "sets", "bands", "sizes", "least"))):
-        who = np.frombuffer(w, np.uint16)
-        keys.append(np.frombuffer(k, np.uint32))
-        for o, f, kind in zip(out, fixed, (np.int64, np.int8, np.int32, np.int32)):
-            o.append(np.frombuffer(f, kind)[who])
-    return np.concatenate(keys), *map(np.concatenate, out)
-
-
-def _match(table: pa.Table) -> pa.Table:
-    """The words of a part that two sets or more have: a row for each set and band, with their
-    number, their sets' number in all, and the keys."""
-    keys, sets, bands, sizes, least = _unpack(table)
-    unit = sets * 64 + bands  # wraps; only tells a key's holders apart
-    order = np.lexsort((unit, keys))
-    keys, unit = keys[order], unit[order]
-    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (unit[1:] != unit[:-1])])  # other tasks saw the same set
-    order, keys = order[fresh], keys[fresh]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(at, len(keys)))
-    common = np.repeat(size, size)
-    keep = common > 1
-    order, keys, common = order[keep], keys[keep], common[keep]
-    by = np.lexsort((keys, bands[order], sets[order]))
-    order, keys, common = order[by], keys[by], common[by]
-    s, b = sets[order], bands[order]
-    at = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])])) if len(s) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(s))
-    rows = order[at]
-    part = table["part"][0].as_py()
-    return pa.table({"part": pa.array([part] * len(at), pa.int32()), "set_id": pa.array(s[at], pa.int64()), "band": pa.array(b[at].astype(np.int32)), "size": pa.array(sizes[rows], pa.int32()), "least": pa.array(least[rows], pa.int32()), "found": pa.array((ends - at).astype(np.int32)), "common": pa.array(np.add.reduceat(common, at) if len(at) else at, pa.int64()), "keys": pa.array([keys[a:e].tobytes() for a, e in zip(at.tolist(), ends.tolist())], pa.binary())})
-
-
-_MATCHES = "part int, set_id long, band int, size int, least int, found int, common long, keys binary"
-
-
-def _candidates(percent: int):
-    """Pairs to compare among the sets of a part that passed; lists of the large buckets."""
+_RARE = "part int, salt int, entries binary"
+
+
+def _rare(salts: int):
+    """Of the units at one home, those with enough found words: the rarest of these words, as
+    many as linked sets need to have one in common."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, sizes, common = (table[c].to_numpy() for c in ("set_id", "size", "common"))
-        each = [np.frombuffer(k, np.uint32) for k in table["keys"].to_pylist()]
-        who = np.repeat(np.arange(len(each)), [len(k) for k in each])
-        keys = np.concatenate(each)
-        order = np.lexsort((who, keys))
-        keys, who = keys[order], who[order]
-        edges = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
-        pairs: set[tuple[int, int]] = set()
-        lists: set[tuple[int, ...]] = set()
-        tried: set[bytes] = set()
-        for a, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if e - a < 2 or (mark := who[a:e].tobytes()) in tried:
-                continue
-            tried.add(mark)
-            members = who[a:e]
-            if e - a > SMALL_BUCKET:
-                lead = members[np.lexsort((names[members], -common[members]))[:2]]
-                tests = [(x, y) for x in lead.tolist() for y in members.tolist()]
-                lists.add(tuple(sorted(set(names[members].tolist()))))
-            else:
-                own = members.tolist()
-                tests = [(x, y) for i, x in enumerate(own) for y in own[:i]]
-            for x, y in tests:
-                if names[x] != names[y] and 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]):
-                    pairs.add((int(min(names[x], names[y])), int(max(names[x], names[y]))))
-        found = sorted(pairs)
-        return pa.table({"a": pa.array([p[0] for p in found] + [None] * len(lists), pa.int64()), "b": pa.array([p[1] for p in found] + [None] * len(lists), pa.int64()), "members": pa.array([None] * len(found) + [list(x) for x in sorted(lists)], pa.list_(pa.int64()))})
+        info = _flat(table, "info", _INFO)
+        info = info[np.unique(info["unit"], return_index=True)[1]]
+        unit = _of_units(table)
+        part = np.repeat(table["part"].to_numpy(), [len(x or b"") // 4 for x in table["keys"].to_pylist()])
+        keys, count = _flat(table, "keys", "<u4"), _flat(table, "counts", "<u2")
+        order = np.lexsort((keys, part, count, unit))
+        unit, part, keys, count = unit[order], part[order], keys[order], count[order]
+        first = _edges(unit, part, keys)[:-1]
+        unit, part, keys, count = unit[first], part[first], keys[first], count[first]
+        edges = _edges(unit)
+        found = np.diff(edges)
+        of = info[np.searchsorted(info["unit"], unit[edges[:-1]])]
+        most = np.where(found >= of["least"], found - of["least"].astype(np.int64) + 1, 0)
+        place = np.arange(len(unit)) - np.repeat(edges[:-1], found)
+        keep = place < np.repeat(most, found)
+        who = np.repeat(np.arange(len(of)), found)[keep]
+        entries = np.zeros(len(who), _ENTRY)
+        entries["key"], entries["unit"], entries["size"] = keys[keep], unit[keep], of["size"][who]
+        entries["own"] = (of["words"] - found)[who]
+        salt = np.where(count[keep] == _EVERYWHERE, 1 + (mix64(unit[keep] >> _U(2)) % _U(salts)).astype(np.int64), 0)
+        order = np.lexsort((salt, part[keep]))
+        entries, part, salt = entries[order], part[keep][order], salt[order]
+        edges = _edges(part, salt)
+        at = edges[:-1]
+        return pa.Table.from_arrays([pa.array(part[at], pa.int32()), pa.array(salt[at], pa.int32()), pa.array([entries[a:b].tobytes() for a, b in zip(at.tolist(), edges[1:].tolist())], pa.binary())], names=["part", "salt", "entries"])
 
     return run
 
 
-def _six(hashes: np.ndarray) -> bytes:
-    """Sets travel as 48-bit hashes."""
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+_FOUND = "kind int, a long, b long, part int, entries binary"
+_PAIR, _STAR, _LISTED, _LEADS = range(4)
+
 
+def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes, and words that nobody else has, leave room for a link."""
+    a, b = x["size"].astype(np.int64), y["size"].astype(np.int64)
+    own_a, own_b = x["own"].astype(np.int64), y["own"].astype(np.int64)
+    apart = np.where(_by_shingle(x["unit"], a), own_a + own_b, np.maximum(own_a, own_b))
+    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (apart * (100 + percent) <= (a + b) * (100 - percent))
+
+
+def _pairs(percent: int, salts: int, listed: bool):
+    """Pairs to compare among the entries of a part, and who is in a large bucket with which
+    lead. Parts of a common word's bucket count as large and also give their leads; with
+    `listed`, all buckets count as large."""
+
+    def run(table: pa.Table) -> pa.Table:
+        entries = _flat(table, "entries", _ENTRY)
+        entries = entries[np.lexsort((entries["unit"], entries["own"], entries["key"]))]
+        edges = _edges(entries["key"], entries["unit"])[:-1]
+        entries = entries[edges]
+        edges = _edges(entries["key"])
+        size, start = np.diff(edges), np.repeat(edges[:-1], np.diff(edges))
+        split = salts > 1 and bool(table["salt"][0].as_py())
+        large = np.repeat(size > (1 if listed or split else SMALL_BUCKET), size)
+        at = np.arange(len(entries))
+        kinds, left, right = [], [], []
+
+        def put(kind: int, x: np.ndarray, y: np.ndarray, canonical: bool) -> None:
+            a, b = ((entries["unit"][i] & ~_U(3)).view(np.int64) for i in (x, y))
+            if canonical:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            fit = a != b
+            kinds.append(np.full(int(fit.sum()), kind))
+            left.append(a[fit])
+            right.append(b[fit])
+
+        for step in range(1, SMALL_BUCKET):
+            x = at[: max(0, len(at) - step)]
+            x = x[(start[x] == start[x + step]) & ~large[x]]
+            x = x[_may_link(entries[x], entries[x + step], percent)]
+            put(_PAIR, x, x + step, True)
+        members = at[large & (at != start)]
+        may = _may_link(entries[start[members]], entries[members], percent)
+        put(_STAR, start[members[may]], members[may], False)
+        put(_LISTED, start[members[~may]], members[~may], False)
+        members = members[members != start[members] + 1]
+        second = start[members] + 1
+        may = _may_link(entries[second], entries[members], percent)
+        put(_PAIR, second[may], members[may], False)
+        kind, a, b = (np.concatenate(x) for x in (kinds, left, right))
+        order = np.lexsort((kind, b, a))
+        kind, a, b = kind[order], a[order], b[order]
+        first = _edges(a, b, kind)[:-1]
+        kind, a, b = kind[first], a[first], b[first]
+        part, packed = [None] * len(kind), [None] * len(kind)
+        if split:
+            kind, a, b = np.append(kind, _LEADS), np.append(a, 0), np.append(b, 0)
+            part.append(table["part"][0].as_py())
+            packed.append(entries[edges[:-1]].tobytes())
+        return pa.Table.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(part, pa.int32()), pa.array(packed, pa.binary())], names=["kind", "a", "b", "part", "entries"])
 
-def _wide(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return np.sort(out.view(_U).ravel())
+    return run
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Of two sorted sets."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
 def _compare(percent: int):
-    """Links of a group: rows of leads (center, member = center) and members."""
+    """Links of runs of rows: a center's set, then its members' sets."""
 
-    def run(table: pa.Table) -> pa.Table:
-        centers, members, packed = table["center"].to_pylist(), table["member"].to_pylist(), table["hashes"]
-        lead = {c: _wide(packed[i].as_py()) for i, (c, m) in enumerate(zip(centers, members)) if c == m}
-        a, b = [], []
-        for i, (c, m) in enumerate(zip(centers, members)):
-            if c != m:
-                own = _wide(packed[i].as_py())
-                if linked(len(np.intersect1d(lead[c], own, assume_unique=True)), len(lead[c]), len(own), percent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.zeros(0, _U)
+        for batch in batches:
+            centers, members, packed = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            a, b = [], []
+            for i, (c, m) in enumerate(zip(centers, members)):
+                own = np.frombuffer(packed[i].as_buffer(), _U)
+                if c == m:
+                    lead = own.copy()
+                elif linked(in_common(lead, own), len(lead), len(own), percent):
                     a.append(c)
                     b.append(m)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -308,7 +430,7 @@ def _block(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         names, comps, odd = table["member"].to_numpy(), table["comp"].to_numpy(), np.array(table["odd"].to_pylist(), bool)
-        sets = [_wide(x.as_py()) for x in table["hashes"]]
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in table["hashes"]]
         left, right = np.flatnonzero(odd), np.flatnonzero(~odd)
         parent = {c: c for c in set(comps.tolist())}
 
@@ -318,17 +440,18 @@ def _block(percent: int):
             return c
 
         a, b = [], []
-        where: dict[int, list[int]] = {}
         flat = np.concatenate([sets[j] for j in right]) if len(right) else np.zeros(0, _U)
-        owner = np.repeat(np.arange(len(right)), [len(sets[j]) for j in right])
+        owner = np.repeat(np.arange(len(right), dtype=np.int32), [len(sets[j]) for j in right])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         size = np.array([len(sets[j]) for j in right])
         for i in left.tolist():
             lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            spans = hi - lo
-            hits = owner[np.repeat(lo - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))]
-            common = np.bincount(hits, minlength=len(right))
+            common = np.zeros(len(right), np.int64)
+            for at in range(0, len(lo), 512):  # a few hundred thousand hits at once
+                spans = hi[at : at + 512] - lo[at : at + 512]
+                hits = owner[np.repeat(lo[at : at + 512] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))]
+                common += np.bincount(hits, minlength=len(right))
             for j in np.flatnonzero(100 * common >= percent * (size + len(sets[i]) - common)).tolist():
                 x, y = top(comps[i]), top(comps[right[j]])
                 if x != y:
@@ -340,73 +463,78 @@ def _block(percent: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for rows in text_slices(batch, 0):
-                found = [(set_id(h), _six(h)) for h in shingle_sets(rows.column(0), n) if len(h)]
                 fresh = []
-                for name, packed in found:
-                    if name not in seen:
+                for hashes in shingle_sets(rows.column(0), n):
+                    if len(hashes) and (name := set_id(hashes, salt)[0]) not in seen:
                         seen.add(name)
-                        fresh.append((name, packed))
-                if len(seen) > 500_000:
+                        fresh.append((name, hashes.tobytes()))
+                if len(seen) > 200_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in fresh], pa.int64()), pa.array([f[1] for f in fresh], pa.binary())], names=["set_id", "hashes"])
 
     return run
 
 
-def _fetch(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(set_id, hashes) of the wanted sets (one column, set_id), read from the texts again."""
-    every = texts.mapInArrow(_sets(n), "set_id long, hashes binary")
-    return cut(every.join(small(wanted), "set_id", "left_semi").groupBy("set_id").agg(F.first("hashes").alias("hashes")), "sets")
+def _named(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, n_shingles, set_id) for every row; for every set its least id and number of rows; and
+    the salt under which no two sets share a name."""
+    salt = 0
+    while True:
+        base = cut(texts.mapInArrow(_base(n, salt), "doc_id long, n_shingles long, set_id long, more long"), "base")
+        names = base.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("n_shingles").alias("size"), (F.min("more") != F.max("more")).alias("clash"))
+        names = cut(names, "names")
+        if names.filter("clash").isEmpty():
+            return base.drop("more"), names.drop("clash"), salt
+        salt += 1
 
 
-def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, set_id) for every row of docs, and (id, root): for every set that
-    isn't the least of its component, the least. percent must be over 50."""
+def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_id) for every row of docs; (set_id, least, n, size) for every set;
+    and (id, root): for every set that isn't the least of its component, the least. percent must be
+    over 50."""
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(texts.mapInArrow(_base(n), "doc_id long, n_shingles long, set_id long"), "base")
-    total = base.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(LEAST_PARTS, total * 6 // 10 // PART_WORDS)
-    words = texts.mapInArrow(_words(n, percent, parts), _PARTS)
-    matches = cut(words.groupBy("part").applyInArrow(_match, _MATCHES), "matches")
-    passed = matches.groupBy("set_id", "band").agg(F.sum("found").alias("found"), F.first("least").alias("least"), F.sum("common").alias("common"))
-    passed = cut(passed.filter("found >= least").select("set_id", "band", F.col("common").alias("_common")), "passed")
-    near = matches.drop("common").join(small(passed), ["set_id", "band"]).withColumnRenamed("_common", "common")
-    found = cut(near.groupBy("part").applyInArrow(_candidates(percent), "a long, b long, members array<long>"), "found")
-    pairs = cut(found.filter("a is not null").select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(found.select(F.explode("members").alias("set_id"))).distinct()
-    sets = _fetch(texts.select("text"), cut(wanted, "wanted"), n)
-    # A center's pairs are cut into groups of bounded size, each with the center's set.
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    spread = pairs.join(counts, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / F.lit(CENTER_PAIRS))))
-    n_pairs = pairs.count()
-    groups = max(tasks, n_pairs // PAIRS_PER_GROUP)
-    asked = spread.select(F.col("a").alias("center"), "chunk", F.col("b").alias("member"))
-    asked = asked.union(asked.select("center", "chunk", F.col("center").alias("member")).distinct())
-    asked = asked.withColumn("grp", F.pmod(F.xxhash64("center", "chunk"), F.lit(groups)))
-    with_sets = asked.join(sets, asked["member"] == sets["set_id"]).select("grp", "center", "chunk", "member", "hashes")
-    links = cut(with_sets.groupBy("grp").applyInArrow(_compare(percent), "a long, b long"), "links")
+    base, names, salt = _named(texts, n)
+    total, n_sets = names.agg(F.sum("size"), F.count("*")).first()
+    parts, salts = 1 + (total or 0) * 6 // 10 // PART_WORDS, 1 + n_sets // SALT_SETS
+    words = texts.mapInArrow(_words(n, percent, parts, salts, salt), _WORDS)
+    matches = words.groupBy("part", "salt").applyInArrow(_match(parts), _MATCHES)
+    rare = matches.groupBy("home").applyInArrow(_rare(salts), _RARE)
+    found = cut(rare.groupBy("part", "salt").applyInArrow(_pairs(percent, salts, False), _FOUND), "found")
+    if salts > 1:  # parts of one bucket meet by their leads
+        leads = found.filter(F.col("kind") == _LEADS).select("part", F.lit(0).alias("salt"), "entries")
+        found = found.unionByName(cut(leads.groupBy("part").applyInArrow(_pairs(percent, 1, True), _FOUND), "found"))
+    pairs = cut(found.filter(F.col("kind").isin(_PAIR, _STAR)).select("a", "b").distinct(), "pairs")
+    lists = cut(found.filter(F.col("kind").isin(_STAR, _LISTED)).select("a", "b").distinct(), "lists")
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(lists.select("a")).union(lists.select("b")).distinct()
+    every = texts.select("text").mapInArrow(_sets(n, salt), "set_id long, hashes binary")
+    sets = cut(every.join(small(cut(wanted, "wanted")), "set_id", "left_semi").groupBy("set_id").agg(F.first("hashes").alias("hashes")), "sets")
+    # A center's members are dealt out in runs of bounded size, each with the center's set.
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(CENTER_PAIRS)).alias("runs"))
+    asked = pairs.join(counts, "a").select(F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), F.col("b").alias("member"))
+    asked = asked.union(asked.select("center", "run", F.col("center").alias("member")).distinct())
+    size = asked.join(names.select("set_id", "size"), asked["member"] == names["set_id"]).agg(F.sum("size")).first()[0] or 0
+    with_sets = asked.join(sets, asked["member"] == sets["set_id"]).select("center", "member", "hashes", "run")
+    dealt = with_sets.repartition(max(tasks, size * 8 // TASK_BYTES), "center", "run").sortWithinPartitions("center", "run", F.col("member") != F.col("center"))
+    links = cut(dealt.mapInArrow(_compare(percent), "a long, b long"), "links")
     roots = components(links)
     # Large buckets that still hold several components.
-    listed = found.filter("members is not null").select("members").distinct().withColumn("list", F.xxhash64("members"))
-    inside = listed.select("list", F.explode("members").alias("member")).join(roots, F.col("member") == roots["id"], "left").select("list", "member", F.coalesce("root", "member").alias("comp"))
-    inside = cut(inside, "lists")
-    open_ = inside.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("member").alias("first")).filter("lo != hi")
-    open_ = cut(open_, "open")
+    inside = lists.select(F.col("a").alias("list"), F.col("b").alias("member")).union(lists.select("a", "a").distinct())
+    inside = cut(inside.join(roots, F.col("member") == roots["id"], "left").select("list", "member", F.coalesce("root", "member").alias("comp")), "lists")
+    open_ = cut(inside.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("list"), "open")
     if open_.isEmpty():
-        return base, roots
+        return base, names, roots
     # Lists that share sets are joined as one: their members differ little.
-    held = inside.join(open_.select("list", "first"), "list")
-    joint = components(held.select(F.col("first").alias("a"), F.col("member").alias("b")), "joint")
+    held = inside.join(open_, "list")
+    joint = components(held.select(F.col("list").alias("a"), F.col("member").alias("b")), "joint")
     people = held.select("member", "comp").distinct().join(joint, F.col("member") == joint["id"], "left").select("member", "comp", F.coalesce("root", "member").alias("joint"))
-    people = people.join(sets.select(F.col("set_id").alias("member"), (F.octet_length("hashes") / 6).alias("size")), "member")
-    people = cut(people, "people")
+    people = cut(people.join(names.select(F.col("set_id").alias("member"), "size"), "member"), "people")
     size = people.groupBy("joint", "comp").agg(F.sum("size").alias("n"))
     main = size.groupBy("joint").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = cut(main.withColumns({"right": F.ceil(F.col("all") / F.lit(BLOCK_SHINGLES)), "left": F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK_SHINGLES))}).filter("left > 0"), "main")
@@ -417,7 +545,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFr
     columns = ("joint", "i", "j", "odd", "member", "comp")
     blocks = odd.select(*columns).union(rest.select(*columns)).join(sets, F.col("member") == sets["set_id"]).drop("set_id")
     more = cut(blocks.groupBy("joint", "i", "j").applyInArrow(_block(percent), "a long, b long"), "links")
-    return base, components(links.union(more))
+    return base, names, components(links.union(more))
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -425,9 +553,8 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     are ignored). Null, empty and blank texts have no shingles and are linked with nothing: their
     component is their own id. Repeated rows are equal sets. A null doc_id is never a
     component's name unless all of its rows have none. An empty table gives an empty result."""
-    base, roots = classes(docs, n, percent)
-    own = base.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    own = cut(own.join(roots, own["set_id"] == roots["id"], "left").select("set_id", "least", "n", F.coalesce("root", "set_id").alias("root")), "classes")
+    base, names, roots = classes(docs, n, percent)
+    own = cut(names.join(roots, names["set_id"] == roots["id"], "left").select("set_id", "least", "n", F.coalesce("root", "set_id").alias("root")), "classes")
     least = own.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("rows")).filter("rows > 1")
     named = cut(own.join(least, "root").select("set_id", "component"), "named")
     return base.join(small(named), "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

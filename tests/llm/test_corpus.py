@@ -158,6 +158,51 @@ def test_sketch_words_bound_the_difference():
         assert len(np.setdiff1d(parity.sketch(a, k), parity.sketch(b, k))) <= apart
 
 
+def test_join_deals_out_common_words(spark, monkeypatch):
+    """Common words, salted and met by their leads, several parts and open large buckets."""
+    texts = [t for k, (n, words, edits) in enumerate([(120, 150, 25), (90, 40, 6), (60, 12, 2)]) for t in copies(k + 20, n, words, edits)]
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts += [passage + " " + " ".join(f"q{k}x{i}" for i in range(k % 40)) for k in range(120)]
+    rows = [(5000 - i, t) for i, t in enumerate(texts)]
+    for name, value in {"SALT_SETS": 80, "COMMON_HERE": 4, "PART_WORDS": 4000, "BATCH_WORDS": 3000, "BLOCK_SHINGLES": 3000, "CENTER_PAIRS": 10, "TASK_BYTES": 100_000}.items():
+        monkeypatch.setattr(parity, name, value)
+    got = Counter(tuple(r) for r in parity.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute_components(rows)
+
+
+def test_join_rows_grow_with_their_words():
+    """What the join ships for a batch doesn't grow with the number of parts beyond its words."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(200)) for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for parts in (10, 1000, 100_000):
+        out = list(parity._words(5, 75, parts, 1, 0)([batch]))
+        words = sum(len(k) // 4 for b in out for k in b.column("keys").to_pylist() if k)
+        assert sum(b.nbytes for b in out) < 70 * words
+
+
+def twins():
+    """Two words of as, bs whose polynomial hashes agree whatever the base, in the ring of 64 bits."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_twins_differ(spark):
+    a, b = twins()
+    rows = [(1, a), (2, b), (3, a)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {tuple(r) for r in parity.join(table).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+    want = {d: crc([*encode(t), 2]) for d, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in wavelet.read_documents(wavelet.write_shards(table)).collect()} == want
+    pieces = packing.pack(table).orderBy("doc_id", "start").collect()
+    assert {d: sum(r["length"] for r in pieces if r["doc_id"] == d) for d, _ in rows} == {d: len(encode(t)) + 1 for d, t in rows}
+    first = {r["doc_id"]: r for r in pieces if r["start"] == 0}
+    assert all(first[d]["ids_crc32"] == crc([*encode(t), 0][: first[d]["length"]]) for d, t in rows)
+
+
 # --- 3: wavelet matrices
 
 
@@ -241,7 +286,15 @@ def test_mix(spark, odd, docs, empty):
             assert all(abs(taken[k] - t) <= 10 for k, t in wanted.items())
         elif table is docs:
             assert all(abs(taken[k] - t) <= 0.05 * t + 60 for k, t in wanted.items())
+            misses = [taken[k] - t for k, t in wanted.items()]
+            assert min(misses) < 0 < max(misses)
     assert mixing.mix(empty).count() == 0
+    # Inclusion is unequal inside a source: documents of one length are taken as often as their class expects.
+    lengths = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(pow(2, id % 8) as int))").alias("text"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"))
+    copies = {(r["size"], r["source_size"]): r["c"] for r in mixing.mix(lengths).groupBy("size", "source_size").agg(F.avg(F.col("taken") / F.col("size")).alias("c")).collect()}
+    for source in {s for _, s in copies}:
+        own = {n: c for (n, s), c in copies.items() if s == source}
+        assert all(abs(own[2 * n] / own[n] - 2**mixing.LENGTH_POWER) < 0.25 for n in own if 2 * n in own)
     weighted = mixing.mix(uneven.withColumn("own", F.when(F.col("doc_id") < 1500, 1.0).otherwise(0.2)), weight_col="own").filter("source_size > 5000").groupBy((F.col("doc_id") < 1500).alias("k")).agg(F.sum("taken")).collect()
     assert dict(map(tuple, weighted))[True] > 2 * dict(map(tuple, weighted))[False]
     again = mixing.repeat(uneven)
