@@ -1,15 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source has a target number of words. A document's expected number of copies is the
-source's target over its size, times the document's own weight where one is given; the whole
-part is certain, and the fraction is its inclusion probability p. Documents of a source are
-ranked by random odds over inclusion odds, [u / (1 - u)] / [p / (1 - p)], and taken in that
-order as long as they fit into the words still wanted: a sample of fixed size (in words) with
-unequal probabilities. u is a hash of the document, so reruns agree.
-
-No source's documents meet in one task: ranks are 48-bit numbers, and the cut is found by
-summing words into 4,096 ranges of ranks, twice, and ordering only the documents of the one
-range that holds the cut.
+Every source has a target number of words. A document's expected number of copies is in
+proportion to a power of its length (times a weight of its own where one is given), at most
+`most`, and such that the expected words of the source meet its target. The whole part is
+certain; the fraction is the inclusion probability p, which differs inside a source. Documents of a
+source are ranked by random odds over inclusion odds, [u / (1 - u)] / [p / (1 - p)], and drawn in
+that order as long as they fit into the words still wanted: a sample of fixed size (in words) with
+unequal probabilities. What the length of the first one that doesn't fit leaves open is closed by
+single documents, on either side of the target. u is a hash of the document, so reruns agree.
+
+No source's documents meet in one task: weights are by classes of documents, the cut is found by
+summing words into 65,536 ranges of ranks, and only the documents of the one range that holds
+the cut are ordered.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import cut, small, word_count
 
 WEIGHTS, MOST_COPIES = (1, 2, 3), 3
-_BITS = 12
+#: A document twice as long is expected 2 ** LENGTH_POWER times as often (0: all alike).
+LENGTH_POWER = 0.25
+_RANGES = 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -28,7 +32,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     weights that repeat in the order of sources (code points, null last); no target exceeds
     `most` times the source's size, and what that leaves over is shared among the others by
     weight until none exceeds it."""
-    spark = sizes.sparkSession
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source, not a document
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
     table = cut(sizes.withColumn("_w", pick).withColumn("_cap", F.lit(float(most)) * F.col("source_size")), "sources")
@@ -49,82 +52,111 @@ def _unit(*cols: Column | str) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def _near(table: DataFrame) -> tuple[DataFrame, Column]:
-    """A small table by source, and what joins it to documents."""
-    return small(table.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))
+def _near(table: DataFrame, *more: str) -> tuple[DataFrame, Column]:
+    """A small table by source (and more columns), and what joins it to documents."""
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    for name in more:
+        table, same = table.withColumnRenamed(name, f"_{name}"), same & (F.col(name) == F.col(f"_{name}"))
+    return small(table.withColumnRenamed("source", "_source")), same
+
+
+def _expected(cells: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """cells: (source, class, weight, words), a row for each class of documents of a source. With
+    source_size, target and copies: the least of `most` and weight times a factor of the
+    source, such that copies times words add up to the target."""
+    joined = cells.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    heavy = Window.partitionBy("source").orderBy(F.desc("weight"), "class").rowsBetween(Window.unboundedPreceding, -1)
+    light = Window.partitionBy("source").orderBy(F.asc("weight"), F.desc("class")).rowsBetween(Window.unboundedPreceding, 0)
+    # If the heavier classes are full, the rest share what is left; the first class that then stays within `most` sets the factor.
+    left = F.col("target") - F.lit(float(most)) * F.coalesce(F.sum("words").over(heavy), F.lit(0))
+    mass = F.sum(F.col("weight") * F.col("words")).over(light)
+    steps = joined.withColumn("_factor", F.when(mass > 0, left / mass).otherwise(F.lit(0.0)))
+    fits = F.when((F.col("weight") > 0) & (F.col("_factor") * F.col("weight") <= F.lit(float(most) * (1 + 1e-12))), F.col("_factor"))
+    factor = F.coalesce(F.max_by(fits, F.when(fits.isNotNull(), F.col("weight"))).over(Window.partitionBy("source")), F.lit(float("inf")))
+    return steps.withColumn("copies", F.least(F.lit(float(most)), F.when(F.col("weight") > 0, factor * F.col("weight")).otherwise(F.lit(0.0)))).drop("_factor")
 
 
 def _draw(ranked: DataFrame) -> DataFrame:
-    """Draw more documents in the order of their ranks, as long as all drawn ones of a source
-    stay within its words wanted. ranked: source, size, _whole, _rank, _drawn and more, with one
-    target for each source."""
-    taken = (F.col("_whole") + F.col("_drawn")) * F.col("size")
-    wanted = cut(ranked.groupBy("source").agg((F.first("target") - F.sum(taken)).alias("_fit")), "wanted")
-    free = (F.col("_drawn") == 0) & F.col("_rank").isNotNull() & (F.col("size") <= F.col("_fit"))
-    state = wanted.withColumns({"_want": F.col("_fit"), "_prefix": F.lit(0).cast("long")})
-    for depth in (1, 2):  # in which 4,096th of the ranks are the words reached, and where in that?
-        shift = 48 - _BITS * depth
-        near, same = _near(state)
-        inside = ranked.join(near, same & free & (F.shiftright("_rank", shift + _BITS) == F.col("_prefix")))
-        sums = inside.groupBy("source", "_want", F.shiftright("_rank", shift).alias("_range")).agg(F.sum("size").alias("_words"))
-        run = F.sum("_words").over(Window.partitionBy("source").orderBy("_range"))  # 4,096 rows a source at most
-        found = F.struct((F.col("_want") - F.col("_upto") + F.col("_words")).alias("_want"), F.col("_range").alias("_prefix"))
-        ends = sums.withColumn("_upto", run).filter("_upto > _want").groupBy("source").agg(F.min_by(found, "_range").alias("_end"))
-        beyond = F.lit(1 << (_BITS * depth)).cast("long")  # where the words are not reached, all ranks come before
-        left = state.select(F.col("source").alias("_source"), "_fit").join(ends, F.col("_source").eqNullSafe(F.col("source")), "left")
-        state = cut(left.select(F.col("_source").alias("source"), "_fit", F.coalesce("_end._want", F.lit(0.0)).alias("_want"), F.coalesce("_end._prefix", beyond).alias("_prefix")), "wanted")
-    near, same = _near(state.withColumnRenamed("_want", "_left"))
-    placed = ranked.join(near, same).drop("_source").withColumn("_range", F.shiftright("_rank", 48 - 2 * _BITS)).withColumn("_free", F.coalesce(free, F.lit(False)))
-    edge = F.col("_free") & (F.col("_range") == F.col("_prefix"))
-    sure = placed.filter(~edge).withColumn("_drawn", F.when(F.col("_free") & (F.col("_range") < F.col("_prefix")), 1).otherwise(F.col("_drawn")))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("_rank", "_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    last = placed.filter(edge).withColumn("_upto", upto).withColumn("_drawn", (F.col("_upto") <= F.col("_left")).cast("int")).drop("_upto")
-    return cut(sure.unionByName(last).select(*ranked.columns), "pareto")
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 5, weight_col: str | None = None, passes: int = 3) -> DataFrame:
+    """ranked: source, size, target, _whole, _rank and more. With _drawn: 1 for documents drawn in
+    the order of their ranks, as long as they fit into the words their source still wants. Written."""
+    in_range = F.floor(F.col("_rank") * F.lit(float(_RANGES))).cast("int")
+    sums = ranked.groupBy("source", in_range.alias("_range")).agg(F.sum(F.when(F.col("_rank").isNotNull(), F.col("size"))).alias("_words"), F.sum(F.col("_whole") * F.col("size")).alias("_sure"), F.first("target").alias("target"))
+    sums = cut(sums, "ranges")
+    wanted = sums.groupBy("source").agg((F.first("target") - F.sum("_sure")).alias("_want"))
+    near, same = _near(wanted)
+    before = F.sum("_words").over(Window.partitionBy("source").orderBy("_range")) - F.col("_words")  # 65,536 rows a source at most
+    upto = sums.filter("_range is not null").withColumn("_before", before).join(near, same)
+    ends = upto.filter("_before + _words > _want and _before <= _want").groupBy("source").agg(F.min_by(F.struct("_range", (F.col("_want") - F.col("_before")).alias("_left")), "_range").alias("_end"))
+    state = wanted.join(ends.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
+    # Where the words are not reached, all ranks come before; where none are wanted, none do.
+    beyond = F.when(F.col("_want") > 0, F.lit(_RANGES)).otherwise(F.lit(-1))
+    state = cut(state.select("source", F.coalesce("_end._range", beyond).alias("_cut"), F.coalesce("_end._left", F.lit(0.0)).alias("_left")), "wanted")
+    near, same = _near(state)
+    placed = ranked.join(near, same).drop("_source").withColumn("_range", in_range)
+    edge = F.coalesce(F.col("_range") == F.col("_cut"), F.lit(False))
+    sure = placed.filter(~edge).withColumn("_drawn", F.coalesce((F.col("_range") < F.col("_cut")).cast("int"), F.lit(0)))
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("_rank", "_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    last = placed.filter(edge).withColumn("_drawn", (run <= F.col("_left")).cast("int"))
+    return cut(sure.unionByName(last).select(*ranked.columns, "_drawn").withColumn("_row", F.monotonically_increasing_id()), "pareto")
+
+
+def _close(placed: DataFrame, most: int) -> DataFrame:
+    """A copy more or less of single documents, of each source the longest that fits into the words
+    missing or too many (if none fits, the one that comes nearest), as long as that brings any
+    source nearer to its target."""
+    while True:
+        copies = F.col("_whole") + F.col("_drawn")
+        gaps = cut(placed.groupBy("source").agg((F.first("target") - F.sum(copies * F.col("size"))).alias("_gap")), "gaps")
+        near, same = _near(gaps)
+        step = F.signum("_gap").cast("int")
+        after = F.abs(F.col("_gap") - step * F.col("size"))
+        may = (copies + step).between(0, most) & (after < F.abs("_gap")) & F.col("_rank").isNotNull()
+        best = placed.join(near, same).filter(may).withColumn("_after", after).withColumn("_over", F.col("size") > F.abs("_gap"))
+        flips = best.groupBy("source").agg(F.min_by(F.struct("_row", step.alias("_step")), F.struct("_over", "_after", "_rank", "_row")).alias("_flip"))
+        flips = cut(flips.select(F.col("_flip._row").alias("_one"), F.col("_flip._step").alias("_step")), "flips")
+        if flips.isEmpty():
+            return placed
+        placed = placed.join(small(flips), F.col("_row") == F.col("_one"), "left").withColumn("_drawn", F.col("_drawn") + F.coalesce("_step", F.lit(0))).drop("_one", "_step")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 5, length_power: float = LENGTH_POWER, weight_col: str | None = None) -> DataFrame:
     """How much of every row of docs (doc_id, text, source; more columns are ignored) the mix
     takes. A null text has size 0, a null source is a source of its own. Repeated rows are
     drawn each for itself; rows that agree in all of these columns share their random number,
     so which of them is taken makes no difference. An empty table gives an empty result.
-    weight_col: positive weights that make inclusion unequal inside a source; copies stay
-    within `most`, so a source with uneven weights can stay below its target. passes: a
-    document too long for the words still wanted is passed over, and the next pass goes on
-    among those that fit.
+    length_power: see LENGTH_POWER; lengths count by powers of two. weight_col: positive weights
+    of documents besides, of few distinct values (missing: 1).
 
     doc_id, size, source_size, target, taken (words, whole copies)."""
-    ranked = _copies(docs, weights, most, seed, weight_col, passes)
+    ranked = _copies(docs, weights, most, seed, length_power, weight_col)
     return ranked.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 5) -> DataFrame:
+def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 5, length_power: float = LENGTH_POWER) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; see mix(). Documents without words
     take no part in the counts and stay once. Rows that share a doc_id are counted together:
     each is repeated as often as the first of them."""
-    taken = _copies(docs, weights, most, seed, None, 3)
+    taken = _copies(docs, weights, most, seed, length_power, None)
     times = taken.filter("size > 0 and copies != 1").groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies"))
     times = cut(times.withColumnRenamed("doc_id", "_id"), "copies")
     out = docs.join(small(times), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
-def _copies(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, weight_col: str | None, passes: int) -> DataFrame:
-    own = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+def _copies(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, length_power: float, weight_col: str | None) -> DataFrame:
+    own = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
     dice = _unit(F.lit(seed), F.col("doc_id"), F.coalesce("source", F.lit("")), F.col("source").isNull(), F.coalesce("text", F.lit("")))
-    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), dice.alias("_u"), own.alias("_own")), "sizes")
-    sums = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_own")).alias("_mass")), "mass")
-    targets = source_targets(sums.select("source", "source_size"), weights, most)
-    per = targets.join(sums.select(F.col("source").alias("_s"), "_mass"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    per = cut(per.withColumn("_scale", F.when(F.col("_mass") > 0, F.col("target") / F.col("_mass")).otherwise(F.lit(0.0))), "scales")
-    near, same = _near(per)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), dice.alias("_u"), own.alias("_own"))
+    weight = F.when(F.col("size") > 0, F.col("_own") * F.pow(F.lit(2.0), F.lit(length_power) * F.length(F.bin("size")))).otherwise(F.lit(0.0))
+    slim = cut(slim.withColumn("weight", weight).withColumn("class", F.xxhash64("weight")).drop("_own"), "sizes")
+    cells = cut(slim.groupBy("source", "class").agg(F.first("weight").alias("weight"), F.sum("size").alias("words")), "cells")
+    targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    expected = cut(_expected(cells, targets, most).select("source", "class", "source_size", "target", "copies"), "expected")
+    near, same = _near(expected, "class")
     # 1e-9: a target of exactly `most` times the size must not lose a copy to rounding.
-    copies = F.least(F.lit(float(most)), F.col("_scale") * F.col("_own") + F.lit(1e-9))
-    p = F.col("_p")
+    whole = F.floor(F.col("copies") + F.lit(1e-9))
+    p = F.greatest(F.lit(0.0), F.col("copies") - whole)
     odds = (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p))
-    ranked = slim.join(near, same).drop("_source").withColumn("_copies", copies).withColumn("_whole", F.floor("_copies"))
-    ranked = ranked.withColumn("_p", F.greatest(F.lit(0.0), F.col("_copies") - F.col("_whole") - F.lit(1e-9)))
-    ranked = ranked.withColumn("_rank", F.when((p > 1e-6) & (F.col("size") > 0), F.floor(odds / (1 + odds) * F.lit(float(1 << 48)))).cast("long"))
-    ranked = cut(ranked.select("doc_id", "source", "size", "source_size", "target", "_whole", "_rank", "_u", F.lit(0).alias("_drawn")), "pareto")
-    for _ in range(passes):
-        ranked = _draw(ranked)
-    return ranked.withColumn("copies", F.col("_whole") + F.col("_drawn"))
+    rank = F.when((p > 1e-6) & (F.col("size") > 0), F.least(odds / (1 + odds), F.lit(1 - 2.0**-52)))
+    ranked = slim.join(near, same).select("doc_id", "source", "size", "source_size", "target", whole.alias("_whole"), rank.alias("_rank"), "_u")
+    return _close(_draw(ranked), most).withColumn("copies", F.col("_whole") + F.col("_drawn"))
