@@ -480,13 +480,36 @@ def test_shards(spark, odd, docs, empty):
         assert all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(40))
         assert max(map(len, by.values())) - min(len(by.get(k, ())) for k in range(40)) <= 1
         assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
-    where = defaultdict(set)
-    for r in shards.assign(hot).collect():
-        where[r["text_crc32"]].add(r["shard"])
-    assert sum(len(x) - 1 for x in where.values()) <= 39
     assert shards.assign(empty).count() == 0
 
 
+def cut_pairs(rows, links):
+    """Pairs of rows with one link in different shards."""
+    where = defaultdict(Counter)
+    for r in rows:
+        for link in links[r["doc_id"]]:
+            where[link][r["shard"]] += 1
+    return sum(sum(c.values()) ** 2 - sum(n * n for n in c.values()) for c in where.values()) // 2
+
+
+def test_shards_follow_the_propagated_labels(spark):
+    """The labels decide: rounds cut fewer links, of equal texts and of another column alike, and
+    where half of all rows have no links next to no group of equal texts is parted."""
+    texts = [f"t{i // 6}" if i % 6 > 2 else f"own{i}" for i in range(6000)]
+    hot = [(i, "same" if i % 3 == 0 else f"t{i // 6}") for i in range(2000)]
+    for rows, share in (([(i, t) for i, t in enumerate(texts)], 0.05), (hot, 1)):
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        cuts = [cut_pairs(shards.assign(table, rounds=n).collect(), {i: [t] for i, t in rows}) for n in (0, 3)]
+        assert cuts[1] < share * cuts[0]
+    rows = [(i, f"t{i // 3}", f"f{i % 700}" if i % 2 else None) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, family string")
+    links = {i: [t, f] if f else [t] for i, t, f in rows}
+    got = [shards.assign(table, rounds=n, link_by=("family",)).collect() for n in (0, 3)]
+    assert cut_pairs(got[1], links) < 0.7 * cut_pairs(got[0], links)
+    sizes = Counter(r["shard"] for r in got[1])
+    assert set(sizes.values()) == {75} and sorted(r["doc_id"] for r in got[1]) == list(range(3000))
+
+
 # --- the pipeline
 
 
