@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 PAGE_SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Elements, name hints and stop words.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video")
-NEVER = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "figcaption", "fieldset")
+RAW = ("script", "style", "noscript", "template", "iframe", "object", "textarea", "select", "title", "desc", "annotation", "annotation-xml", "canvas", "audio", "video")
+NEVER = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset")
 BLOCKS = ("address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 HINTS = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "disqus", "consent", "cookie", "cookies", "disclaimer", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "recommended", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "widget")
@@ -43,7 +44,8 @@ AROUND = frozenset(("has", "with", "without", "no", "content", "main", "layout")
 # Rules of pass one, after the published defaults of stop-word density classifiers.
 SHORT, LONG, MANY_LINKS, LOW_STOP, HIGH_STOP = 70, 200, 0.4, 0.10, 0.20
 
-_TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ENDS = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,6 +82,20 @@ def _hint(attributes: dict[str, str]) -> int:
     return found
 
 
+def _tag_end(page: str, at: int, quoted: bool) -> tuple[int, bool]:
+    """Where the tag ends in which `at` is: at the next >, outside of quotes if quotes close. From the
+    first tag on whose quotes don't, they count for nothing (else a page could be read again for
+    each of its tags). There is a > after `at`."""
+    i = at
+    while quoted:
+        mark = _ENDS.search(page, i)
+        if mark and mark[0] == ">":
+            return mark.start(), True
+        i = page.find(mark[0], mark.end()) + 1 if mark else 0
+        quoted = i > 0
+    return page.find(">", at), False
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out: list[Block] = []
@@ -102,31 +118,47 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(now)
         now = Block(*(stack[-1][1:] if stack else (False, 0, 0)), language)
 
-    at, n = 0, len(page)
+    at, n, last, quoted = 0, len(page), page.rfind(">"), True
+    opened: Counter[str] = Counter()
+    never: set[str] = set()  # elements that are not closed from here on
     while at < n:
-        tag = _TAG.search(page, at)
-        if not tag:
+        start = page.find("<", at)
+        if start < 0:
             put(page[at:])
             break
-        put(page[at : tag.start()])
-        at = tag.end()
-        if page.startswith("<!--", tag.start()):
-            end = page.find("-->", at)
+        put(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
             at = n if end < 0 else end + 3
             continue
-        if page.startswith("<![CDATA[", tag.start()):
-            end = page.find("]]>", at)
-            put(page[at : n if end < 0 else end])
+        if page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start + 9)
+            put(page[start + 9 : n if end < 0 else end])
             at = n if end < 0 else end + 3
             continue
-        name = (tag[2] or tag[5] or "").lower()
-        closing, attributes = bool(tag[1] or tag[4]), tag[3] or tag[6] or ""
-        if not name:
+        if start > last:
+            put(page[start:])
+            break
+        if page[start + 1 : start + 2] in ("!", "?"):
+            at = page.find(">", start) + 1
+            continue
+        tag = _NAME.match(page, start)
+        if not tag:
+            put("<")
+            at = start + 1
             continue
+        end, quoted = _tag_end(page, tag.end(), quoted)
+        name, closing, attributes = tag[2].lower(), bool(tag[1]), page[tag.end() : end]
+        at = end + 1
         if name in RAW and not closing:
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else (n if name in ("script", "style", "textarea", "title") else at)
+            if not attributes.rstrip().endswith("/") and name not in never:
+                close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                if close:
+                    at = page.find(">", close.end()) + 1 or n
+                elif name in ("script", "style", "textarea", "title"):
+                    at = n
+                else:
+                    never.add(name)
             fresh() if name in ("title", "textarea", "select") else None
             continue
         if name == "a":
@@ -138,14 +170,15 @@ def blocks_of(page: str) -> list[Block]:
         if name not in BLOCKS and name not in NEVER:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            while opened[name]:
+                top = stack.pop()[0]
+                opened[top] -= 1
+                if top == name:
                     break
             link = 0
         elif name not in VOID:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-                stack.pop()  # these end where the next of their kind starts
+                opened[stack.pop()[0]] -= 1  # these end where the next of their kind starts
             bad, hint, inside = stack[-1][1:] if stack else (False, 0, 0)
             named = _attributes(attributes) if attributes.strip() else {}
             if name in ("html", "body"):
@@ -157,6 +190,7 @@ def blocks_of(page: str) -> list[Block]:
             if name not in ("html", "body", "article", "main"):
                 bad, hint = bad or name in NEVER or _hidden(named), max(hint, _hint(named))
             stack.append((name, bad, hint, inside))
+            opened[name] += 1
         fresh()
     fresh()
     return out
@@ -173,7 +207,7 @@ def classify(blocks: list[Block]) -> list[bool]:
     share = [n / max(1, len(ws)) for n, ws in zip(stops, words)]
     solid = [len(b.text) >= LONG and (share[i] >= HIGH_STOP or not fits) for i, b in enumerate(blocks)]
     # Names say nothing where all long texts of the page are under hints.
-    hints = any(solid[i] and not blocks[i].hint for i in own)
+    hints, some = any(solid[i] and not blocks[i].hint for i in own), any(solid[i] for i in own)
     labels: list[bool | None] = []
     for i, b in enumerate(blocks):
         if b.bad or linked[i]:
@@ -181,7 +215,7 @@ def classify(blocks: list[Block]) -> list[bool]:
         elif b.hint and b.inside:
             labels.append(None if solid[i] or b.hint == 1 else False)
         elif b.hint and (hints or not solid[i]):
-            labels.append(False if hints or b.hint == 2 or not any(solid[k] for k in own) else None)
+            labels.append(False if hints or b.hint == 2 or not some else None)
         elif len(b.text) < SHORT:
             labels.append(None)
         elif solid[i]:
