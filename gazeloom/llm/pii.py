@@ -10,8 +10,9 @@ maximisation on the counts estimates each labeler's reliability and each vote pa
 probability, and a naive Bayes classifier over features of spans is trained on these
 probabilities. Candidates of wider forms are kept where it gives 1/2 or more; base spans stay.
 
-Texts are read twice, rows are never exploded beyond candidates, and only tables of counts,
-bounded by the votes' and features' values, are shuffled.
+Texts are searched once, in time in proportion to their length and matches; rows are never
+exploded beyond candidates, and only tables of counts, bounded by the votes' and features' values,
+are shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
 EM_ROUNDS = 8
+#: Code points before and after a span that are its context; items in a block of a fold.
+BEFORE, AFTER, BLOCK = 24, 8, 64
 # The base forms; possessive where no other match is possible, so that matching takes time in
 # proportion to the text. A match of a local part starts where a run starts or a match ended.
 _BASE = {
@@ -53,21 +56,39 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m, before, after>> of the matches: code points, end exclusive."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _with_prefixes(df: DataFrame, names: list[str], merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with, for each named array of non-negative ints, an array _pre<name>: of each element, merge
+    over those before it (0 before the first). By blocks, so that the work is about in
+    proportion to the elements (a fold that gathers all of them copies them at each step)."""
+    none = F.array().cast("array<array<int>>")
+    fold = lambda xs, get: F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), get(x)))))
+
+    def blocks(name: str) -> Column:
+        inside = lambda at: fold(F.slice(F.col(name), at, F.lit(BLOCK)), lambda x: x)
+        return F.when(F.size(name) > 0, F.transform(F.sequence(F.lit(1), F.size(name), F.lit(BLOCK)), inside)).otherwise(none)
+
+    def joined(name: str) -> Column:
+        own = F.col(f"_blocks{name}")
+        before = F.slice(fold(own, lambda block: F.element_at(block, -1)), F.lit(1), F.size(own))
+        whole = lambda z: F.transform(F.slice(z["block"], F.lit(1), F.size(z["block"]) - 1), lambda v: merge(z["upto"], v))
+        return F.flatten(F.transform(F.arrays_zip(own.alias("block"), before.alias("upto")), whole))
+
+    df = df.withColumns({f"_blocks{name}": blocks(name) for name in names})
+    return df.withColumns({f"_pre{name}": joined(name) for name in names}).drop(*[f"_blocks{name}" for name in names])
+
+
+def _matches(pieces: Column, matches: Column) -> Column:
+    """array<struct<gap, n, m, before, after>> of the matches that parted a text into pieces."""
     n = F.size(matches)
     rows = F.arrays_zip(F.slice(pieces, F.lit(1), n).alias("gap"), matches.alias("m"), F.slice(pieces, F.lit(2), n).alias("next"))
-    kind = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    part = lambda r: F.struct(F.length(r["gap"]).alias("gap"), F.length(r["m"]).alias("n"), r["m"].alias("m"), F.right(r["gap"], F.lit(BEFORE)).alias("before"), F.left(r["next"], F.lit(AFTER)).alias("after"))
+    return F.transform(rows, part)
 
-    def step(acc: Column, row: Column) -> Column:
-        s = acc["at"] + F.length(row["gap"])
-        e = s + F.length(row["m"])
-        span = F.struct(s.alias("s"), e.alias("e"), row["m"].alias("m"), F.right(row["gap"], F.lit(24)).alias("before"), F.left(row["next"], F.lit(8)).alias("after"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+def _placed(name: str) -> Column:
+    """array<struct<s, e, m, before, after>>: code points, end exclusive."""
+    place = lambda z: F.struct((z["upto"] + z["r"]["gap"]).alias("s"), (z["upto"] + z["r"]["gap"] + z["r"]["n"]).alias("e"), z["r"]["m"].alias("m"), z["r"]["before"].alias("before"), z["r"]["after"].alias("after"))
+    return F.transform(F.arrays_zip(F.col(f"_r_{name}").alias("r"), F.col(f"_pre_l_{name}").alias("upto")), place)
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -114,24 +135,48 @@ def _each(fn: Callable[..., Column], kind: object) -> Callable[[Column], Column]
     return lambda c: fn(kind, c)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with, for each kind, its base spans (_base_<kind>) and its wide candidates that
-    overlap none of them (_wide_<kind>)."""
+def candidates(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (with `keep`, only these columns) with, for each kind, its base spans (_base_<kind>) and its wide candidates that
+    overlap none of them (_wide_<kind>). Written: a text is searched once."""
     out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    may = {"email": F.contains("_text", F.lit("@")), "ip": F.col("_text").rlike("[0-9]"), "card": F.col("_text").rlike("[0-9]"), "phone": F.contains("_text", F.lit("+"))}
-    wide_may = {"email": F.col("_text").rlike("[(\\[{] ?at"), "ip": F.col("_text").rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"), "card": F.col("_text").rlike("[0-9]{4}[._/][0-9]"), "phone": F.col("_text").rlike("[0-9][.)-]")}
-    for kind in KINDS:
-        hits = F.filter(_found(F.col("_text"), _BASE[kind]), _each(lambda k, c: _valid(k, c["m"]), kind))
-        out = out.withColumn(f"_base_{kind}", F.when(may[kind], F.transform(hits, _each(lambda k, c: _judged(k, False, c), kind))))
-        out = out.withColumn(f"_base_{kind}", F.coalesce(f"_base_{kind}", F.array()))
-    every = F.concat(*[F.transform(f"_base_{k}", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))) for k in KINDS])
-    out = out.withColumn("_taken", every)
-    for kind in KINDS:
-        free = _each(lambda k, c: _wide_valid(k, c["m"]) & ~F.exists("_taken", lambda b: (c["s"] < b["e"]) & (c["e"] > b["s"])), kind)
-        hits = F.filter(_found(F.col("_text"), _WIDE[kind]), free)
-        out = out.withColumn(f"_wide_{kind}", F.when(wide_may[kind], F.transform(hits, _each(lambda k, c: _judged(k, True, c), kind))))
-        out = out.withColumn(f"_wide_{kind}", F.coalesce(f"_wide_{kind}", F.array()))
-    return out
+    has = lambda pattern: F.col("_text").rlike(pattern)
+    may = {"email": F.contains("_text", F.lit("@")), "ip": has("[0-9]"), "card": has("[0-9]"), "phone": F.contains("_text", F.lit("+"))}
+    wide_may = {"email": has("[(\\[{] ?at"), "ip": has("[0-9A-Fa-f]:[0-9A-Fa-f]"), "card": has("[0-9]{4}[._/][0-9]"), "phone": has("[0-9][.)-]")}
+    searches = [("base", k, _BASE[k], may[k]) for k in KINDS] + [("wide", k, _WIDE[k], wide_may[k]) for k in KINDS]
+    none = F.array().cast("array<string>")
+    parted = {}
+    for what, k, pattern, there in searches:
+        parted[f"_p_{what}_{k}"] = F.when(there, F.split("_text", pattern, -1)).otherwise(none)
+        parted[f"_m_{what}_{k}"] = F.when(there, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(none)
+    out = out.withColumns(parted)
+    # Each step is a projection of its own, or each use of a list would make it again.
+    names = [f"{what}_{k}" for what, k, *_ in searches]
+    out = out.withColumns(parted).withColumns({f"_r_{x}": _matches(F.col(f"_p_{x}"), F.col(f"_m_{x}")) for x in names})
+    out = out.withColumns({f"_l_{x}": F.transform(f"_r_{x}", lambda r: r["gap"] + r["n"]) for x in names})
+    out = _with_prefixes(out, [f"_l_{x}" for x in names], lambda a, b: a + b)
+    judged = {}
+    for what, k, *_ in searches:
+        wide, valid = what == "wide", _wide_valid if what == "wide" else _valid
+        hits = F.filter(_placed(f"{what}_{k}"), _each(lambda kw, c, valid=valid: valid(kw, c["m"]), k))
+        judged[f"_{what}_{k}"] = F.transform(hits, _each(lambda kw, c, wide=wide: _judged(kw, wide, c), k))
+    out = out.withColumns(judged).drop(*[f"_{x}_{y}" for x in ("p", "m", "r", "l", "pre_l") for y in names])
+    # Wide candidates and all base spans by start: the furthest end of a base span before, and the next base span's start.
+    taken = F.concat(*[F.transform(f"_base_{k}", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), F.lit(0).alias("wide"))) for k in KINDS])
+    every = lambda k: F.array_sort(F.concat(taken, F.transform(f"_wide_{k}", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.lit(1).alias("wide")))))
+    out = out.withColumns({f"_o_{k}": F.when(F.size(f"_wide_{k}") > 0, every(k)).otherwise(F.array()) for k in KINDS})
+    far = 2**31 - 1
+    out = out.withColumns({f"_e_{k}": F.transform(f"_o_{k}", lambda x: F.when(x["wide"] == 0, x["e"]).otherwise(0)) for k in KINDS})
+    out = out.withColumns({f"_b_{k}": F.transform(F.reverse(f"_o_{k}"), lambda x: F.when(x["wide"] == 0, far - x["s"]).otherwise(0)) for k in KINDS})
+    out = _with_prefixes(out, [f"_{x}_{k}" for x in "eb" for k in KINDS], F.greatest)
+    clear = {}
+    for k in KINDS:
+        rows = F.arrays_zip(F.col(f"_o_{k}").alias("x"), F.col(f"_pre_e_{k}").alias("end"), F.reverse(f"_pre_b_{k}").alias("next"))
+        rows = F.filter(rows, lambda z: z["x"]["wide"] == 1)  # as many as candidates, in their order
+        pairs = F.arrays_zip(F.col(f"_wide_{k}").alias("c"), rows.alias("z"))
+        free = F.filter(pairs, lambda p: (p["z"]["end"] <= p["c"]["s"]) & (far - p["z"]["next"] >= p["c"]["e"]))
+        clear[f"_wide_{k}"] = F.when(F.size(f"_wide_{k}") > 0, F.transform(free, lambda p: p["c"])).otherwise(F.col(f"_wide_{k}"))
+    out = out.withColumns(clear)
+    return cut(out.select(*(docs.columns if keep is None else keep), *[f"_{what}_{k}" for what in ("base", "wide") for k in KINDS]), "candidates")
 
 
 def _logit(p: Column | float):
@@ -144,8 +189,7 @@ def train(found: DataFrame) -> dict:
     each = F.concat(*[F.transform(F.concat(f"_base_{k}", f"_wide_{k}"), _each(lambda i, c: F.struct(F.lit(i).alias("kind"), *[c[x].alias(x) for x in (*_VOTES, *_FEATURES)]), i)) for i, k in enumerate(KINDS)])
     counts = found.select(F.explode(each).alias("c")).select("c.*").groupBy("kind", *_VOTES, *_FEATURES).agg(F.count("*").alias("n"))
     counts = cut(counts.coalesce(1), "votes")
-    patterns = counts.groupBy("kind", *_VOTES).agg(F.sum("n").alias("n"))
-    patterns = cut(patterns.coalesce(1), "patterns")
+    patterns = counts.groupBy("kind", *_VOTES).agg(F.sum("n").alias("n")).collect()  # 3 ** 5 patterns a kind at most
     rates = {k: (0.5, [0.8] * len(_VOTES)) for k in range(len(KINDS))}
 
     def posterior() -> Column:
@@ -157,16 +201,19 @@ def train(found: DataFrame) -> dict:
             branches = branches.when(F.col("kind") == k, 1 / (1 + F.exp(-logit)))
         return branches
 
+    clip = lambda x: min(0.99, max(0.01, x))
     for _ in range(EM_ROUNDS):
-        p, n = F.col("_p"), F.col("n")
-        sums = [F.sum(p * n), F.sum(n)]
-        for v in _VOTES:  # agreement of the vote with the estimate, over its votes
-            sums += [F.sum(F.when(F.col(v) == 1, p * n).when(F.col(v) == 2, (1 - p) * n).otherwise(0.0)), F.sum(F.when(F.col(v) > 0, n).otherwise(0))]
-        for row in patterns.withColumn("_p", posterior()).groupBy("kind").agg(*sums).collect():  # a row a kind
-            clip = lambda x: min(0.99, max(0.01, x))
-            yes, all_ = row[1], row[2]
-            right = [max(0.5, clip((row[3 + 2 * i] + 4.0) / (row[4 + 2 * i] + 5.0))) for i in range(len(_VOTES))]  # as if 4 of 5 more votes were right
-            rates[row[0]] = (clip((yes + 1.0) / (all_ + 2.0)), right)
+        for k, (prior, right) in rates.items():
+            own = [(r[1 : 1 + len(_VOTES)], r["n"]) for r in patterns if r["kind"] == k]
+            logit = [_logit(prior) + sum(_logit(a) * (1 if v == 1 else -1) for v, a in zip(votes, right) if v) for votes, _ in own]
+            p = [1 / (1 + math.exp(-x)) for x in logit]
+            total, yes = sum(n for _, n in own), sum(q * n for q, (_, n) in zip(p, own))
+            better = []
+            for i in range(len(_VOTES)):  # agreement of the vote with the estimate, over its votes
+                agreed = sum((q if votes[i] == 1 else 1 - q) * n for q, (votes, n) in zip(p, own) if votes[i])
+                voted = sum(n for votes, n in own if votes[i])
+                better.append(max(0.5, clip((agreed + 4.0) / (voted + 5.0))))  # as if 4 of 5 more votes were right
+            rates[k] = (clip((yes + 1.0) / (total + 2.0)), better)
     soft = counts.withColumn("_p", posterior())
     values = soft.select("kind", (F.col("_p") * F.col("n")).alias("yes"), ((1 - F.col("_p")) * F.col("n")).alias("no"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("int").alias("value")) for f in _FEATURES])).alias("x"))
     rows = values.groupBy("kind", "x.feature", "x.value").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()  # a row a feature's value
@@ -192,19 +239,19 @@ def _logodds(kind: str, c: Column, model: dict) -> Column:
     return out
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """docs with _base and _all: array<struct<k, s, e>> of the base spans and of all spans, by
-    kind as listed, then start; _text is the text or ''. Null and empty texts have none. Every
-    row stands for itself; an empty table gives an empty result. The docs should be cheap to
-    read twice (a table)."""
-    found = candidates(docs)
+def spans(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (with `keep`, only these columns) with _base and _all: array<struct<k, s, e>> of the base spans and of all spans, by
+    kind as listed, then start. Null and empty texts have none. Every
+    row stands for itself; an empty table gives an empty result."""
+    found = candidates(docs, keep)
     model = train(found)
     plain = lambda name, i: F.transform(name, lambda c: F.struct(F.lit(i).alias("k"), c["s"].alias("s"), c["e"].alias("e")))
     base = F.concat(*[plain(f"_base_{k}", i) for i, k in enumerate(KINDS)])
     kept = [F.filter(f"_wide_{k}", _each(lambda k, c: _logodds(k, c, model) >= 0, k)) for k in KINDS]
     found = found.withColumns({f"_kept_{k}": x for k, x in zip(KINDS, kept)})
     every = F.array_sort(F.concat(base, *[plain(f"_kept_{k}", i) for i, k in enumerate(KINDS)]))
-    return found.withColumns({"_base": base, "_all": every}).select(*docs.columns, "_text", "_base", "_all")
+    kept_columns = docs.columns if keep is None else list(keep)
+    return found.withColumns({"_base": base, "_all": every}).select(*kept_columns, "_base", "_all")
 
 
 def _joined(column: str) -> Column:
@@ -214,7 +261,7 @@ def _joined(column: str) -> Column:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_<kind> of base spans, base_sha256 and spans for every row."""
-    found = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keep=("doc_id",))
     count = [F.size(F.filter("_base", _each(lambda i, c: c["k"] == i, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(_joined("_base").cast("binary"), 256).alias("base_sha256"), _joined("_all").alias("spans"))
 
@@ -227,13 +274,14 @@ def mask(docs: DataFrame) -> DataFrame:
     order = F.array_sort(F.transform("_all", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"))))
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(acc: Column, c: Column) -> Column:
-        fresh = c["s"] >= acc["at"]
-        text = F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1, c["s"] - acc["at"]), F.element_at(marks, c["k"] + 1))
-        return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), F.when(fresh, text).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1)))
-    text = F.when(F.col("text").isNull(), F.lit(None)).when(F.size("_all") == 0, F.col("_text")).otherwise(clean)
+    # Spans that overlap become the first one's mark; what is between marks stays.
+    found = found.withColumn("_order", order).withColumn("_e", F.transform("_order", lambda c: c["e"]))
+    found = _with_prefixes(found, ["_e"], F.greatest)
+    cuts = F.transform(F.arrays_zip(F.col("_order").alias("c"), F.col("_pre_e").alias("a")), lambda z: F.struct(z["a"].alias("a"), z["c"]["s"].alias("s"), z["c"]["k"].alias("k")))
+    found = found.withColumn("_cuts", F.filter(cuts, lambda c: c["s"] >= c["a"]))
+    piece = lambda c: F.concat(F.substr(F.col("text"), c["a"] + 1, c["s"] - c["a"]), F.element_at(marks, c["k"] + 1))
+    tail = F.substr(F.col("text"), F.array_max(F.transform("_all", lambda c: c["e"])) + 1)
+    text = F.when(F.size("_cuts") > 0, F.concat(F.array_join(F.transform("_cuts", piece), ""), tail)).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))

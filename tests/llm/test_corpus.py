@@ -4,6 +4,7 @@ repeated rows and extra columns, and on the smallest given tables."""
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,6 +96,24 @@ def test_pii_method_adds_spans_and_mask_takes_all(spark):
     assert masked[100]["text"] == "please mail me: [EMAIL] today" and masked[102]["text"] is None and masked[102]["n_chars"] == 5
 
 
+def test_pii_wide_spans_overlap_no_base_span(spark):
+    """Also in texts of many thousands of spans, in time that grows with their number; an empty table."""
+    texts = ["call (626) 555-1234 or +1 (626) 555-1234 or tel (212) 555-9876.", "mail a (at) b (dot) com, x@y.com, c (at) d (dot) org"]
+    long = " ".join(f"u{i}@mail{i}.org, tel (626) 555-{1000 + i % 9000}" for i in range(16_000))
+    rows = [(i, t) for i, t in enumerate(texts * 30 + [long, "", None])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    begun = time.time()
+    got = {r["doc_id"]: r for r in pii.digest(table).collect()}
+    assert time.time() - begun < 60
+    assert got[0]["spans"] == "phone:5:19,phone:23:40,phone:48:62" and got[0]["n_phone"] == 1
+    assert got[1]["spans"] == "email:5:23,email:25:32,email:34:52" and got[1]["n_email"] == 1
+    assert got[60]["n_email"] == 16_000 and len(got[60]["spans"].split(",")) == 32_000 and got[61]["spans"] == got[62]["spans"] == ""
+    masked = pii.mask(table).filter("doc_id = 60").first()["text"]
+    assert masked == ", tel ".join(["[EMAIL]"] + ["[PHONE] [EMAIL]"] * 15_999 + ["[PHONE]"])
+    none = spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    assert pii.digest(none).count() == 0 and pii.mask(none).columns == none.columns
+
+
 # --- 2: similarity join
 
 
@@ -411,6 +430,26 @@ def test_html():
     assert html_text.main_text("<body>" + "<p>x y z</p>" * 3).count("x y z") == 3
 
 
+def test_html_keeps_what_articles_hold():
+    body = "<article><p>" + LONG + "</p>{}<p>" + LONG + "</p></article>"
+    told = lambda x: html_text.main_text(body.format(x)).split("\n")[1]
+    assert told("<figure><img src=x><figcaption>A caption</figcaption></figure>") == "A caption"
+    assert told("<p>Let <math><mi>x</mi><annotation>\\x</annotation></math> be it</p>") == "Let x be it"
+    assert told("<svg><title>no</title><text>drawn</text></svg>") == "drawn"
+    assert told('<section class="related-work"><p>Section text</p></section>') == "Section text"
+    assert told("<p>1 < 2 <b>and</b> a <3 >b</p>") == "1 < 2 and a <3 >b"
+    assert "<" not in html_text.main_text("<article><p>" + LONG + "<a href='x>y' title=\"a > b\">in</a></p></article>")
+    japanese = "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3002" * 60
+    assert html_text.main_text(f"<nav><a>x</a></nav><div><p>{japanese}</p></div>") == japanese
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<" * 1_000_000, "<a \">" * 200_000, "<p title='x>" * 80_000, "<!" * 500_000 + ">", "<div>" * 100_000 + "</p>" * 100_000, "<object>" * 100_000 + "</object " * 50_000, "<p class=menu>x" * 60_000, "<![CDATA[" * 100_000, "&amp" * 250_000])
+def test_html_takes_linear_time(page):
+    begun = time.time()
+    html_text.main_text(page)
+    assert time.time() - begun < 8
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE.format(long=LONG), 3), (1, "u", PAGE.format(long=LONG), 3), (None, None, None, None), (2, "v", "", 3), (3, "w", "<p>" + "the of and " * 30000, 3)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
