@@ -22,7 +22,7 @@ from .common import cut
 DEGREE, BEAM, ALPHA, BATCH = 24, 48, 1.2, 256
 #: Beam of queries: recall of the 20 nearest in a shard of 8,192 is 0.92 with 48 and 0.95 with 96.
 QUERY_BEAM = 96
-_HITS = "query_id long, vec_id long, score double"
+_HITS = vectors.HIT_SCHEMA.format(score="double")
 
 
 def beam_search(points: np.ndarray, edges: np.ndarray, start: int, targets: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alph
     return edges, start
 
 
-def build(ids: np.ndarray, vecs: np.ndarray) -> bytes:
+def build(rows: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> bytes:
     lengths = (vecs**2).sum(axis=1)
     lifted = np.concatenate([vecs, np.sqrt(np.maximum(lengths.max() - lengths, 0))[:, None]], axis=1)
     scale = max(float(np.abs(lifted).max()), 1e-300)
@@ -125,12 +125,12 @@ def build(ids: np.ndarray, vecs: np.ndarray) -> bytes:
     _, first, copy_of = np.unique(lifted, axis=0, return_index=True, return_inverse=True)
     points = lifted[first]
     edges, start = build_graph(points)
-    return vectors.to_image(ids=ids, vecs=vecs, points=points, copy_of=copy_of.ravel(), edges=edges.astype(np.int32), start=np.array(start))
+    return vectors.to_image(rows=rows, ids=ids, vecs=vecs, points=points, copy_of=copy_of.ravel(), edges=edges.astype(np.int32), start=np.array(start))
 
 
-def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of up to k rows a query, the score in double precision."""
-    ids, vecs, copy_of = index["ids"], index["vecs"], index["copy_of"]
+def search(index: dict[str, np.ndarray], query_rows: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the query's place, vec_id, score) of up to k rows a query, the score in double precision."""
+    own, ids, vecs, copy_of = index["rows"], index["ids"], index["vecs"], index["copy_of"]
     order = np.argsort(copy_of, kind="stable")  # rows by point, ids ascending among copies
     first = np.searchsorted(copy_of[order], np.arange(len(index["points"]) + 1))
     scale = np.sqrt((queries**2).sum(axis=1))
@@ -141,10 +141,10 @@ def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndar
         for row, found in enumerate(nodes, at):
             found = found[found >= 0]
             rows = np.concatenate([order[first[p] : min(first[p + 1], first[p] + k + 1)] for p in found.tolist()])
-            rows = rows[ids[rows] != query_ids[row]]
+            rows = rows[own[rows] != query_rows[row]]
             scores = (vecs[rows] * queries[row]).sum(axis=1)
             top = np.lexsort((ids[rows], -scores))[:k]
-            out_q.append(np.full(len(top), query_ids[row], np.int64))
+            out_q.append(np.full(len(top), row, np.int64))
             out_v.append(ids[rows[top]])
             out_s.append(scores[top])
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
@@ -163,7 +163,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, shard_rows: int = ve
 
     def one(pair: dict) -> pa.RecordBatch:
         block = vectors.from_image(pair["queries"])
-        found = search(vectors.from_image(pair["image"]), block["ids"], block["vecs"], k, max(beam, k + 1))
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+        found = search(vectors.from_image(pair["image"]), block["rows"], block["vecs"], k, max(beam, k + 1))
+        return pa.RecordBatch.from_arrays([pa.array(block["rows"][found[0]]), pa.array(block["ids"][found[0]]), pa.array(found[1]), pa.array(found[2], pa.float64())], names=["query_row", "query_id", "vec_id", "score"])
 
     return vectors.best(vectors.pairs(blocks, shards).mapInArrow(vectors.each_pair(one), _HITS), k)

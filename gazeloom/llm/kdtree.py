@@ -20,11 +20,11 @@ from . import vectors
 from .common import cut
 
 LEAF = 256
-_HITS = "query_id long, vec_id long, score long"
+_HITS = vectors.HIT_SCHEMA.format(score="long")
 _NONE = -(2**63)
 
 
-def build(ids: np.ndarray, points: np.ndarray) -> bytes:
+def build(rows: np.ndarray, ids: np.ndarray, points: np.ndarray) -> bytes:
     """The tree over points: nodes in preorder with boxes, point ranges and children."""
     order, nodes = np.arange(len(ids)), []
     todo = [(0, len(ids), -1, 0)]
@@ -42,19 +42,19 @@ def build(ids: np.ndarray, points: np.ndarray) -> bytes:
             middle = (end - start) // 2
             order[start:end] = order[start:end][np.argsort(own[:, axis], kind="stable")]
             todo += [(start + middle, end, at, 1), (start, start + middle, at, 0)]
-    return vectors.to_image(ids=ids[order], points=points[order], low=np.array([n[0] for n in nodes]), high=np.array([n[1] for n in nodes]), nodes=np.array([n[2:] for n in nodes], np.int64))
+    return vectors.to_image(rows=rows[order], ids=ids[order], points=points[order], low=np.array([n[0] for n in nodes]), high=np.array([n[1] for n in nodes]), nodes=np.array([n[2:] for n in nodes], np.int64))
 
 
-def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's best k points here that reach its kth."""
-    ids, points, nodes = tree["ids"], tree["points"], tree["nodes"].tolist()
+def search(tree: dict[str, np.ndarray], query_rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+    """(query_row, query_id, vec_id, score) of each query's best k points here that reach its kth."""
+    rows, ids, points, nodes = tree["rows"], tree["ids"], tree["points"], tree["nodes"].tolist()
     top = float(np.abs(points).max(initial=0)) * float(np.abs(queries).max(initial=0)) * points.shape[1]
     kind = np.float64 if top < 2**53 else object  # doubles hold these integers exactly, or Python's do
     points, queries = points.astype(kind), queries.astype(kind)
     bounds = np.maximum(queries, 0) @ tree["high"].astype(kind).T + np.minimum(queries, 0) @ tree["low"].astype(kind).T
     out = []
-    for row, query_id in enumerate(query_ids.tolist()):
-        q, bound, least = queries[row], bounds[row], int(kth[row])
+    for i, (query_row, query_id) in enumerate(zip(query_rows.tolist(), query_ids.tolist())):
+        q, bound, least = queries[i], bounds[i], int(kth[i])
         found: list[tuple[int, int]] = []  # (score, -vec_id), the worst of k first
         heap = [(-bound[0], 0)]
         while heap and -heap[0][0] >= least:
@@ -70,9 +70,9 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
             if len(near) > 4 * k:
                 cutoff = np.partition(scores[near].astype(np.float64), -(k + 1))[-(k + 1)]  # one more: the query itself may be here
                 near = near[scores[near] >= cutoff]
-            for i in near.tolist():
-                hit = (int(scores[i]), -int(ids[start + i]))
-                if -hit[1] == query_id:
+            for j in near.tolist():
+                hit = (int(scores[j]), -int(ids[start + j]))
+                if rows[start + j] == query_row:
                     continue
                 if len(found) < k:
                     heapq.heappush(found, hit)
@@ -80,7 +80,7 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
                     heapq.heapreplace(found, hit)
             if len(found) == k:
                 least = max(least, found[0][0])
-        out += [(query_id, -minus, score) for score, minus in found]
+        out += [(query_row, query_id, -minus, score) for score, minus in found]
     return out
 
 
@@ -98,23 +98,23 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, shard_rows: int = vecto
 
     def first(pair: dict) -> pa.RecordBatch:
         block = vectors.from_image(pair["queries"])
-        hits = search(vectors.from_image(pair["image"]), block["ids"], block["vecs"], np.full(len(block["ids"]), _NONE), k)
+        hits = search(vectors.from_image(pair["image"]), block["rows"], block["ids"], block["vecs"], np.full(len(block["ids"]), _NONE), k)
         kept: dict[int, list[int]] = {}
-        for q, _, score in hits:
+        for q, _, _, score in hits:
             kept.setdefault(q, []).append(score)
-        kth = np.array([min(kept[q]) if len(kept.get(q, ())) == k else _NONE for q in block["ids"].tolist()], np.int64)
-        found = np.array(hits, np.int64).reshape(-1, 3)
+        kth = np.array([min(kept[q]) if len(kept.get(q, ())) == k else _NONE for q in block["rows"].tolist()], np.int64)
+        found = np.array(hits, np.int64).reshape(-1, 4)
         return pa.RecordBatch.from_arrays([pa.array([pair["dim"]], pa.int32()), pa.array([pair["block"]], pa.int32()), pa.array([vectors.to_image(kth=kth, hits=found)], pa.binary())], names=["dim", "block", "begun"])
 
     def rest(pair: dict) -> pa.RecordBatch:
         block = vectors.from_image(pair["queries"])
-        return batch_of(search(vectors.from_image(pair["image"]), block["ids"], block["vecs"], vectors.from_image(pair["begun"])["kth"], k))
+        return batch_of(search(vectors.from_image(pair["image"]), block["rows"], block["ids"], block["vecs"], vectors.from_image(pair["begun"])["kth"], k))
 
     def unpack(row: dict) -> pa.RecordBatch:
         return batch_of(vectors.from_image(row["begun"])["hits"].tolist())
 
     def batch_of(hits: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in range(4)], names=["query_row", "query_id", "vec_id", "score"])
 
     home = F.col("shard") == F.pmod("block", "shards")
     begun = cut(vectors.pairs(blocks, shards, home).mapInArrow(vectors.each_pair(first), "dim int, block int, begun binary"), "begun")

@@ -336,8 +336,8 @@ def vector_table(spark, n=700, dim=12):
 def test_kd_trees(spark):
     table, v = vector_table(spark)
     got = [tuple(r) for r in kdtree.top_k(table, shard_rows=150).orderBy("query_id", "rank").collect()]
-    q = np.floor(256 * np.vstack([v.astype(float), np.zeros((1, v.shape[1]))])).astype(int)
-    ids = np.append(np.arange(len(v)), 5200)
+    q = np.floor(256 * np.vstack([v.astype(float), np.zeros((1, v.shape[1])), v[3:4].astype(float)])).astype(int)
+    ids = np.append(np.arange(len(v)), [5200, 3])  # a repeated row stands for itself
     want = []
     for i in (x for x in range(len(ids)) if ids[x] % 50 == 0):
         s = q @ q[i]
@@ -346,6 +346,9 @@ def test_kd_trees(spark):
     assert got == sorted(want)
     assert kdtree.top_k(table.limit(0)).count() == 0
     assert kdtree.top_k(table.filter("vec_id = 50")).count() == 0
+    twice = table.filter("vec_id = 50").union(table.filter("vec_id = 50"))
+    for search in (kdtree.top_k(twice), graph.nearest(twice, every=50)):
+        assert [(r["query_id"], r["rank"], r["vec_id"]) for r in search.collect()] == [(50, 1, 50)] * 2
 
 
 def test_graph_recall(spark):
