@@ -6,9 +6,10 @@ from whole words and word beginnings that a bounded sample of labelled rows ties
 nearly always (insults) or more often than chance (weak insults). Three
 further transducers read symbols and mark what they find: negation marks insults and threats
 up to three words after it, reported speech those up to the end of the clause, a target those
-within the clause. They are composed into one machine, which runs over the clauses that hold
-an insult or threat; matched clauses are counted by their kind, and a logistic model, fitted on
-the same sample, weighs the counts.
+after it. They are composed into one machine, which runs over the clauses that hold an insult or
+threat; the target transducer then reads its output from the end, for targets that follow.
+Matched clauses are counted by their kind, and a logistic model, fitted on the same sample, weighs
+the counts and the text's length (as a power of two).
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .tokens import text_slices
 
 #: Labelled rows used for fitting at most, and learned entries kept at most.
 FIT_ROWS, LEXICON_ROWS = 8000, 2000
+#: Entries of the sample's toxic rows that are looked up in its clean rows, those with most hits.
+TRIED_ROWS = 100_000
 THRESHOLD = 0.3
 _PREFIXES = range(4, 8)
 
@@ -96,10 +99,12 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return out
 
 
-GRAMMAR = compose(compose(negation(), report()), target())
+#: Reads a clause forwards; what it emits is read backwards by the target transducer, for a target may follow.
+GRAMMAR, BACKWARDS = compose(compose(negation(), report()), target()), target()
 #: Kinds of matched clauses that the model weighs.
 KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat", "weak insult")
-_MOST = 6  # a kind counts up to so many clauses
+#: Beyond so many clauses a kind's count says no more (a ceiling of the model's input; all clauses are read).
+_MOST = 6
 
 
 def kind_of(mark: str) -> int | None:
@@ -154,12 +159,15 @@ def clauses(text: str, lexicon: Lexicon, automaton: ahocorasick.Automaton) -> np
         done = right
         state, kinds = 0, set()
         # A clause without marks can be as long as the text: the grammar reads it once.
-        symbols = [lexicon.symbol(w) for w in _WORD.findall(low[left:right])]
-        aimed = "t" in symbols
-        for s in symbols:
-            state, emitted = GRAMMAR[state, s]
-            if emitted[0] in "ihw":
-                kinds.add(kind_of(emitted + "t" if aimed and "t" not in emitted else emitted))
+        emitted = []
+        for word in _WORD.findall(low[left:right]):
+            state, symbol = GRAMMAR[state, lexicon.symbol(word)]
+            emitted.append(symbol)
+        state = 0
+        for symbol in reversed(emitted):  # targets after the insult
+            state, symbol = BACKWARDS[state, symbol]
+            if symbol[0] in "ihw":
+                kinds.add(kind_of(symbol))
         for k in kinds - {None}:
             counts[k] += 1
     return counts
@@ -244,7 +252,7 @@ def learn_lexicon(rows: DataFrame, least: int = 4) -> Lexicon:
     if not tried:
         return Lexicon(words)
     # What is kept occurs in many toxic rows, so the entries with most hits are enough to look at.
-    best = {r[0]: r[1] for r in toxic.orderBy(F.desc("hits"), "feature").limit(50 * LEXICON_ROWS).collect()}
+    best = {r[0]: r[1] for r in toxic.orderBy(F.desc("hits"), "feature").limit(TRIED_ROWS).collect()}
     clean = rows.filter("toxic = 0").select("text").mapInArrow(_counts(frozenset(best)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     misses = {r[0]: r[1] for r in clean.collect()}  # at most as many rows as best
     bar, base = 2 * math.log(tried) + 6, n_toxic / (n_toxic + n_clean)
@@ -329,7 +337,7 @@ def _scores(model: Model, threshold: float):
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs (doc_id, text; other columns
     are ignored). Null and empty texts get the score of a text without matches. A null doc_id
-    is not held out."""
+    is not held out. Repeated rows are scored each for itself; an empty table gives an empty result."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scores(model, threshold), SCORE_SCHEMA)
 
 
