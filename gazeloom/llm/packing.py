@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .tokens import default_vocabulary, encoder, text_slices, with_end
 
 CAPACITY = 1024
@@ -115,6 +116,7 @@ def _pack(vocabulary: str, end_id: int, capacity: int):
         packer.finish()
         if done := packer.rows():
             yield batch_of(done)
+        give_back()
 
     return run
 

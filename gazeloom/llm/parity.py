@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, small, span_hashes, text_buffer
+from .common import cut, give_back, mix64, short_batches, small, span_hashes, text_buffer
 from .components import components
 from .tokens import text_slices
 
@@ -162,6 +162,7 @@ def _base(n: int, salt: int):
                 sets = shingle_sets(rows.column(1), n)
                 names = [set_id(s, salt) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64())], names=["doc_id", "n_shingles", "set_id", "more"])
+        give_back()
 
     return run
 
@@ -247,6 +248,8 @@ def _words(n: int, percent: int, parts: int, salts: int, name_salt: int):
                         held, units, total = [], [], 0
         if held:
             yield flush(held, units)
+        seen.clear()
+        give_back()
 
     return run
 
@@ -264,6 +267,7 @@ def _match(parts: int):
     number of sets that have them."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()  # what the group before left
         part, salt = table["part"][0].as_py(), table["salt"][0].as_py()
         keys, unit = _flat(table, "keys", "<u4"), _of_units(table)
         if salt:
@@ -299,6 +303,7 @@ def _rare(salts: int):
     many as linked sets need to have one in common."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         info = _flat(table, "info", _INFO)
         info = info[np.unique(info["unit"], return_index=True)[1]]
         unit = _of_units(table)
@@ -476,6 +481,7 @@ def _sets(n: int, salt: int):
                 if len(seen) > 200_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in fresh], pa.int64()), pa.array([f[1] for f in fresh], pa.binary())], names=["set_id", "hashes"])
+        give_back()
 
     return run
 
@@ -498,6 +504,7 @@ def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFr
     and (id, root): for every set that isn't the least of its component, the least. percent must be
     over 50."""
     spark = docs.sparkSession
+    short_batches(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base, names, salt = _named(texts, n)

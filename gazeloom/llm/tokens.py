@@ -7,6 +7,7 @@ ids are those of the whole text.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from .common import span_hashes, text_buffer
 
 #: Most pieces a worker remembers (about 20 bytes each).
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 700_000
 _JOINABLE = re.compile(r" [A-Za-z](?:.*\S)?\Z", re.S).match
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
@@ -30,6 +31,7 @@ def default_vocabulary() -> str:
 
 def encoder(path: str) -> "PieceEncoder":
     """The worker's encoder for this vocabulary file."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run beside each other already
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
@@ -69,7 +71,7 @@ class PieceEncoder:
     a batch at once. A second hash of every entry tells pieces apart that share the first; a
     batch with such a pair goes to the tokenizer whole."""
 
-    BITS = 22
+    BITS = 21
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
