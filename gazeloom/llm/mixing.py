@@ -139,8 +139,10 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     taken = _copies(docs, weights, most, seed, length_power, None)
     times = taken.filter("size > 0 and copies != 1").groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies"))
     times = cut(times.withColumnRenamed("doc_id", "_id"), "copies")
-    out = docs.join(small(times), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # The row as one column: its own columns may have any names.
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_key"))
+    out = rows.join(small(times), F.col("_key").eqNullSafe(F.col("_id")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    return out.filter("_copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def _copies(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, length_power: float, weight_col: str | None) -> DataFrame:

@@ -270,7 +270,7 @@ def mask(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind, as [EMAIL]; overlapping spans become
     the first one's mark. Other columns stay; n_chars, if there, counts the new text. A null
     text stays null."""
-    found = spans(docs)
+    found = spans(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").cast("string").alias("text")))  # columns may have any names
     order = F.array_sort(F.transform("_all", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"))))
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -282,7 +282,6 @@ def mask(docs: DataFrame) -> DataFrame:
     piece = lambda c: F.concat(F.substr(F.col("text"), c["a"] + 1, c["s"] - c["a"]), F.element_at(marks, c["k"] + 1))
     tail = F.substr(F.col("text"), F.array_max(F.transform("_all", lambda c: c["e"])) + 1)
     text = F.when(F.size("_cuts") > 0, F.concat(F.array_join(F.transform("_cuts", piece), ""), tail)).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    own = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNull(), F.col("_doc.n_chars")).otherwise(F.length("text"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    kinds = dict(docs.dtypes)
+    return found.withColumn("text", text).select(*[own[c].cast(kinds[c]).alias(c) if c in own else F.col("_doc").getField(c).alias(c) for c in docs.columns])

@@ -575,3 +575,32 @@ def test_pipeline(spark):
     repeated = Counter(r["doc_id"] for r in left[4].collect())
     assert max(repeated.values()) <= 3 and set(repeated) <= set(texts[3])
     assert left[5].agg(F.countDistinct("doc_id")).first()[0] == len(repeated)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, ties, blank and long texts, a clashing column."""
+    import corpus_pipeline
+
+    rows = [(i, t, "en" if i % 2 else None, ["a", None, "b"][i % 3], len(t or ""), i) for i, t in enumerate([None, "", " ", "one", "you idiot", "x" * 5000, "long " * 9000, "mail a.b@c.org now please do"] + [f"words of text number {i} go here and there" for i in range(30)])]
+    rows += [rows[3], rows[9], (None, None, None, None, None, None), (None, "no id at all here now", None, "a", 5, 1), (9, "same id but quite another text it is", "en", "b", 5, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _copies int"
+    for name, made in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(r[0], None, int("idiot" in (r[1] or ""))) for r in made], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = left = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        left = stage(spark, left, f"{tmp_path}/odd")
+        assert left.columns == docs.columns
+    kept = Counter(r["text"] for r in left.collect())
+    assert kept["one"] == 1 and kept[None] == 2 and all("@" not in (t or "") for t in kept)
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    spans = defaultdict(list)
+    for r in out:
+        spans[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in spans.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
