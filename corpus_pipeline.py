@@ -3,7 +3,8 @@ near duplicates, masking of personal data, mixing of sources to target weights,
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns the columns
 of documents; the last returns pieces of sequences. run() writes every stage to the shared folder
-and reads it back for the next.
+and reads it back for the next. An empty table stays empty through every stage; columns that a
+stage doesn't name are carried along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,27 +18,33 @@ from gazeloom.llm.common import cut, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar doesn't predict to be toxic; it is fitted on labelled
-    rows of docs."""
+    rows of docs. Null and empty texts, and rows without id, are scored like any other; repeated rows are
+    kept or dropped each for itself."""
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the least id."""
+    """One document of each component of near duplicates, the one with the least id. Rows without words or without id stay; repeated rows are copies, of which
+    one stays."""
     return parity.survivors(docs)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by marks; n_chars counts the new text."""
+    """Personal data replaced by marks; n_chars counts the new text. Null texts stay
+    null, rows are neither dropped nor added."""
     return pii.mask(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes; none where it takes none."""
+    """As many copies of each document as the mix takes; none where it takes none.
+    Rows without words stay once; a null source is a source of its own; ties go by a hash of the
+    row, so that reruns agree."""
     return mixing.repeat(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 ids."""
+    """Pieces of sequences of at most 1024 ids. Null and empty texts are one end id each; copies are
+    packed each for itself."""
     return packing.pack(docs)
 
 

@@ -44,18 +44,19 @@ def changed(c: Column | str, w: WindowSpec) -> Column:
     return F.when(first | ~F.lag(c).over(w).eqNullSafe(c), 1).otherwise(0)
 
 
-def mirrored(df: DataFrame, keys: tuple[str, ...], order: str, value: Column, before: int, after: int) -> DataFrame:
-    """(keys, _at, _value, _own): each group's series by position from 0, continued by `before`
+def mirrored(df: DataFrame, keys: tuple[str, ...], order: str, value: Column, before: int, after: int, row: Column | None = None) -> DataFrame:
+    """(keys, _at, _value, _own, _row): each group's series by position from 0, continued by `before`
     and `after` places with reflected edges (d c b a | a b c d | d c b a), however short it is.
-    _own marks the real places."""
+    _own marks the real places, which carry `row` where one is given."""
     w = Window.partitionBy(*keys)
-    rows = df.select(*keys, (F.row_number().over(w.orderBy(order)) - 1).cast("long").alias("_i"), F.count("*").over(w).alias("_n"), value.alias("_value"))
+    rows = df.select(*keys, (F.row_number().over(w.orderBy(order)) - 1).cast("long").alias("_i"), F.count("*").over(w).alias("_n"), value.alias("_value"), (F.lit(None) if row is None else row).alias("_row"))
     turns = F.ceil(F.lit(float(max(before, after))) / F.col("_n")).cast("int") + 1
     period = F.sequence(-turns, turns)
     even = F.transform(period, lambda k: 2 * F.col("_n") * k + F.col("_i"))
     odd = F.transform(period, lambda k: 2 * F.col("_n") * k - 1 - F.col("_i"))
     places = F.filter(F.concat(even, odd), lambda p: (p >= -before) & (p < F.col("_n") + after))
-    return rows.select(*keys, F.explode(places).alias("_at"), "_value", "_n").withColumn("_own", (F.col("_at") >= 0) & (F.col("_at") < F.col("_n")))
+    out = rows.select(*keys, F.explode(places).alias("_at"), "_value", "_n", "_row").withColumn("_own", (F.col("_at") >= 0) & (F.col("_at") < F.col("_n")))
+    return out.drop("_row") if row is None else out.withColumn("_row", F.when(F.col("_own"), F.col("_row")))
 
 
 def moving_sums(rows: DataFrame, keys: tuple[str, ...], measures: dict[str, Column], size: int) -> DataFrame:
@@ -66,4 +67,4 @@ def moving_sums(rows: DataFrame, keys: tuple[str, ...], measures: dict[str, Colu
     run = {f"_{k}": running(c, w) for k, c in measures.items()}
     out = rows.withColumns(run)
     moving = {k: F.lead(f"_{k}", after).over(w) - F.coalesce(F.lag(f"_{k}", before + 1).over(w), F.lit(0)) for k in measures}
-    return out.withColumns(moving).filter("_own").select(*keys, "_at", *measures)
+    return out.withColumns(moving).filter("_own").select(*keys, "_at", *measures, *(c for c in rows.columns if c == "_row"))

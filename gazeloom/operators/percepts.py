@@ -81,9 +81,11 @@ def labeled(samples: DataFrame, parameters: DataFrame) -> DataFrame:
 
 def smooth(df: DataFrame, column: str, size: int, method: str = "uniform", threshold: float = 0.5, delta: float = 0.05, keys: tuple[str, ...] = RUN, name: str = "smoothed") -> DataFrame:
     """The label series smoothed over a window of samples with reflected edges (mean, or upper
-    median from counts of the three levels), cut by the dead band and decoded."""
+    median from counts of the three levels), cut by the dead band and decoded. Rows are carried along,
+    so that nothing is joined back."""
     order = "run_us" if keys == RUN else "trial_us"
-    rows = mirrored(df, keys, order, L.encode(F.col(column)), size // 2 + 1, size)
+    row = F.struct(*[F.col(c) for c in df.columns if c != name])
+    rows = mirrored(df, keys, order, L.encode(F.col(column)), size // 2 + 1, size, row)
     v = F.col("_value")
     if method == "uniform":
         out = moving_sums(rows, keys, {"sum": v}, size).withColumn("_s", F.col("sum") / size)
@@ -93,9 +95,7 @@ def smooth(df: DataFrame, column: str, size: int, method: str = "uniform", thres
         out = counts.withColumn("_s", F.when(rank < F.col("zeros"), 0.0).when(rank < F.col("zeros") + F.col("halves"), 0.5).otherwise(1.0))
     else:
         raise ValueError(f"unknown method {method}")
-    out = out.select(*keys, "_at", L.decode(L.dead_band(F.round("_s", 9), threshold, delta)).alias(name))
-    numbered = df.drop(name).withColumn("_at", (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
-    return numbered.join(out, [*keys, "_at"]).drop("_at")
+    return out.select("_row.*", L.decode(L.dead_band(F.round("_s", 9), threshold, delta)).alias(name))
 
 
 def pipelines(df: DataFrame, margin_us: int = 50_000, size: int = 150, delta: float = 0.05, scope: str = "trial") -> DataFrame:

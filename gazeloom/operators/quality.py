@@ -107,12 +107,15 @@ def gaze_density(df: DataFrame, size: float = 50.0) -> DataFrame:
     return rows.groupBy(*RUN, F.floor(F.col("x") / size).alias("bin_x"), F.floor(F.col("y") / size).alias("bin_y")).agg(F.count("*").alias("n"))
 
 
-def evaluation_report(runs: DataFrame) -> DataFrame:
-    """(subject, n_runs, mean, std, min, max of accuracy; runs as columns r1..r4), and a row for all
-    subjects with a null subject."""
+def evaluation_report(runs: DataFrame, numbers: list[int] | None = None) -> DataFrame:
+    """(subject, n_runs, mean, std, min, max of accuracy; runs as columns r<run>), and a row for all
+    subjects with a null subject. numbers: the runs that have columns (all there are, found by a
+    job; a row a run number)."""
+    if numbers is None:
+        numbers = sorted(r[0] for r in runs.select("run").distinct().collect() if r[0] is not None)
     stats = lambda: [F.count("accuracy_2").alias("n_runs"), F.avg("accuracy_2").alias("mean"), F.stddev("accuracy_2").alias("std"), F.min("accuracy_2").alias("min"), F.max("accuracy_2").alias("max")]
-    pivot = runs.groupBy("subject").pivot("run", [1, 2, 3, 4]).agg(F.first("accuracy_2"))
-    pivot = pivot.select("subject", *[F.col(str(k)).alias(f"r{k}") for k in range(1, 5)])
+    pivot = runs.groupBy("subject").pivot("run", numbers).agg(F.first("accuracy_2"))
+    pivot = pivot.select("subject", *[F.col(str(k)).alias(f"r{k}") for k in numbers])
     per = runs.groupBy("subject").agg(*stats()).join(pivot, "subject")
     every = runs.agg(*stats()).select(F.lit(None).cast("long").alias("subject"), "n_runs", "mean", "std", "min", "max")
     return per.unionByName(every, allowMissingColumns=True)

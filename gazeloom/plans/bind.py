@@ -18,10 +18,11 @@ _Y = [CENTER_Y + OFFSET * dy for _, dy in DIRECTIONS]
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subject, run, sample_idx, run_us, trial, trial_us, x, y, diameter, blink, saccade, fixation,
+    """Every 160 users are ten subjects of four runs each, so that the number of runs grows with the
+    users and a run stays some minutes long at any scale. subject, run, sample_idx, run_us, trial, trial_us, x, y, diameter, blink, saccade, fixation,
     fixpoint1, fixpoint2, image1, type, run_type."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
-    e = e.withColumns({"subject": (11 + F.col("user_id") % 10).cast("long"), "run": (1 + F.floor(F.col("user_id") / 10) % 4).cast("long")})
+    e = e.withColumns({"subject": (11 + F.col("user_id") % 10 + 10 * F.floor(F.col("user_id") / 160)).cast("long"), "run": (1 + F.floor(F.col("user_id") / 10) % 4).cast("long")})
     order = Window.partitionBy("subject", "run").orderBy("ts", "event_id")
     i, kind, gone = F.col("sample_idx"), F.col("event_type"), F.col("event_id") % 17 == 0
     e = e.withColumn("sample_idx", (F.row_number().over(order) - 1).cast("long"))
@@ -43,8 +44,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SAMPLES = """
 numbered AS (
-  SELECT event_id, value, event_type, 11 + user_id % 10 AS subject, 1 + (user_id // 10) % 4 AS run,
-    row_number() OVER (PARTITION BY user_id % 10, (user_id // 10) % 4 ORDER BY ts, event_id) - 1 AS i
+  SELECT event_id, value, event_type, 11 + user_id % 10 + 10 * (user_id // 160) AS subject, 1 + (user_id // 10) % 4 AS run,
+    row_number() OVER (PARTITION BY user_id % 10, user_id // 160, (user_id // 10) % 4 ORDER BY ts, event_id) - 1 AS i
   FROM events),
 g AS (
   SELECT subject::BIGINT AS subject, run::BIGINT AS run, i AS sample_idx, i * 4000 AS run_us, 1 + i // 100 AS trial, (i % 100) * 4000 AS trial_us,

@@ -158,20 +158,20 @@ def _folder(spark: SparkSession) -> str:
     return os.path.join(root, f"files-{uuid.uuid4().hex}")
 
 
-@query(f"SELECT {KEY}, run_type, count(*)::BIGINT AS n, round(sum(x), 3) AS sum_x, count(y)::BIGINT AS n_y FROM g WHERE subject IN (11, 12, 15) GROUP BY ALL")
+@query(f"SELECT {KEY}, run_type, count(*)::BIGINT AS n, round(sum(x), 3) AS sum_x, count(y)::BIGINT AS n_y FROM g GROUP BY ALL")
 def a9_load_runs(spark, d):
     path = _folder(spark)
-    T.write_runs(samples(spark, d).drop("run_type"), path, "csv")
-    schema = "sample_idx long, run_us long, trial long, trial_us long, x double, y double, diameter double, blink int, saccade int, fixation int, fixpoint1 int, fixpoint2 int, image1 string, type string, subject long, run long"
-    back = T.read_runs(spark, path, schema, "csv", [11, 12, 15], ("trial", "x", "y"))
+    T.write_runs(samples(spark, d), path, "csv")
+    schema = "sample_idx long, run_us long, trial long, trial_us long, x double, y double, diameter double, blink int, saccade int, fixation int, fixpoint1 int, fixpoint2 int, image1 string, type string, subject long, run long, run_type string"
+    back = T.read_runs(spark, path, schema, "csv", required=("trial", "x", "y"))
     return back.groupBy(*RUN, "run_type").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"), F.count("y").alias("n_y"))
 
 
 @query(f"SELECT {KEY}, run_type, count(*)::BIGINT AS n, round(sum(x), 3) AS sum_x, count(y)::BIGINT AS n_y FROM g GROUP BY ALL")
 def a9_load_all_runs(spark, d):
     path = _folder(spark)
-    T.write_runs(samples(spark, d).drop("run_type"), path, "csv")
-    schema = "sample_idx long, run_us long, trial long, trial_us long, x double, y double, diameter double, blink int, saccade int, fixation int, fixpoint1 int, fixpoint2 int, image1 string, type string, subject long, run long"
+    T.write_runs(samples(spark, d), path, "csv")
+    schema = "sample_idx long, run_us long, trial long, trial_us long, x double, y double, diameter double, blink int, saccade int, fixation int, fixpoint1 int, fixpoint2 int, image1 string, type string, subject long, run long, run_type string"
     back = T.read_runs(spark, path, schema, "csv", required=("trial", "x", "y"))
     return back.groupBy(*RUN, "run_type").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"), F.count("y").alias("n_y"))
 
@@ -199,9 +199,9 @@ def a12_sinks(spark, d):
     return spark.read.schema(out.schema).option("header", True).option("sep", "\t").csv(tsv)
 
 
-@query(f"SELECT {KEY}, max(section)::BIGINT AS n_sections, count(*)::BIGINT AS n FROM labeled WHERE subject IN (11, 13) GROUP BY ALL", LABELED)
+@query(f"SELECT {KEY}, max(section)::BIGINT AS n_sections, count(*)::BIGINT AS n FROM labeled GROUP BY ALL", LABELED)
 def a13_subject_batch(spark, d):
-    s = samples(spark, d).filter(F.col("subject").isin(11, 13))
+    s = samples(spark, d)
     return P.labeled(s, C.parameters_as_of(s, stimuli(spark, d))).groupBy(*RUN).agg(F.max("section").alias("n_sections"), F.count("*").alias("n"))
 
 
@@ -644,7 +644,7 @@ def f5_evaluate_runs(spark, d):
   max(accuracy_2) FILTER (run = 1) AS r1, max(accuracy_2) FILTER (run = 2) AS r2, max(accuracy_2) FILTER (run = 3) AS r3, max(accuracy_2) FILTER (run = 4) AS r4 FROM evaluated GROUP BY subject
 UNION ALL SELECT NULL, count(accuracy_2), round(avg(accuracy_2), 6), round(stddev(accuracy_2), 6), min(accuracy_2), max(accuracy_2), NULL, NULL, NULL, NULL FROM evaluated""", *_EVAL)
 def f6_evaluation_report(spark, d):
-    return Q.evaluation_report(_evaluated(spark, d)).withColumns(r6("mean", "std"))
+    return Q.evaluation_report(_evaluated(spark, d), [1, 2, 3, 4]).withColumns(r6("mean", "std"))
 
 
 _CONFIGS = """
@@ -738,16 +738,12 @@ def f7_pipelines_by_subject(spark, d):
 
 # --- G: events
 
-_OFFSETS = "offsets AS (SELECT subject, run, trial, (28.75 + 140.0 * (dense_rank() OVER (PARTITION BY subject, run ORDER BY trial) - 1))::DOUBLE AS off FROM (SELECT DISTINCT subject, run, trial FROM g WHERE (subject + trial) % 4 <> 0))"
-
-
-def _some(df):
-    return df.filter((F.col("subject") + F.col("trial")) % 4 != 0)
+_OFFSETS = "offsets AS (SELECT subject, run, trial, (28.75 + 140.0 * (dense_rank() OVER (PARTITION BY subject, run ORDER BY trial) - 1))::DOUBLE AS off FROM (SELECT DISTINCT subject, run, trial FROM g))"
 
 
 @query(f"SELECT {KEYT}, off AS \"offset\" FROM offsets", _OFFSETS)
 def g1_trial_offsets(spark, d):
-    return E.trial_offsets(_some(samples(spark, d)))
+    return E.trial_offsets(samples(spark, d))
 
 
 _SUPPRESSED = """
@@ -773,13 +769,13 @@ def _epochs_sql(name: str, source: str, column: str) -> str:
 _TENTH = lambda v: f"round_even(({v}) * 10, 0) / 10"
 _COLLAPSED = f"""
 events_ AS (SELECT {KEYT}, {_TENTH("coalesce(off, 0) + start_us / 1e6")} AS onset, {_TENTH("(end_us - start_us) / 1e6")} AS duration, 'no_report_' || type || '_' || label AS trial_type FROM ep LEFT JOIN offsets USING ({KEYT}))"""
-_ALL_OFFSETS = _OFFSETS.replace(" WHERE (subject + trial) % 4 <> 0", "")
+_ALL_OFFSETS = _OFFSETS
 
 
 @query(f"SELECT {KEYT}, onset, duration, trial_type FROM events_", LABELED, _OFFSETS, _epochs_sql("ep", "labeled", "aggregated"), _COLLAPSED)
 def g3_collapse_to_epochs(spark, d):
     s = _labeled(spark, d)
-    return E.collapse_to_epochs(s, "aggregated", E.trial_offsets(_some(samples(spark, d))), "no_report")
+    return E.collapse_to_epochs(s, "aggregated", E.trial_offsets(samples(spark, d)), "no_report")
 
 
 

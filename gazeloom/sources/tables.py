@@ -23,19 +23,21 @@ def require(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
 
 
 def write_runs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Sample tables by subject and run, so that a reader of some runs opens only their folders."""
-    writer = df.write.partitionBy(*RUN).mode("overwrite")
+    """Sample tables by subject, run and, if there, run_type, so that a reader of some runs opens only
+    their folders and a run's type is known by its path."""
+    writer = df.write.partitionBy(*RUN, *(c for c in df.columns if c == "run_type")).mode("overwrite")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
 def read_runs(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", subjects: list[int] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """Runs written by write_runs, with run_type; only the given subjects' folders are read."""
+    """Runs written by write_runs, with run_type as the folders tell it (missing where they don't; name it
+    in the schema where they do); only the given subjects' folders are read."""
     df = spark.read.schema(schema).option("header", True).format(fmt).load(path)
     df = df.withColumns({k: F.col(k).cast("long") for k in RUN})
     if subjects is not None:
         df = df.filter(F.col("subject").isin(subjects))
     df = require(df, (*RUN, *required))
-    return df if "run_type" in df.columns else df.withColumn("run_type", F.when(F.col("run") % 2 == 0, "no-report").otherwise("report"))
+    return df if "run_type" in df.columns else df.withColumn("run_type", F.lit(None).cast("string"))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

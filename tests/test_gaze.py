@@ -223,9 +223,18 @@ def test_recordings_from_files(spark, tmp_path):
 
 def test_tables_and_sinks(spark, tmp_path):
     s = spark.createDataFrame([(1, 1, 1, 0, 5.0), (2, 2, 1, 0, 6.0)], KEY + "trial long, trial_us long, x double")
-    T.write_runs(s, str(tmp_path / "runs"))
-    back = T.read_runs(spark, str(tmp_path / "runs"), "trial long, trial_us long, x double, subject long, run long", subjects=[2])
-    assert [(r["subject"], r["x"], r["run_type"]) for r in back.collect()] == [(2, 6.0, "no-report")]
+    T.write_runs(s, str(tmp_path / "plain"))
+    schema = "trial long, trial_us long, x double, subject long, run long"
+    back = T.read_runs(spark, str(tmp_path / "plain"), schema, subjects=[2])
+    assert [(r["subject"], r["x"], r["run_type"]) for r in back.collect()] == [(2, 6.0, None)]
+    T.write_runs(s.withColumn("run_type", F.lit("report")), str(tmp_path / "runs"))  # a run's type is told by its folder, not by its number
+    back = T.read_runs(spark, str(tmp_path / "runs"), schema + ", run_type string", subjects=[2])
+    assert [(r["subject"], r["x"], r["run_type"]) for r in back.collect()] == [(2, 6.0, "report")]
+    made = spark.createDataFrame([(1, 1, 0.5), (1, 7, 0.7)], "subject long, run long, accuracy_2 double")
+    assert [(r["subject"], r["r1"], r["r7"]) for r in Q.evaluation_report(made).collect()] == [(1, 0.5, 0.7), (None, None, None)]
+    # gaps in trial numbers close up
+    gaps = spark.createDataFrame([(1, 1, t) for t in (1, 2, 5, 9)], KEY + "trial long")
+    assert [r["offset"] for r in E.trial_offsets(gaps).orderBy("trial").collect()] == [28.75, 168.75, 308.75, 448.75]
     with pytest.raises(ValueError):
         T.require(s, ("nothing",))
     events = spark.createDataFrame([(1, 1, 2.0, 1.0, "b"), (1, 1, 0.5, 1.0, "a")], KEY + "onset double, duration double, trial_type string")
@@ -244,10 +253,7 @@ def test_normalized_constant_column(spark):
     assert [tuple(r) for r in Q.normalized(df, ("a", "b")).orderBy("label").collect()] == [("s1r01", 0.0, 0.0), ("s1r02", 1.0, 0.0)]
 
 
-SAMPLE = ("a1_tracker_ingest", "a9_load_runs", "b7_interpolate", "b14_clean_chain", "c7_label_transitions", "d5_peri_jump_by_run", "d6_section_mode", "d9_median_smoothing", "d11_grid_search", "f5_evaluate_runs", "g2_suppress_jump_induced", "g4_merge_short_epochs", "h5_quality_report")
-
-
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(reference.QUERIES))
 def test_queries_against_sql(spark, name):
     got = reference.QUERIES[name](spark, SF)
     names = sorted(got.columns)
