@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import rounded
-from ..functions.windows import RUN, TRIAL, changed, running, so_far, trial_order
+from ..functions.windows import RUN, TRIAL, changed, last_known, running, so_far, trial_order
 from .percepts import label_transitions
 
 
@@ -100,8 +100,13 @@ def events_from_reports(reports: DataFrame, offsets: DataFrame, labeled: DataFra
     if labeled is None:
         return rows.withColumn("duration", rounded(F.col("duration"))).drop("onset_us", "trial")
     jumps = labeled.withColumn("_j", F.lag("section").over(trial_order()) != F.col("section")).filter("_j").select(*TRIAL, F.col("trial_us").alias("_jump"))
-    near = rows.select(*TRIAL, "onset_us").join(jumps, list(TRIAL)).filter(F.abs(F.col("_jump") - F.col("onset_us")) <= jump_us).select(*TRIAL, "onset_us").distinct().withColumn("_near", F.lit(True))
-    rows = rows.join(near, [*TRIAL, "onset_us"], "left")
+    # Epochs and jumps in one order of time: the nearest jump on either side is carried on (jumps,
+    # which have no _epoch, come first among equals).
+    both = rows.withColumn("_epoch", F.lit(True)).unionByName(jumps.withColumn("onset_us", F.col("_jump")), allowMissingColumns=True)
+    order = Window.partitionBy(*TRIAL)
+    sides = {"_b": last_known("_jump", order.orderBy("onset_us", "_epoch")), "_a": last_known("_jump", order.orderBy(F.desc("onset_us"), "_epoch"))}
+    near = F.coalesce(F.col("onset_us") - F.col("_b") <= jump_us, F.lit(False)) | F.coalesce(F.col("_a") - F.col("onset_us") <= jump_us, F.lit(False))
+    rows = both.withColumns(sides).filter("_epoch").withColumn("_near", F.when(near, F.lit(True))).drop("_epoch", "_jump", "_a", "_b")
     w = Window.partitionBy(*RUN).orderBy("trial", "onset_us")
     rows = rows.withColumn("_kept", F.count_if(F.col("_near").isNull()).over(so_far(w))).filter("_kept > 0")
     first = lambda c: F.max(F.when(F.col("_near").isNull(), F.col(c))).alias(c)

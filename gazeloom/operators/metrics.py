@@ -45,22 +45,26 @@ def scores(counts: DataFrame, keys: tuple[str, ...], suffix: str = "") -> DataFr
 
 
 def sections_to_score(df: DataFrame, keys: tuple[str, ...] = (*RUN, "section"), column: str = "aggregated") -> DataFrame:
-    """One row a section of rivalry samples with a report: its first trial, modal report, first
+    """One row a section of rivalry samples with a report: its first trial (without trials as keys), modal report, first
     inferred label, number of samples and whether they match."""
     rows = df.filter((F.col("type") == "rivalry") & F.col("reported").isNotNull())
     known = F.when(F.col(column).isNotNull(), F.struct("run_us", F.col(column)))
-    out = rows.groupBy(*keys).agg(F.min_by("trial", "run_us").alias("first_trial"), F.mode("reported", True).alias("reported"), F.min(known).alias("_k"), F.count("*").alias("n_samples"))
+    first = {} if "trial" in keys else {"first_trial": F.min_by("trial", "run_us")}
+    out = rows.groupBy(*keys).agg(*[c.alias(k) for k, c in first.items()], F.mode("reported", True).alias("reported"), F.min(known).alias("_k"), F.count("*").alias("n_samples"))
     return out.withColumn("inferred", F.col(f"_k.{column}")).drop("_k").withColumn("match", F.col("reported") == F.col("inferred"))
 
 
 def evaluate_run(df: DataFrame, column: str = "aggregated") -> DataFrame:
     """One row a run with reports: numbers of sections and of sections by trial, and the scores
     without (_2) and with (_3) `mixed` over sections, and over sections by trial (_t2, _t3)."""
-    whole = sections_to_score(df, column=column).select(*RUN, F.lit(None).cast("long").alias("trial"), "reported", "inferred", F.lit("_").alias("_over"))
-    parts = sections_to_score(df, (*TRIAL, "section"), column).select(*RUN, "trial", "reported", "inferred", F.lit("_t").alias("_over"))
+    # Samples count for their section and for their trial's part of it: one pass over both.
+    over = F.array(F.struct(F.lit("_").alias("_over"), F.lit(None).cast("long").alias("trial")), F.struct(F.lit("_t").alias("_over"), F.col("trial").cast("long").alias("trial")))
+    slim = df.select(*RUN, "section", "type", "run_us", "reported", column, F.explode(over).alias("_o"))
+    parts = sections_to_score(slim.withColumns({"_over": F.col("_o._over"), "trial": F.col("_o.trial")}), (*RUN, "section", "_over", "trial"), column)
+    parts = parts.select(*RUN, "trial", "reported", "inferred", "_over")
     # Each row counts once with `mixed`, and once more without; all scores come from one count.
     both = F.when(F.col("reported") == "mixed", F.array(F.lit("3"))).otherwise(F.array(F.lit("2"), F.lit("3")))
-    rows = whole.unionByName(parts).withColumn("_k", F.explode(both)).withColumn("_v", F.concat("_over", "_k"))
+    rows = parts.withColumn("_k", F.explode(both)).withColumn("_v", F.concat("_over", "_k"))
     keys = (*RUN, "_v")
     n = rows.filter("_k = '3'").groupBy(*RUN).agg(F.count_if(F.col("_over") == "_").alias("n_sections"), F.countDistinct("trial").alias("n_trials"))
     each = scores(confusion(rows, keys), keys)
