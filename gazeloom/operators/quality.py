@@ -94,10 +94,23 @@ def transition_bins(df: DataFrame, column: str = "percept", bin_us: int = 100_00
     return counts.groupBy(*TRIAL, "bin").agg(F.min_by("label", F.struct(-F.col("_n"), "_k")).alias("label"))
 
 
+def transition_runs(df: DataFrame) -> DataFrame:
+    """One row a run: its type, trials, transitions by kind and the share of induced ones. df carries
+    transitions."""
+    more = df.groupBy(*RUN).agg(F.first("run_type").alias("run_type"), F.countDistinct("trial").alias("n_trials"))
+    return transition_summary(df, by_trial=False).join(more, list(RUN))
+
+
+def transition_subjects(df: DataFrame) -> DataFrame:
+    """One row a subject and run type: runs, and means over them of transitions and shares."""
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("n_transitions", "n_jump", "n_spontaneous", "pct_jump")]
+    return transition_runs(df).groupBy("subject", "run_type").agg(F.count("*").alias("n_runs"), *means)
+
+
 def transition_report(df: DataFrame) -> DataFrame:
     """Per run type over all runs: runs, transitions, induced ones in percent, medians of the runs'
     shares, transitions a trial. df carries transitions."""
-    runs = transition_summary(df, by_trial=False).join(df.groupBy(*RUN).agg(F.first("run_type").alias("run_type"), F.countDistinct("trial").alias("n_trials")), list(RUN))
+    runs = transition_runs(df)
     return runs.groupBy("run_type").agg(F.count("*").alias("n_runs"), F.sum("n_transitions").alias("n_transitions"), (F.try_divide(F.sum("n_jump") * 100.0, F.sum("n_transitions"))).alias("pct_jump"), F.median("pct_jump").alias("median_pct_jump"), F.try_divide(F.sum("n_transitions"), F.sum("n_trials")).alias("per_trial"))
 
 

@@ -949,6 +949,20 @@ def h11_transition_report(spark, d):
     return Q.transition_report(_transitions(spark, d)).withColumns(r6("pct_jump", "median_pct_jump", "per_trial"))
 
 
+_TRANSITION_RUNS = f"truns AS (SELECT *, {_PCT} FROM (SELECT {KEY}, min(run_type) AS run_type, count(DISTINCT trial)::BIGINT AS n_trials, {_COUNTS} FROM tr GROUP BY {KEY}))"
+
+
+@query(f"SELECT {KEY}, run_type, n_trials, n_transitions, n_jump, n_spontaneous, pct_jump FROM truns", LABELED, _TRIAL_MEDIAN, _TRANSITIONS, _TRANSITION_RUNS)
+def h11_transition_runs(spark, d):
+    return Q.transition_runs(_transitions(spark, d))
+
+
+@query("""SELECT subject, run_type, count(*)::BIGINT AS n_runs, round(avg(n_transitions), 6) AS mean_n_transitions, round(avg(n_jump), 6) AS mean_n_jump,
+round(avg(n_spontaneous), 6) AS mean_n_spontaneous, round(avg(pct_jump), 6) AS mean_pct_jump FROM truns GROUP BY subject, run_type""", LABELED, _TRIAL_MEDIAN, _TRANSITIONS, _TRANSITION_RUNS)
+def h11_transition_subjects(spark, d):
+    return Q.transition_subjects(_transitions(spark, d)).withColumns(r6("mean_n_transitions", "mean_n_jump", "mean_n_spontaneous", "mean_pct_jump"))
+
+
 @query(f"SELECT {KEYT}, label, start_us, end_us FROM ep", LABELED, _epochs_sql("ep", "labels", "percept3"))
 def h12_label_bands(spark, d):
     return E.bands(_labeled(spark, d), "percept3")
