@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 from .common import span_hashes, text_buffer
 
-#: Most pieces a worker remembers (about 20 bytes each).
-CACHE_PIECES = 700_000
+#: Most pieces a worker remembers (some 50 bytes each); its tables are as large as this anyway.
+CACHE_PIECES = 1 << 20
 _JOINABLE = re.compile(r" [A-Za-z](?:.*\S)?\Z", re.S).match
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
