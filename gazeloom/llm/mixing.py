@@ -25,6 +25,8 @@ WEIGHTS, MOST_COPIES = (1, 2, 3), 3
 #: A document twice as long is expected 2 ** LENGTH_POWER times as often (0: all alike).
 LENGTH_POWER = 0.25
 _RANGES = 1 << 16
+#: A source's words are closed on its target by so many single copies at most.
+CLOSING_ROUNDS = 12
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -103,8 +105,9 @@ def _draw(ranked: DataFrame) -> DataFrame:
 def _close(placed: DataFrame, most: int) -> DataFrame:
     """A copy more or less of single documents, of each source the longest that fits into the words
     missing or too many (if none fits, the one that comes nearest), as long as that brings any
-    source nearer to its target."""
-    while True:
+    source nearer to its target, CLOSING_ROUNDS times at most: where one very long document leaves a gap
+    that only very short ones could fill, the gap stays."""
+    for _ in range(CLOSING_ROUNDS):
         copies = F.col("_whole") + F.col("_drawn")
         gaps = cut(placed.groupBy("source").agg((F.first("target") - F.sum(copies * F.col("size"))).alias("_gap")), "gaps")
         near, same = _near(gaps)
@@ -117,6 +120,7 @@ def _close(placed: DataFrame, most: int) -> DataFrame:
         if flips.isEmpty():
             return placed
         placed = placed.join(small(flips), F.col("_row") == F.col("_one"), "left").withColumn("_drawn", F.col("_drawn") + F.coalesce("_step", F.lit(0))).drop("_one", "_step")
+    return placed
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 5, length_power: float = LENGTH_POWER, weight_col: str | None = None) -> DataFrame:
