@@ -1,13 +1,16 @@
 """Operators and queries that do the whole job: against their SQL on the smallest tables, and small
 cases that the cut forms couldn't pass."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gazeloom.llm import html_text
-from gazeloom.llm.components import components
 from gazeloom.operators import batch as B
 from gazeloom.operators import events as E
 from gazeloom.operators import percepts as P
@@ -128,38 +131,13 @@ def test_full_grid_against_sql(spark, name):
     assert all(200 <= r["size"] <= 2000 for r in against_sql(spark, name))
 
 
-TEXT = ("The people of the town were in the house and it was as if they had been there with the others for a long time, "
-        "but she was not with them and that is which of the things he had to be sure of when it was said to him by the others.")
-
-
-@pytest.mark.parametrize("attributes", ['aria-hidden="false"', 'data-hidden="0"', 'class="text not-hidden wide"', 'title="is it hidden "', "data-aria-hidden=true", "data-role=banner"])
-def test_only_own_hidden_attributes_hide(attributes):
-    assert html_text.main_text(f"<article><div {attributes}><p>{TEXT}</p></div></article>") == TEXT
-
-
-@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', 'HIDDEN class="x"', 'aria-hidden="true"', "aria-hidden=TRUE", 'role="banner"'])
-def test_hidden_elements_stay_out(attributes):
-    assert html_text.main_text(f"<article><p>{TEXT}</p><div {attributes}><p>{TEXT} No.</p></div></article>") == TEXT
-
-
-@pytest.mark.parametrize("name", ["elementor-widget", "social", "entry-header", "related"])
-def test_names_are_hints_only(name):
-    assert html_text.main_text(f'<article><div class="{name}"><h2>A title</h2><p>{TEXT}</p></div></article>') == "A title\n" + TEXT
-    assert html_text.main_text(f'<nav><a href=x>a</a></nav><div class="{name}"><h2>A title</h2><p>{TEXT}</p></div>') == "A title\n" + TEXT
-    assert html_text.main_text(f'<div class="{name}"><article><p>{TEXT}</p></article></div>') == TEXT
-    assert html_text.main_text(f'<article><p>{TEXT}</p></article><div class="{name}"><p>{TEXT} No.</p></div>') == TEXT
-    assert html_text.main_text(f'<article><p>{TEXT}</p><div class="ad">Buy it.</div></article>') == TEXT
-
-
-def test_languages_without_stop_words():
-    finnish = "Kaupungin asukkaat kokoontuivat torille, jossa vanhat talot seisoivat vieretysten ja lapset juoksivat. "
-    for page in ('<html lang="fi"><nav><a href=x>koti</a></nav>', "<nav><a href=x>koti</a></nav>"):
-        assert html_text.main_text(f"{page}<div><p>{finnish * 3}</p><p>{finnish}</p></div>") == (finnish * 3).strip() + "\n" + finnish.strip()
-    assert html_text.main_text(f'<html lang="en"><p>{TEXT}</p><p>{finnish}</p></html>') == TEXT
-
-
-def test_unfinished_components_raise(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        components(chain, most_rounds=1)
-    assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(1, 41)}
+def test_stands_without_the_corpus_part(tmp_path):
+    """On a copy without the corpus part's folders the entry imports with SQL for every query, and all tests
+    are found."""
+    here = Path(__file__).resolve().parent.parent
+    shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    run = lambda *args: subprocess.run([sys.executable, *args], cwd=tmp_path / "copy", capture_output=True, text=True)
+    entry = run("-c", "import __spark_entry__ as e; assert e.queries().keys() == e.oracle_sql().keys() and len(e.queries()) > 90")
+    assert entry.returncode == 0, entry.stderr
+    found = run("-m", "pytest", "tests", "-q", "--collect-only")
+    assert found.returncode == 0, found.stdout
