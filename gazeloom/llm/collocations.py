@@ -38,8 +38,6 @@ SAMPLE_ROWS = 10_000
 SLICE_BYTES = 8_000_000
 #: Bits of a table for each frequent phrase, and in all at most (a bound on what is broadcast).
 BITS_EACH, MOST_BITS = 16, 1 << 27
-#: A part that is joined to the candidates it is in is dealt out so many times, if parts are too many to broadcast.
-SALTS = 32
 NO_LANGUAGE = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -217,17 +215,21 @@ def frequent(docs: DataFrame, least: int = LEAST, sample_rows: int = SAMPLE_ROWS
     return reduce(DataFrame.unionByName, parts).drop("known")
 
 
-def _with_parts(candidates: DataFrame, parts: DataFrame, part: Column, name: str) -> DataFrame:
-    """candidates with the count of one of their parts. Where parts are too many to broadcast, each is dealt out
-    SALTS times, so that a word that many candidates begin with is no single task's key."""
-    given = candidates.withColumn("_part", part)
-    told = parts.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_part"), F.col("n").alias(name))
-    near = small(told)
-    if near is told:
-        given = given.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-        near = told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        return given.join(near.withColumnRenamed("_part", "_p").withColumnRenamed("_salt", "_s"), (F.col("lang") == F.col("_lang")) & (F.col("_part") == F.col("_p")) & (F.col("_salt") == F.col("_s"))).drop("_lang", "_part", "_p", "_salt", "_s")
-    return given.join(near.withColumnRenamed("_part", "_p"), (F.col("lang") == F.col("_lang")) & (F.col("_part") == F.col("_p"))).drop("_lang", "_part", "_p")
+def _with_parts(candidates: DataFrame, parts: DataFrame, part: Column, name: str, common: int) -> DataFrame:
+    """candidates with the count of one of their parts. Where parts are too many to broadcast, those that occur `common`
+    times or more still are: with a ten-thousandth of all words as bound they are 10,000 at most. A rarer part is in few
+    candidates, each of which occurs some times in it, so no key of the shuffled join is hot."""
+    told = parts.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_p"), F.col("n").alias(name))
+    same = (F.col("lang") == F.col("_lang")) & (F.col("_part") == F.col("_p"))
+    given, near = candidates.withColumn("_part", part), small(told)
+    if near is not told:
+        return given.join(near, same).drop("_lang", "_part", "_p")
+    hot = F.broadcast(told.filter(F.col(name) >= common).withColumnsRenamed({"_lang": "_hot_lang", "_p": "_hot", name: "_n"}))
+    given = given.join(hot, (F.col("lang") == F.col("_hot_lang")) & (F.col("_part") == F.col("_hot")), "left").drop("_hot_lang", "_hot")
+    # Rows that have their count by now are spread over the join's partitions by a key that nothing meets.
+    given = given.withColumn("_part", F.when(F.col("_n").isNull(), F.col("_part")).otherwise(F.concat(F.lit(" "), "phrase")))
+    both = given.join(told.filter(F.col(name) < common), same, "left").withColumn(name, F.coalesce(name, "_n"))
+    return both.drop("_lang", "_part", "_p", "_n")
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:
@@ -246,13 +248,14 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: in
     slim = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col("text").cast("string").alias("text"))
     known = frequent(slim, least, sample_rows)
     words, pairs, triples = (known.filter(F.col("length") == i).select("lang", "phrase", "n") for i in (1, 2, 3))
+    common = max(1, (known.filter("length = 0").agg(F.sum("n")).first()[0] or 0) // 10_000)
     w = F.split("phrase", " ")
     join = lambda *at: F.concat_ws(" ", *[w[i] for i in at])
     two = pairs.withColumnRenamed("n", "a")
-    two = _with_parts(_with_parts(two, words, w[0], "l"), words, w[1], "r")
+    two = _with_parts(_with_parts(two, words, w[0], "l", common), words, w[1], "r", common)
     three = triples.withColumnRenamed("n", "a")
     for part, source, name in ((w[0], words, "l1"), (join(1, 2), pairs, "r1"), (join(0, 1), pairs, "l2"), (w[2], words, "r2")):
-        three = _with_parts(three, source, part, name)
+        three = _with_parts(three, source, part, name, common)
     three = three.withColumns({f"score{k}": _score(F.col("a"), F.col(f"l{k}"), F.col(f"r{k}")) for k in (1, 2)})
     cuts = [F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("l", "r", "score")]) for k in (1, 2)]
     three = three.select("lang", "phrase", "a", F.when(F.col("score2") < F.col("score1"), cuts[1]).otherwise(cuts[0]).alias("_cut")).select("lang", "phrase", "a", "_cut.*")
