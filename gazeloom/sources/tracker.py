@@ -19,26 +19,52 @@ def run_info(path: Column) -> dict[str, Column]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of recordings in their order, a file at a time."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return lines.withColumns(run_info(F.col("path"))).select("subject", "run", "run_type", "path", F.col("line_no").cast("long").alias("line_no"), "value")
+    """The lines of recordings in their order. Files are read in splits, as Spark plans them; a line's
+    number is its split's first byte plus its place there, so it grows along the file (with gaps), and `block` names
+    the split. No task holds more than its splits."""
+    found = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).withColumn("_at", F.monotonically_increasing_id())
+    lines = found.withColumns(run_info(F.col("path")))
+    place = F.row_number().over(Window.partitionBy(*RUN, "block").orderBy("path", "_at"))
+    return lines.select("subject", "run", "run_type", "path", (F.col("block") + place - 1).alias("line_no"), "value", "block")
+
+
+#: Lines that count as one block where a lines table doesn't name its blocks.
+BLOCK_LINES = 100_000
+#: Lines of one block, the unit that windows over lines look at.
+BLOCK = (*RUN, "block")
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    return lines if "block" in lines.columns else lines.withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
 
 
 def _parts(lines: DataFrame) -> DataFrame:
-    out = lines.filter(F.col("value") != "").withColumn("_p", F.split("value", "\t"))
+    out = _blocks(lines).filter(F.col("value") != "").withColumn("_p", F.split("value", "\t"))
     head = F.col("_p")[0]
     kind = F.when(head.startswith("EFIX"), "EFIX").when(head.startswith("ESACC"), "ESACC").when(head.startswith("EBLINK"), "EBLINK").when(head.rlike("^(SFIX|SSACC|SBLINK)"), "S").when(head.contains("MSG"), "MSG").when(head.contains("END"), "END").otherwise("DATA")
     return out.withColumn("_kind", kind)
 
 
+def _same_run(other: str) -> Column:
+    return F.col("subject").eqNullSafe(F.col(f"{other}_subject")) & F.col("run").eqNullSafe(F.col(f"{other}_run"))
+
+
+def _bounds(parts: DataFrame) -> DataFrame:
+    """(_b_subject, _b_run, _begin, _end): a run's first SYNCTIME and the first END after it. Each block tells its first
+    of both and its first END after its own SYNCTIME; a run's row is made of its blocks' rows."""
+    synced = F.contains("value", F.lit("SYNCTIME")) & ~F.contains("value", F.lit("GAZE_COORDS"))
+    ends = F.when(F.col("_kind") == "END", F.col("line_no"))
+    first = F.min(F.when(synced, F.col("line_no"))).over(Window.partitionBy(*BLOCK))
+    told = parts.withColumn("_sync", first).groupBy(*BLOCK).agg(F.first("_sync").alias("_sync"), F.min(ends).alias("_any"), F.min(F.when(ends > F.col("_sync"), ends)).alias("_after"))
+    told = told.withColumn("_begin", F.min("_sync").over(Window.partitionBy(*RUN)))  # a row a block
+    end = F.when(F.col("_sync") == F.col("_begin"), F.col("_after")).when(F.col("_any") > F.col("_begin"), F.col("_any"))
+    return told.groupBy(F.col("subject").alias("_b_subject"), F.col("run").alias("_b_run")).agg(F.first("_begin").alias("_begin"), F.min(end).alias("_end"))
+
+
 def _body(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Header and body lines: the body runs from the first SYNCTIME to the first END after it."""
-    whole = Window.partitionBy(*RUN)
-    synced = F.contains("value", F.lit("SYNCTIME")) & ~F.contains("value", F.lit("GAZE_COORDS"))
-    placed = _parts(lines).withColumn("_begin", F.min(F.when(synced, F.col("line_no"))).over(whole))
-    ends = (F.col("_kind") == "END") & (F.col("line_no") > F.col("_begin"))
-    placed = placed.withColumn("_end", F.min(F.when(ends, F.col("line_no"))).over(whole))
+    parts = _parts(lines)
+    placed = parts.join(_bounds(parts), _same_run("_b"), "left").drop("_b_subject", "_b_run")
     header = placed.filter(F.col("_begin").isNull() | (F.col("line_no") < F.col("_begin")))
     body = placed.filter((F.col("line_no") > F.col("_begin")) & (F.col("_end").isNull() | (F.col("line_no") < F.col("_end"))))
     return header, body
@@ -76,6 +102,18 @@ def flag_intervals(samples: DataFrame, found: DataFrame) -> DataFrame:
     return flagged.filter("_order = 1").select(*own.columns, *kinds)
 
 
+def _state_before(rows: DataFrame, state: list[str]) -> DataFrame:
+    """(_s_subject, _s_run, _s_block, and each state with _before): what holds where a block begins. A block is summed up as
+    whether a trial ends in it and what is known at its end; such sums are chained over a run's blocks, a row a block."""
+    ends = rows.groupBy(*BLOCK).agg(F.max("_life").alias("_ended"), *[F.max_by(c, F.struct("_life", "line_no")).alias(c) for c in state])
+    blocks = Window.partitionBy(*RUN).orderBy("block")
+    ends = ends.withColumn("_chain", F.count_if(F.col("_ended") > 0).over(so_far(blocks)))
+    chain = so_far(Window.partitionBy(*RUN, "_chain").orderBy("block"))
+    ends = ends.withColumns({c: F.last(c, ignorenulls=True).over(chain) for c in state})
+    before = {f"{c}_before": F.lag(c).over(blocks) for c in state}
+    return ends.withColumns(before).select(F.col("subject").alias("_s_subject"), F.col("run").alias("_s_run"), F.col("block").alias("_s_block"), *before)
+
+
 def parse_samples(lines: DataFrame) -> DataFrame:
     """Samples with the trial state of the messages before them: run_us, x, y, diameter, trial,
     type, image1, fixpoint1, fixpoint2, percept. Malformed lines are left out."""
@@ -96,10 +134,14 @@ def parse_samples(lines: DataFrame) -> DataFrame:
         "_two": F.when(two, F.struct(position.alias("v"))),
         "_percept": F.when(trial, F.struct(take(r"image1 = (\w+)").alias("v"))).when(percept, F.struct(take(r"percept: (\w+)").alias("v"))),
     }
-    order = Window.partitionBy(*RUN).orderBy("line_no")
+    order = Window.partitionBy(*BLOCK).orderBy("line_no")
     rows = rows.withColumn("_life", F.count_if(ended).over(so_far(order))).withColumns(state)
-    life = so_far(Window.partitionBy(*RUN, "_life").orderBy("line_no"))
+    life = so_far(Window.partitionBy(*BLOCK, "_life").orderBy("line_no"))
     rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(life) for c in state})
+    # A block's lines before its first end of a trial go on with what the blocks before it leave.
+    given = _state_before(rows, list(state))
+    rows = rows.join(given, _same_run("_s") & (F.col("block") == F.col("_s_block")), "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.when(F.col("_life") == 0, F.col(f"{c}_before"))) for c in state})
     p = lambda i: F.trim(F.get("_p", F.lit(i)))
     number = lambda i: F.when(p(i) != ".", p(i).try_cast("double"))
     fine = (F.col("_kind") == "DATA") & (F.size("_p") >= 4) & F.regexp_replace(p(0), r"\.", "").rlike(r"^\d+$") & _time(p(0)).isNotNull()

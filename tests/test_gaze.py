@@ -221,6 +221,67 @@ def test_recordings_from_files(spark, tmp_path):
     assert lines.select("run_type").first()[0] == "no-report"
 
 
+def long_recording(trials=30):
+    """Messages of many trials, some without an end or a fixation point, and END and SYNCTIME lines that don't count."""
+    lines, t = ["** file", "MSG\t1 GAZE_COORDS 0.00 0.00 1919.00 1079.00", "END\t2\tearly", "900\t1\t1\t1", "MSG\t20 SYNCTIME"], 1000
+    want, state = [], (None, None, None, None, None, None)
+    for k in range(trials):
+        lines.append(f"MSG\t{t} Trial #{k}: type = rivalry, report = 1, image1 = {'face' if k % 2 else 'house'}, angle1 = 45")
+        image = "face" if k % 2 else "house"
+        state = (k, "rivalry", image, state[3], state[4], image)
+        if k % 3:
+            lines.append(f"MSG\t{t} Fix point 1 position: {k % 8}")
+            state = (*state[:3], k % 8, *state[4:])
+        for j in range(20):
+            if j == 7 and k % 4:
+                lines.append(f"MSG\t{t} Current percept: mixed")
+                state = (*state[:5], "mixed")
+            lines.append(f"{t}\t{j}.5\t2.0\t700.0\t...")
+            want.append((t * 1000, j + 0.5, 2.0, 700.0, *state))
+            t += 4
+        if k % 5:
+            lines.append(f"MSG\t{t} End of trial")
+            state = (None,) * 6
+    return "\n".join([*lines, "END\t9\tSAMPLES", "99999\t1\t1\t1", "MSG\t1 SYNCTIME", "END\t10"]) + "\n", want
+
+
+@pytest.mark.parametrize("split", [200, 1000, 5000, 1 << 27])
+def test_one_recording_is_read_in_splits(spark, tmp_path, split):
+    """Rows are the same whatever the splits, and splits are read by tasks of their own."""
+    text, want = long_recording()
+    for name in ("s11r02nr.asc", "s12r01r.asc"):
+        (tmp_path / name).write_text(text)
+    old = [(k, spark.conf.get(k)) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        lines = K.read_lines(spark, str(tmp_path))
+        found = lines.collect()
+        samples = K.parse_samples(lines).collect()
+        meta = K.run_metadata(lines).collect()
+    finally:
+        for k, v in old:
+            spark.conf.set(k, v)
+    for subject, run in ((11, 2), (12, 1)):
+        own = sorted((r for r in found if r["subject"] == subject), key=lambda r: r["line_no"])
+        assert [r["value"] for r in own] == text.splitlines() and len({r["line_no"] for r in own}) == len(own)
+        assert len({r["block"] for r in own}) >= min(20, len(text) // split)
+        assert sorted(tuple(r)[2:] for r in samples if r["subject"] == subject) == want
+    assert {tuple(r["gaze_coords"]) for r in meta} == {(0.0, 0.0, 1919.0)} and len(meta) == 2
+
+
+def test_no_window_spans_a_run_of_lines(spark):
+    """State and bounds come from blocks of lines and from a row a block."""
+    lines = spark.createDataFrame([(1, 1, i, v) for i, v in enumerate(long_recording()[0].splitlines())], "subject long, run long, line_no long, value string")
+    want = long_recording()[1]
+    for rows in (7, 40, 100_000):
+        blocks = lines.withColumn("block", F.floor(F.col("line_no") / rows))
+        assert sorted(tuple(r)[2:] for r in K.parse_samples(blocks).collect()) == want
+    plan = K.parse_samples(lines)._jdf.queryExecution().optimizedPlan().toString()
+    whole = [w for w in plan.splitlines() if "Window [" in w and "block" not in w and "_sync" not in w]  # _sync: a row a block
+    assert not whole, whole
+
+
 def test_tables_and_sinks(spark, tmp_path):
     s = spark.createDataFrame([(1, 1, 1, 0, 5.0), (2, 2, 1, 0, 6.0)], KEY + "trial long, trial_us long, x double")
     T.write_runs(s, str(tmp_path / "plain"))
