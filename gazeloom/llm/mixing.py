@@ -6,8 +6,9 @@ proportion to a power of its length (times a weight of its own where one is give
 certain; the fraction is the inclusion probability p, which differs inside a source. Documents of a
 source are ranked by random odds over inclusion odds, [u / (1 - u)] / [p / (1 - p)], and drawn in
 that order as long as they fit into the words still wanted: a sample of fixed size (in words) with
-unequal probabilities. What the length of the first one that doesn't fit leaves open is closed by
-single documents, on either side of the target. u is a hash of the document, so reruns agree.
+unequal probabilities. What the length of the first one that doesn't fit leaves open is filled by
+further documents that are short enough, long ones first, until no document is. u is a hash of the document, so
+reruns agree.
 
 No source's documents meet in one task: weights are by classes of documents, the cut is found by
 summing words into 65,536 ranges of ranks, and only the documents of the one range that holds
@@ -16,6 +17,8 @@ the cut are ordered.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +28,6 @@ WEIGHTS, MOST_COPIES = (1, 2, 3), 3
 #: A document twice as long is expected 2 ** LENGTH_POWER times as often (0: all alike).
 LENGTH_POWER = 0.25
 _RANGES = 1 << 16
-#: A source's words are closed on its target by so many single copies at most.
-CLOSING_ROUNDS = 12
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -78,49 +79,75 @@ def _expected(cells: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     return steps.withColumn("copies", F.least(F.lit(float(most)), F.when(F.col("weight") > 0, factor * F.col("weight")).otherwise(F.lit(0.0)))).drop("_factor")
 
 
-def _draw(ranked: DataFrame) -> DataFrame:
-    """ranked: source, size, target, _whole, _rank and more. With _drawn: 1 for documents drawn in
-    the order of their ranks, as long as they fit into the words their source still wants. Written."""
-    in_range = F.floor(F.col("_rank") * F.lit(float(_RANGES))).cast("int")
-    sums = ranked.groupBy("source", in_range.alias("_range")).agg(F.sum(F.when(F.col("_rank").isNotNull(), F.col("size"))).alias("_words"), F.sum(F.col("_whole") * F.col("size")).alias("_sure"), F.first("target").alias("target"))
-    sums = cut(sums, "ranges")
-    wanted = sums.groupBy("source").agg((F.first("target") - F.sum("_sure")).alias("_want"))
-    near, same = _near(wanted)
-    before = F.sum("_words").over(Window.partitionBy("source").orderBy("_range")) - F.col("_words")  # 65,536 rows a source at most
-    upto = sums.filter("_range is not null").withColumn("_before", before).join(near, same)
-    ends = upto.filter("_before + _words > _want and _before <= _want").groupBy("source").agg(F.min_by(F.struct("_range", (F.col("_want") - F.col("_before")).alias("_left")), "_range").alias("_end"))
-    state = wanted.join(ends.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-    # Where the words are not reached, all ranks come before; where none are wanted, none do.
-    beyond = F.when(F.col("_want") > 0, F.lit(_RANGES)).otherwise(F.lit(-1))
-    state = cut(state.select("source", F.coalesce("_end._range", beyond).alias("_cut"), F.coalesce("_end._left", F.lit(0.0)).alias("_left")), "wanted")
+def _place(fills: Column | bool) -> Column:
+    """Where a document stands in a step's order: by its rank; in steps that fill a gap, by its length's class (a power
+    of two, long ones first, so that a gap takes few documents), then its rank."""
+    fills = F.lit(fills) if isinstance(fills, bool) else fills
+    return F.col("_rank") + F.when(fills, 64 - F.length(F.bin("size"))).otherwise(F.lit(0))
+
+
+def _drawn() -> Column:
+    """Whether a document, joined with its source's steps, is drawn by one of them: not too long for it, and
+    not behind the last place that it took."""
+    upto = lambda s: F.struct(_place(s["fills"]).alias("place"), F.col("_row").alias("row")) <= s["upto"]
+    return F.coalesce(F.exists("_steps", lambda s: (F.col("size") <= s["longest"]) & upto(s)), F.lit(False))
+
+
+def _step(ranked: DataFrame, state: DataFrame, fills: bool) -> DataFrame:
+    """state: (source, _gap, _longest, _steps). In the order of places, the documents that no step has drawn and that are
+    not longer than _longest, until one doesn't fit into the gap: state with one more step and the gap that is left, for
+    the sources that still have such documents. Written."""
     near, same = _near(state)
-    placed = ranked.join(near, same).drop("_source").withColumn("_range", in_range)
-    edge = F.coalesce(F.col("_range") == F.col("_cut"), F.lit(False))
-    sure = placed.filter(~edge).withColumn("_drawn", F.coalesce((F.col("_range") < F.col("_cut")).cast("int"), F.lit(0)))
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("_rank", "_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    last = placed.filter(edge).withColumn("_drawn", (run <= F.col("_left")).cast("int"))
-    return cut(sure.unionByName(last).select(*ranked.columns, "_drawn").withColumn("_row", F.monotonically_increasing_id()), "pareto")
-
-
-def _close(placed: DataFrame, most: int) -> DataFrame:
-    """A copy more or less of single documents, of each source the longest that fits into the words
-    missing or too many (if none fits, the one that comes nearest), as long as that brings any
-    source nearer to its target, CLOSING_ROUNDS times at most: where one very long document leaves a gap
-    that only very short ones could fill, the gap stays."""
-    for _ in range(CLOSING_ROUNDS):
-        copies = F.col("_whole") + F.col("_drawn")
-        gaps = cut(placed.groupBy("source").agg((F.first("target") - F.sum(copies * F.col("size"))).alias("_gap")), "gaps")
-        near, same = _near(gaps)
-        step = F.signum("_gap").cast("int")
-        after = F.abs(F.col("_gap") - step * F.col("size"))
-        may = (copies + step).between(0, most) & (after < F.abs("_gap")) & F.col("_rank").isNotNull()
-        best = placed.join(near, same).filter(may).withColumn("_after", after).withColumn("_over", F.col("size") > F.abs("_gap"))
-        flips = best.groupBy("source").agg(F.min_by(F.struct("_row", step.alias("_step")), F.struct("_over", "_after", "_rank", "_row")).alias("_flip"))
-        flips = cut(flips.select(F.col("_flip._row").alias("_one"), F.col("_flip._step").alias("_step")), "flips")
-        if flips.isEmpty():
-            return placed
-        placed = placed.join(small(flips), F.col("_row") == F.col("_one"), "left").withColumn("_drawn", F.col("_drawn") + F.coalesce("_step", F.lit(0))).drop("_one", "_step")
-    return placed
+    left = ranked.join(near, same).drop("_source").filter(F.col("_rank").isNotNull() & (F.col("size") <= F.col("_longest")) & ~_drawn()).withColumn("_at", _place(fills)).withColumn("_range", F.floor(F.col("_at") * F.lit(float(_RANGES))).cast("int"))
+    sums = cut(left.groupBy("source", "_range").agg(F.sum("size").alias("_words"), F.first("_gap").alias("_gap")), "ranges")
+    upto = F.sum("_words").over(Window.partitionBy("source").orderBy("_range"))  # 65,536 rows a source and class at most
+    over = sums.withColumn("_upto", upto).filter("_upto > _gap").groupBy("source").agg(F.min("_range").alias("_end"), F.min_by(F.col("_gap") - F.col("_upto") + F.col("_words"), "_range").alias("_room"))
+    ends = cut(sums.groupBy("source").agg((F.first("_gap") - F.sum("_words")).alias("_rest")).join(over.withColumnRenamed("source", "_o"), F.col("source").eqNullSafe(F.col("_o")), "left").drop("_o"), "ends")
+    near, same = _near(ends.filter("_end is not null").select("source", F.col("_end").alias("_e"), "_room"))
+    edge = left.join(near, same).filter(F.col("_range") == F.col("_e")).drop("_source")
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    last = edge.withColumn("_run", run).filter("_run <= _room").groupBy("source").agg(F.max(F.struct(F.col("_at").alias("place"), F.col("_row").alias("row"))).alias("_last"), F.max("_run").alias("_taken"))
+    told = ends.join(last.withColumnRenamed("source", "_o"), F.col("source").eqNullSafe(F.col("_o")), "left").drop("_o")
+    # All that are left fit; or all before the range of the first that doesn't, and some of that range.
+    before = F.struct((F.col("_end") / F.lit(float(_RANGES))).alias("place"), F.lit(-1).cast("bigint").alias("row"))
+    key = F.when(F.col("_end").isNull(), F.struct(F.lit(float("inf")).alias("place"), F.lit(0).cast("bigint").alias("row"))).otherwise(F.coalesce("_last", before))
+    gap = F.when(F.col("_end").isNull(), F.col("_rest")).otherwise(F.col("_room") - F.coalesce("_taken", F.lit(0)))
+    told = told.select(F.col("source").alias("_o"), key.alias("_key"), gap.alias("_now"))
+    step = F.array(F.struct(F.lit(fills).alias("fills"), F.col("_longest").alias("longest"), F.col("_key").alias("upto")))
+    out = state.join(told, F.col("source").eqNullSafe(F.col("_o")))
+    return cut(out.select("source", F.col("_now").alias("_gap"), F.col("_now").alias("_longest"), F.concat("_steps", step).alias("_steps")), "steps")
+
+
+def _draw(ranked: DataFrame, most: int) -> DataFrame:
+    """ranked: source, size, target, copies (whole ones), _rank, _row and more, written. copies with those drawn. The first step
+    takes all documents that come before the first one that doesn't fit into the words still wanted; further steps go on
+    with the documents that are short enough for the gap, and then once more with one more copy of
+    them, until none is short enough. If the shortest one then brings its source nearer to
+    its target from above, it is drawn too. A step is a row a source; documents are written once for each copy
+    more, `most` times at most."""
+    may = F.col("_rank").isNotNull() & (F.col("copies") < most)
+    longest, fills = F.lit(float("inf")), False
+    while True:
+        wanted = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_gap"))
+        none = F.expr("cast(array() as array<struct<fills:boolean,longest:double,upto:struct<place:double,row:bigint>>>)")
+        state = cut(wanted.filter("_gap > 0").select("source", "_gap", longest.alias("_longest"), none.alias("_steps")), "steps")
+        open_, done = ranked.withColumn("_rank", F.when(may, F.col("_rank"))), []
+        while True:
+            after = _step(open_, state, fills)
+            done.append(state.join(after.select(F.col("source").alias("_o")), F.col("source").eqNullSafe(F.col("_o")), "left_anti"))
+            if after.isEmpty():
+                break
+            state, fills = after, True
+        if len(done) == 1:
+            break
+        near, same = _near(cut(reduce(DataFrame.unionByName, done).select("source", "_steps"), "steps"))
+        ranked = cut(ranked.join(near, same, "left").withColumn("copies", F.col("copies") + (_drawn() & may).cast("int")).select(ranked.columns), "pareto")
+        longest = F.col("_gap")
+    near, same = _near(state.select("source", "_gap"))
+    shortest = ranked.filter(may).join(near, same).groupBy("source").agg(F.min(F.struct("size", "_rank", "_row")).alias("_min"), F.first("_gap").alias("_gap"))
+    nearer = cut(shortest.filter(F.col("_min.size") < 2 * F.col("_gap")).select(F.col("_min._row").alias("_one")), "nearer")  # a row a source at most
+    out = ranked.join(small(nearer), F.col("_row") == F.col("_one"), "left")
+    return out.withColumn("copies", F.col("copies") + F.col("_one").isNotNull().cast("int")).select(ranked.columns)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 5, length_power: float = LENGTH_POWER, weight_col: str | None = None) -> DataFrame:
@@ -164,5 +191,6 @@ def _copies(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, len
     p = F.greatest(F.lit(0.0), F.col("copies") - whole)
     odds = (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p))
     rank = F.when((p > 1e-6) & (F.col("size") > 0), F.least(odds / (1 + odds), F.lit(1 - 2.0**-52)))
-    ranked = slim.join(near, same).select("doc_id", "source", "size", "source_size", "target", whole.alias("_whole"), rank.alias("_rank"), "_u")
-    return _close(_draw(ranked), most).withColumn("copies", F.col("_whole") + F.col("_drawn"))
+    ranked = slim.join(near, same).select("doc_id", "source", "size", "source_size", "target", whole.alias("copies"), rank.alias("_rank"))
+    ranked = cut(ranked.withColumn("_row", F.monotonically_increasing_id()), "pareto")
+    return _draw(ranked, most)

@@ -2,7 +2,9 @@
 
 import pytest
 
-from gazeloom.llm import html_text
+from pyspark.sql import functions as F
+
+from gazeloom.llm import html_text, mixing
 from gazeloom.llm.components import components
 
 TEXT = ("The people of the town were in the house and it was as if they had been there with the others for a long time, "
@@ -38,3 +40,11 @@ def test_languages_without_stop_words():
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(1, 41)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 5])
+def test_a_giant_document_leaves_no_gap_that_short_ones_fill(spark, seed):
+    rows = [(0, "w " * 20_000, "a")] + [(i, "w " * 10, "a") for i in range(1, 2001)] + [(i, "w " * 20, "b") for i in range(3000, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, seed=seed).groupBy(F.col("doc_id") < 3000).agg(F.first("target"), F.sum("taken"), F.max(F.col("taken") / F.col("size"))).collect()
+    assert all(abs(target - taken) <= 10 and most <= 3 for _, target, taken, most in mixed) and len(mixed) == 2
