@@ -3,8 +3,9 @@
 A page is cut into blocks at block-level tags. Pass one looks at each block alone: blocks in
 containers that never hold article text, and blocks that are mostly links, are bad; long blocks
 with many stop words are good, long ones with few are bad; middling ones are near-good and short
-ones ambiguous. A container's name is only a hint: inside an article it makes blocks ambiguous, and
-it says nothing on a page whose long texts are all under such names. Where the stop words don't fit
+ones ambiguous. A container's name is only a hint: names of what no article holds (comments, sidebars, consent) make
+blocks bad, others make them ambiguous inside an article and bad outside, and no name says
+anything on a page whose long texts are all under such names. Where the stop words don't fit
 the page's language, length alone decides. Pass two gives ambiguous and near-good blocks the label of the nearest decided
 blocks, of the same article or main container first.
 """
@@ -35,7 +36,11 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces dans des du elle est et il je le les leur mais ne nous ou par pas plus pour qui sa ses son sont sur une vous "
     "als auch auf aus bei bin das dass dem den der des die ein eine einem einen einer es für hat ich im ist mit nach nicht oder sich sie sind so über um und von vor war wie wird zu zum zur".split()
 )
-#: Hints that stay final in an article, but for long texts with many stop words.
+#: Hints that are final in an article too, if they are the whole name or stand beside words of PLAIN only.
+FINAL = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments disqus consent cookie cookies disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice pagination popup promo recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe".split())
+#: Words of names that say nothing about the content.
+PLAIN = frozenset("alert area articles bar block body box btn button buttons col container content count entry feed field form group header icons inner item items left link links list main media message more news outer panel policy post posts primary right row secondary section site stories thread text top bottom up user widget widgets wrap wrapper".split())
+#: Hints of advertising: short blocks under them are never article text.
 ADVERTS = frozenset(("ad", "ads", "advert", "advertisement", "sponsor", "sponsored"))
 #: Languages of the stop words.
 LANGUAGES = ("en", "es", "fr", "de")
@@ -73,12 +78,17 @@ def _hidden(attributes: dict[str, str]) -> bool:
 
 
 def _hint(attributes: dict[str, str]) -> int:
-    """2 if the element's names speak of advertising, 1 if of something else beside articles."""
+    """3 if the element's names speak of advertising, 2 if of something else that no article holds (comments,
+    sidebars, consent), 1 if they only may: related-work is a name of the author's own."""
     found = 0
     for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
-        parts = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-        if not AROUND & set(parts) and any(p in HINTS for p in parts):
-            found = max(found, 2 if ADVERTS & set(parts) else 1)
+        parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        if not any(p in HINTS for p in parts):
+            continue
+        if all(p in HINTS or p in PLAIN for p in parts) and FINAL & set(parts) and not AROUND - PLAIN & set(parts):
+            found = max(found, 3 if ADVERTS & set(parts) else 2)
+        elif not AROUND & set(parts):
+            found = max(found, 1)
     return found
 
 
@@ -185,7 +195,7 @@ def blocks_of(page: str) -> list[Block]:
                 language = re.split("[-_]", named.get("lang", "").strip().lower())[0] or language
             if name in ("article", "main"):
                 articles += 1
-                inside = articles
+                inside = articles if name == "article" else -articles  # a main part often holds the whole page
             # A page or article is never given up for its name.
             if name not in ("html", "body", "article", "main"):
                 bad, hint = bad or name in NEVER or _hidden(named), max(hint, _hint(named))
@@ -212,10 +222,10 @@ def classify(blocks: list[Block]) -> list[bool]:
     for i, b in enumerate(blocks):
         if b.bad or linked[i]:
             labels.append(False)
-        elif b.hint and b.inside:
-            labels.append(None if solid[i] or b.hint == 1 else False)
+        elif b.hint and b.inside > 0:
+            labels.append(False if b.hint > 1 and hints or b.hint == 3 and not solid[i] else None)
         elif b.hint and (hints or not solid[i]):
-            labels.append(False if hints or b.hint == 2 or not some else None)
+            labels.append(False if hints or b.hint == 3 or not some else None)
         elif len(b.text) < SHORT:
             labels.append(None)
         elif solid[i]:
@@ -226,14 +236,14 @@ def classify(blocks: list[Block]) -> list[bool]:
             labels.append(None)
     before: list[tuple[int, bool] | None] = []
     for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
-        last: dict[int, tuple[int, bool]] = {}
+        last: dict[int | None, tuple[int, bool]] = {}
         side: list[dict] = [{}] * len(blocks)
         for i in order:
-            own, every = last.get(blocks[i].inside), last.get(-1)
+            own, every = last.get(blocks[i].inside), last.get(None)
             side[i] = {"own": own, "all": every}
             if labels[i] is not None:
-                last[-1] = (i, labels[i])
-                if not blocks[i].bad:
+                last[None] = (i, labels[i])
+                if not blocks[i].bad and (labels[i] or not blocks[i].hint):  # what its name took out says nothing of its neighbours
                     last[blocks[i].inside] = (i, labels[i])
         before.append(side)
     out = []
