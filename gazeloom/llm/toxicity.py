@@ -27,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .tokens import text_slices
 
-#: Labelled rows used for fitting at most, and learned entries kept at most.
-FIT_ROWS, LEXICON_ROWS = 8000, 2000
-#: Entries of the sample's toxic rows that are looked up in its clean rows, those with most hits.
-TRIED_ROWS = 100_000
+#: Labelled rows used for fitting at most; all else of the fit is bounded by them.
+FIT_ROWS = 8000
 THRESHOLD = 0.3
 _PREFIXES = range(4, 8)
 
@@ -103,8 +101,8 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 GRAMMAR, BACKWARDS = compose(compose(negation(), report()), target()), target()
 #: Kinds of matched clauses that the model weighs.
 KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat", "weak insult")
-#: Beyond so many clauses a kind's count says no more (a ceiling of the model's input; all clauses are read).
-_MOST = 6
+#: Bits of a count's or a length's magnitude in a code.
+_BITS = 6
 
 
 def kind_of(mark: str) -> int | None:
@@ -221,18 +219,15 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in own], pa.string()), pa.array([c for _, c in own], pa.int64()), pa.array([zlib.crc32((text or "").encode())] * len(own), pa.int64())], names=["feature", "before", "text"])
 
 
-def _counts(wanted: frozenset[str]):
-    """In how many texts each wanted feature occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each feature occurs."""
+    for batch in batches:
+        for rows in text_slices(batch, 0):
             found: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                found.update({f for f, _ in features(text or "")} & wanted)
+            for text in rows.column(0).to_pylist():
+                found.update({f for f, _ in features(text or "")})
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
 
-    return run
-
 
 def learn_lexicon(rows: DataFrame, least: int = 4) -> Lexicon:
     """Entries whose tie to toxic rows could not be chance among so many: a likelihood-ratio
@@ -251,19 +246,14 @@ def learn_lexicon(rows: DataFrame, least: int = 4) -> Lexicon:
     tried = toxic.count()
     if not tried:
         return Lexicon(words)
-    # What is kept occurs in many toxic rows, so the entries with most hits are enough to look at.
-    best = {r[0]: r[1] for r in toxic.orderBy(F.desc("hits"), "feature").limit(TRIED_ROWS).collect()}
-    clean = rows.filter("toxic = 0").select("text").mapInArrow(_counts(frozenset(best)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    misses = {r[0]: r[1] for r in clean.collect()}  # at most as many rows as best
-    bar, base = 2 * math.log(tried) + 6, n_toxic / (n_toxic + n_clean)
-    kept = []
-    for entry, a in best.items():
-        b = misses.get(entry, 0)
-        share = a / (a + b)
-        g2 = 2 * (a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0))
-        if share >= min(0.8, 3 * base) and g2 > bar:
-            kept.append((g2, entry, "i" if share >= 0.9 else "w"))
-    kept = sorted(kept, key=lambda x: (-x[0], x[1]))[:LEXICON_ROWS]
+    clean = rows.filter("toxic = 0").select("text").mapInArrow(_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    both = toxic.join(cut(clean.join(small(toxic.select("feature")), "feature", "left_semi"), "fit-clean"), "feature", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    a, b, base = F.col("hits"), F.col("n"), n_toxic / (n_toxic + n_clean)
+    share = a / (a + b)
+    g2 = 2 * (a * F.log(share / base) + F.when(b > 0, b * F.log((1 - share) / (1 - base))).otherwise(F.lit(0.0)))
+    good = both.select("feature", share.alias("share"), g2.alias("g2")).filter((F.col("share") >= min(0.8, 3 * base)) & (F.col("g2") > 2 * math.log(tried) + 6))
+    # As many rows as entries of a bounded sample pass the bar.
+    kept = sorted((-r["g2"], r["feature"], "i" if r["share"] >= 0.9 else "w") for r in good.collect())
     beginnings = {e[:-1]: symbol for _, e, symbol in kept if e.endswith("*")}
     for _, e, symbol in kept:
         if not e.endswith("*"):
@@ -272,10 +262,15 @@ def learn_lexicon(rows: DataFrame, least: int = 4) -> Lexicon:
 
 
 def inputs(counts: np.ndarray, length: float) -> np.ndarray:
-    """What the logistic model weighs: 1, for each kind whether it occurs, for each kind how
-    many more there are, and the text's length as a power of two."""
-    counts = np.minimum(counts, _MOST)
-    return np.concatenate([[1.0], np.minimum(counts, 1), np.maximum(counts - 1, 0), [length]])
+    """What the logistic model weighs: 1, for each kind whether it occurs, for each kind the
+    magnitude of its count (0 for one, 1 for two or three and so on), and that of the text's length."""
+    size = magnitudes(counts)
+    return np.concatenate([[1.0], np.minimum(size, 1), np.maximum(size - 1, 0), [length]])
+
+
+def magnitudes(counts: np.ndarray) -> np.ndarray:
+    """The bits of each count: logarithms without a ceiling."""
+    return np.array([int(c).bit_length() for c in counts], np.int64)
 
 
 def length_of(text: str) -> int:
@@ -295,18 +290,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             codes = []
             for text in batch.column(0).to_pylist():
                 code = length_of(text or "")
-                for c in np.minimum(clauses(text or "", lexicon, automaton), _MOST).tolist():
-                    code = code * (_MOST + 1) + c
+                for c in magnitudes(clauses(text or "", lexicon, automaton)).tolist():
+                    code = (code << _BITS) + c
                 codes.append(code)
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), batch.column(1)], names=["code", "toxic"])
 
     patterns = chosen.mapInArrow(count, "code long, toxic int").groupBy("code", "toxic").count().collect()  # at most `rows` rows
     if len({r[1] for r in patterns}) < 2:
         return Model(lexicon, prior)
-    x, size = [], _MOST + 1
+    x = []
     for code, _, _ in patterns:
-        places = [code // size**i % size for i in range(len(KINDS))][::-1]
-        x.append(inputs(np.array(places), code // size ** len(KINDS)))
+        places = [code >> _BITS * i & (1 << _BITS) - 1 for i in range(len(KINDS))][::-1]
+        x.append(inputs(np.array([(1 << p) - 1 for p in places]), code >> _BITS * len(KINDS)))
     x, y, n = np.array(x), np.array([r[1] for r in patterns], float), np.array([r[2] for r in patterns], float)
     prior[0] = math.log((n @ y + 1) / (n @ (1 - y) + 1))
     ridge = np.array([0.01, *[0.5] * (len(prior) - 1)])
