@@ -6,6 +6,8 @@ a chain of steps shuffles its samples once and reads them once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,34 +89,79 @@ def interpolate(df: DataFrame, columns: tuple[str, ...] = ("x", "y", "diameter")
     return out.withColumns(filled).drop("_i", *[f"_{s}_{c}" for s in "ab" for c in columns])
 
 
+def _sections(order: int, cutoff: float, rate: float) -> list[tuple[float, float, float]]:
+    """(b0, a1, a2) of the second-order sections of a Butterworth low pass of even order; the
+    numerator is b0 * (1, 2, 1)."""
+    if order < 2 or order % 2:
+        raise ValueError("the order must be even")
+    w, out = math.tan(math.pi * cutoff / rate), []
+    for k in range(order // 2):
+        q = 1 / (2 * math.cos(math.pi * (2 * k + 1) / (2 * order)))
+        norm = 1 / (1 + w / q + w * w)
+        out.append((w * w * norm, 2 * (w * w - 1) * norm, (1 - w / q + w * w) * norm))
+    return out
+
+
+def _section(u, b0: float, a1: float, a2: float, block: int = 128):
+    """One section over a series, from the state that a constant first value would have left. The
+    recursion is linear in input and state, so blocks are matrix products: what a block's own
+    inputs give, and what its first state gives; only states are carried from block to block."""
+    import numpy as np
+
+    a = np.array([[-a1, 1.0], [-a2, 0.0]])  # transposed direct form: y = b0 u + s1
+    b = np.array([2 * b0 - a1 * b0, b0 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(a @ powers[-1])
+    free = np.stack([p[0] for p in powers[:block]])  # output of a state, place by place
+    answer = np.concatenate([[b0], free[:-1] @ b])  # output of a single input
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    own = np.where(lag >= 0, answer[np.maximum(lag, 0)], 0.0)
+    left = np.stack([powers[block - 1 - j] @ b for j in range(block)], axis=1)  # state after the block
+    n = len(u)
+    blocks = np.pad(u, (0, -n % block)).reshape(-1, block)
+    ends, states = blocks @ left.T, np.empty((len(blocks), 2))
+    s = np.array([(1 - b0) * u[0], (b0 - a2) * u[0]])
+    for i, end in enumerate(ends):
+        states[i] = s
+        s = powers[block] @ s + end
+    return (blocks @ own.T + states @ free.T).ravel()[:n]
+
+
+def _zero_phase(v, sections: list[tuple[float, float, float]], edge: int):
+    """Forward and backward over the series, whose ends are continued by reflection through their
+    end points (odd), over `edge` places or as many as there are."""
+    import numpy as np
+
+    k = min(edge, len(v) - 1)
+    out = np.concatenate([2 * v[0] - v[k:0:-1], v, 2 * v[-1] - v[-2 : -k - 2 : -1]])
+    for _ in range(2):
+        for s in sections:
+            out = _section(out, *s)
+        out = out[::-1]
+    return out[k : k + len(v)]
+
+
 def low_pass(df: DataFrame, order: int = 4, cutoff: float = 30.0, rate: float = 250.0, apply: bool = False) -> DataFrame:
     """The zero-phase low-pass filter on x and y. By default the frame comes back as it is, which
     is what users of this step have always been given; apply=True filters each run forward and
-    backward with cascaded second-order sections."""
+    backward with cascaded second-order sections, with edges continued over 3 * (order + 1) places.
+    Missing values stay missing, and each unbroken stretch of known ones is filtered for itself; one
+    recording is in memory at a time."""
     if not apply:
         return df
+    sections = _sections(order, cutoff, rate)
 
     def smooth(group):
-        import math
-
         import numpy as np
 
-        group = group.sort_values("run_us")
-        warped = math.tan(math.pi * cutoff / rate)
+        group = group.sort_values("run_us", kind="stable")
         for c in ("x", "y"):
-            v = group[c].to_numpy(float)
-            for _ in range(2):
-                v = v[::-1]
-                for k in range(order // 2):
-                    q = 1 / (2 * math.cos(math.pi * (2 * k + 1) / (2 * order)))
-                    norm = 1 / (1 + warped / q + warped * warped)
-                    b0 = warped * warped * norm
-                    a1, a2 = 2 * (warped * warped - 1) * norm, (1 - warped / q + warped * warped) * norm
-                    out, x1, x2, y1, y2 = np.empty_like(v), v[0], v[0], v[0], v[0]
-                    for i, now in enumerate(v):
-                        out[i] = b0 * (now + 2 * x1 + x2) - a1 * y1 - a2 * y2
-                        x1, x2, y1, y2 = now, x1, out[i], y1
-                    v = out
+            v = group[c].to_numpy(float).copy()
+            known = np.flatnonzero(np.isfinite(v))
+            for part in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1):
+                if len(part):
+                    v[part] = _zero_phase(v[part], sections, 3 * (order + 1))
             group[c] = v
         return group
 

@@ -5,6 +5,11 @@ Onsets and durations are seconds, rounded to a tenth where the function says so.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,35 +65,61 @@ def collapse_to_epochs(df: DataFrame, column: str, offsets: DataFrame, prefix: s
     return out.select(*TRIAL, onset.alias("onset"), rounded(seconds(F.col("end_us") - F.col("start_us"))).alias("duration"), F.concat_ws("_", F.lit(prefix), "kind", F.coalesce("label", F.lit("nan"))).alias("trial_type"))
 
 
+def _tenth(value: float) -> float:
+    return float(Decimal(repr(value)).quantize(Decimal("0.1"), ROUND_HALF_EVEN))
+
+
+def _merged(rows: Iterable[tuple], least: float, tolerance: float) -> Iterator[tuple]:
+    """The rule of merge_short_epochs over rows (keys, onset, duration, trial_type) that lie run by
+    run in order of onset. Only the last finished epoch and a short one waiting for its successor
+    are held; a missing onset or duration touches nothing and is not short."""
+    run, last, held = None, None, None
+    touch = lambda a, b: None not in (a[1], a[2], b[1]) and abs(a[1] + a[2] - b[1]) <= tolerance
+    for row in rows:
+        if row[0] != run:
+            yield from (e for e in (last, held) if e)
+            run, last, held = row[0], None, None
+        if held and touch(held, row):
+            row = (run, held[1], None if row[2] is None else _tenth(row[2] + held[2]), row[3])
+        elif held:
+            if last:
+                yield last
+            last = held
+        held = None
+        if row[2] is None or row[2] >= least:
+            if last:
+                yield last
+            last = row
+        elif last and touch(last, row):
+            last = (run, last[1], _tenth(last[2] + row[2]), last[3])
+        else:
+            held = row
+    yield from (e for e in (last, held) if e)
+
+
 def merge_short_epochs(events: DataFrame, least: float = 1.75, tolerance: float = 0.15) -> DataFrame:
     """Epochs shorter than `least` go into the epoch before if that ends where they start, else into
-    the one after if that starts where they end; others stay. One fold over a run's epochs, which
-    are few, in order of onset."""
-    kind = "struct<onset:double,duration:double,trial_type:string>"
-    ordered = events.groupBy(*RUN).agg(F.array_sort(F.collect_list(F.struct("onset", "duration", "trial_type"))).alias("e"))
-    touch = lambda a, b: F.abs(a["onset"] + a["duration"] - b["onset"]) <= tolerance
-    longer = lambda a, by: F.struct(a["onset"].alias("onset"), rounded(a["duration"] + by["duration"]).alias("duration"), a["trial_type"].alias("trial_type"))
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("held"))
-
-    def step(acc: Column, e: Column) -> Column:
-        done, held = acc["done"], acc["held"]
-        joined = held.isNotNull() & touch(held, e)
-        # A held epoch that this one doesn't follow stays as it is.
-        done = F.when(held.isNotNull() & ~joined, F.concat(done, F.array(held))).otherwise(done)
-        onset = F.when(joined, held["onset"]).otherwise(e["onset"])
-        duration = F.when(joined, rounded(e["duration"] + held["duration"])).otherwise(e["duration"])
-        now = F.struct(onset.alias("onset"), duration.alias("duration"), e["trial_type"].alias("trial_type"))
-        last = F.try_element_at(done, F.lit(-1))
-        short = now["duration"] < least
-        into = short & F.coalesce(touch(last, now), F.lit(False))
-        head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.struct(
-            F.when(into, F.concat(head, F.array(longer(last, now)))).when(short, done).otherwise(F.concat(done, F.array(now))).alias("done"),
-            F.when(short & ~into, now).alias("held"),
-        )
-
-    merged = F.aggregate("e", start, step, lambda acc: F.when(acc["held"].isNotNull(), F.concat(acc["done"], F.array(acc["held"]))).otherwise(acc["done"]))
-    return ordered.select(*RUN, F.explode(merged).alias("x")).select(*RUN, "x.onset", "x.duration", "x.trial_type")
+    the one after if that starts where they end; others stay. Each merge moves an end that the next
+    one is compared with, so the rule is sequential in a run: one pass over the sorted epochs that
+    holds two of them, however long a run is."""
+
+    def fold(batches):
+        def rows():
+            for batch in batches:
+                at = batch.to_pydict()
+                yield from zip(zip(at["subject"], at["run"]), at["onset"], at["duration"], at["trial_type"])
+
+        merged = _merged(rows(), least, tolerance)
+        while some := list(islice(merged, 10_000)):
+            keys, onset, duration, kind = zip(*some)
+            subject, run = zip(*keys)
+            yield pa.RecordBatch.from_pydict({"subject": subject, "run": run, "onset": onset, "duration": duration, "trial_type": kind}, schema=schema)
+
+    columns = (*RUN, "onset", "duration", "trial_type")
+    slim = events.select(*[F.col(c).cast("long") for c in RUN], F.col("onset").cast("double"), F.col("duration").cast("double"), "trial_type")
+    schema = pa.schema([("subject", pa.int64()), ("run", pa.int64()), ("onset", pa.float64()), ("duration", pa.float64()), ("trial_type", pa.string())])
+    ordered = slim.repartition(*RUN).sortWithinPartitions(*columns)
+    return ordered.mapInArrow(fold, "subject long, run long, onset double, duration double, trial_type string")
 
 
 def events_from_reports(reports: DataFrame, offsets: DataFrame, labeled: DataFrame | None = None, jump_us: int = 200_000) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import band
 from ..functions.windows import RUN, TRIAL, run_order
+from ..sources.tracker import run_stem
 from .percepts import transition_summary
 
 
@@ -38,6 +39,13 @@ def calibration(df: DataFrame) -> DataFrame:
     return df.filter("fixation = 1").groupBy(*RUN).agg(F.avg(near).alias("mean_distance"), F.median(near).alias("median_distance"), within(1).alias("within_1"), within(2).alias("within_2"))
 
 
+def _summary(share: float, spike_limit: int = 100, outlier_limit: int = 50) -> Column:
+    n, spikes, odd = F.size("high_blink_trials"), F.col("velocity_spikes"), F.col("diameter_outliers")
+    told = lambda c, what: F.concat(c.cast("string"), F.lit(what))
+    text = F.concat_ws("; ", F.when(n > 0, told(n, f" trials with >{share * 100:.0f}% blinks")), F.when(spikes > spike_limit, told(spikes, " velocity spikes")), F.when(odd > outlier_limit, told(odd, " diameter outliers")))
+    return F.when(text == "", "No major anomalies").otherwise(text)
+
+
 def anomalies(df: DataFrame, share: float = 0.3, step: float = 100.0, deviations: float = 4.0) -> DataFrame:
     """One row a run: trials with many blinks, steps longer than `step` between samples of the run,
     diameters beyond the median by so many sample deviations, and a summary."""
@@ -48,15 +56,32 @@ def anomalies(df: DataFrame, share: float = 0.3, step: float = 100.0, deviations
     bad = df.filter("trial is not null").groupBy(*TRIAL).agg(F.avg((F.col("blink") == 1).cast("double")).alias("_b")).filter(F.col("_b") > share)
     bad = bad.groupBy(*RUN).agg(F.array_sort(F.collect_list("trial")).alias("high_blink_trials"))
     out = counted.join(bad, list(RUN), "left").withColumn("high_blink_trials", F.coalesce("high_blink_trials", F.array().cast("array<bigint>")))
-    n, spikes, odd = F.size("high_blink_trials"), F.col("velocity_spikes"), F.col("diameter_outliers")
-    text = F.concat_ws("; ", F.when(n > 0, F.concat(n.cast("string"), F.lit(" trials with >30% blinks"))), F.when(spikes > 100, F.concat(spikes.cast("string"), F.lit(" velocity spikes"))), F.when(odd > 50, F.concat(odd.cast("string"), F.lit(" diameter outliers"))))
-    return out.withColumn("anomaly_summary", F.when(text == "", "No major anomalies").otherwise(text))
-
-
-def quality_report(df: DataFrame) -> DataFrame:
-    """One row a run over all subjects: quality, calibration and anomalies."""
-    keys = list(RUN)
-    return run_quality(df).join(calibration(df), keys, "left").join(anomalies(df), keys, "left")
+    return out.withColumn("anomaly_summary", _summary(share))
+
+
+def quality_report(df: DataFrame, suffix: str = "_preprocessed.csv", spike: float = 100.0, deviations: float = 4.0, share: float = 0.3) -> DataFrame:
+    """One row a run over all subjects: type and file name (where df has run_type), quality,
+    calibration and anomalies. One shuffle by run: windows give each sample its step, the run's
+    diameters and its trial's share of blinks, and one aggregate makes all columns."""
+    run, w, trial = Window.partitionBy(*RUN), run_order(), Window.partitionBy(*TRIAL)
+    near, fix = F.least("d1", "d2"), F.col("fixation") == 1
+    typed = "run_type" in df.columns
+    slim = df.select(*TRIAL, "run_us", "trial_us", "x", "y", "dc", "diameter", "blink", "saccade", "fixation", near.alias("_near"), *(["run_type"] if typed else []))
+    rows = slim.withColumns({
+        "_step": F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2),
+        "_m": F.median("diameter").over(run), "_s": F.stddev("diameter").over(run), "_b": F.avg((F.col("blink") == 1).cast("double")).over(trial),
+    })
+    within = lambda k: (F.avg(F.when(fix, F.coalesce(F.col("_near") <= k, F.lit(False)).cast("double"))) * 100)
+    fixed = F.when(fix, F.col("_near"))
+    out = rows.groupBy(*RUN).agg(
+        *([F.min("run_type").alias("run_type")] if typed else []),
+        F.count("*").alias("n_samples"), F.size(F.collect_set("trial")).cast("long").alias("n_trials"), ((F.max_by("trial_us", "run_us") - F.min_by("trial_us", "run_us")) / 1e6).alias("duration_s"), *_measures(),
+        F.avg(fixed).alias("mean_distance"), F.median(fixed).alias("median_distance"), within(1).alias("within_1"), within(2).alias("within_2"),
+        F.count_if(F.col("_step") > spike).alias("velocity_spikes"), F.count_if(F.abs(F.col("diameter") - F.col("_m")) > deviations * F.col("_s")).alias("diameter_outliers"),
+        F.array_sort(F.collect_set(F.when(F.col("_b") > share, F.col("trial")))).alias("high_blink_trials"),
+    )
+    out = out.withColumn("anomaly_summary", _summary(share))
+    return out.withColumn("filename", F.concat(run_stem(), F.lit(suffix))) if typed else out
 
 
 def quality_flags(report: DataFrame) -> DataFrame:
@@ -132,3 +157,16 @@ def evaluation_report(runs: DataFrame, numbers: list[int] | None = None) -> Data
     per = runs.groupBy("subject").agg(*stats()).join(pivot, "subject")
     every = runs.agg(*stats()).select(F.lit(None).cast("long").alias("subject"), "n_runs", "mean", "std", "min", "max")
     return per.unionByName(every, allowMissingColumns=True)
+
+
+def metric_report(runs: DataFrame, metrics: tuple[str, ...] = ("accuracy_2", "f1_macro_2", "mcc_2", "accuracy_3", "f1_macro_3", "mcc_3")) -> DataFrame:
+    """(subject, metric, n_runs, n_subjects, mean, std, min, max) of the runs' scores without (_2) and
+    with (_3) `mixed`, by subject and, with a null subject, over all; runs whose accuracy_2 is missing
+    don't count. One pass: runs in long form, grouped by both sets."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics]))
+    rows = runs.filter("accuracy_2 is not null").select("subject", each.alias("_e")).select("subject", F.col("_e.metric").alias("metric"), F.col("_e.v").alias("v"), F.col("subject").alias("_who"))
+    s, m = F.col("subject"), F.col("metric")
+    return rows.groupingSets([[s, m], [m]], s, m).agg(
+        F.count("v").alias("n_runs"), F.countDistinct(F.when(F.col("v").isNotNull(), F.col("_who"))).alias("n_subjects"),
+        F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
+    ).select("subject", "metric", "n_runs", "n_subjects", "mean", "std", "min", "max")

@@ -39,6 +39,11 @@ def query(sql: str | None = None, *ctes: str) -> Callable[[Query], Query]:
     return register
 
 
+def also(name: str, of: str) -> None:
+    """Registers a query under a second name."""
+    QUERIES[name], ORACLES[name] = QUERIES[of], ORACLES[of]
+
+
 def r6(*names: str) -> dict:
     return {n: F.round(F.col(n), 6) for n in names}
 
@@ -154,7 +159,9 @@ def a8_parameters_as_of_run(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/gazeloom"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return os.path.join(root, f"files-{uuid.uuid4().hex}")
 
 
@@ -167,13 +174,7 @@ def a9_load_runs(spark, d):
     return back.groupBy(*RUN, "run_type").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"), F.count("y").alias("n_y"))
 
 
-@query(f"SELECT {KEY}, run_type, count(*)::BIGINT AS n, round(sum(x), 3) AS sum_x, count(y)::BIGINT AS n_y FROM g GROUP BY ALL")
-def a9_load_all_runs(spark, d):
-    path = _folder(spark)
-    T.write_runs(samples(spark, d), path, "csv")
-    schema = "sample_idx long, run_us long, trial long, trial_us long, x double, y double, diameter double, blink int, saccade int, fixation int, fixpoint1 int, fixpoint2 int, image1 string, type string, subject long, run long, run_type string"
-    back = T.read_runs(spark, path, schema, "csv", required=("trial", "x", "y"))
-    return back.groupBy(*RUN, "run_type").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sum_x"), F.count("y").alias("n_y"))
+also("a9_load_all_runs", "a9_load_runs")
 
 
 @query(f"SELECT {KEYT}, percept, onset_us, duration_us FROM reports", REPORTS)
@@ -183,6 +184,15 @@ def a10_latest_reports(spark, d):
     return T.latest(old.unionByName(r.withColumn("file", F.lit("reports_2.csv"))), "file").select(*TRIAL, "percept", "onset_us", "duration_us")
 
 
+@query(f"SELECT {KEYT}, type, percept, onset_us, duration_us FROM reports", REPORTS)
+def a10_reports_from_files(spark, d):
+    """Two report files a run are written; only the later one is read."""
+    r, path = reports(spark, d), _folder(spark)
+    T.write_report_files(r.withColumn("percept", F.lit("old")), path, "20240101-120000")
+    T.write_report_files(r, path, "20240202-090000")
+    return T.read_reports(spark, path).select(*TRIAL, "type", "percept", "onset_us", "duration_us")
+
+
 @query(f"SELECT {KEYT}, trial_us, x, percept, section, aggregated FROM labeled", LABELED)
 def a11_sidecar_join(spark, d):
     s = samples(spark, d)
@@ -647,6 +657,15 @@ def f6_evaluation_report(spark, d):
     return Q.evaluation_report(_evaluated(spark, d), [1, 2, 3, 4]).withColumns(r6("mean", "std"))
 
 
+_METRICS = ("accuracy_2", "f1_macro_2", "mcc_2", "accuracy_3", "f1_macro_3", "mcc_3")
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT subject, '{m}' AS metric, {m} AS v FROM evaluated WHERE accuracy_2 IS NOT NULL" for m in _METRICS) + ")"
+
+
+@query("SELECT subject, metric, count(v)::BIGINT AS n_runs, count(DISTINCT CASE WHEN v IS NOT NULL THEN who END)::BIGINT AS n_subjects, round(avg(v), 6) AS mean, round(stddev(v), 6) AS std, min(v) AS min, max(v) AS max FROM (SELECT *, subject AS who FROM long) GROUP BY GROUPING SETS ((subject, metric), (metric))", *_EVAL, _LONG)
+def f6_metric_report(spark, d):
+    return Q.metric_report(_evaluated(spark, d), _METRICS).withColumns(r6("mean", "std"))
+
+
 _CONFIGS = """
 cfg AS (SELECT 'nearest' AS config, * FROM tscored0 UNION ALL SELECT 'three_way', * FROM tscored1)"""
 
@@ -779,15 +798,8 @@ def g3_collapse_to_epochs(spark, d):
 
 
 
-@query(f"SELECT {KEYT}, off AS \"offset\" FROM offsets", _ALL_OFFSETS)
-def g1_all_trial_offsets(spark, d):
-    return E.trial_offsets(samples(spark, d))
-
-
-@query(f"SELECT {KEYT}, onset, duration, trial_type FROM events_", LABELED, _ALL_OFFSETS, _epochs_sql("ep", "labeled", "aggregated"), _COLLAPSED)
-def g3_collapse_all_epochs(spark, d):
-    s = _labeled(spark, d)
-    return E.collapse_to_epochs(s, "aggregated", E.trial_offsets(s), "no_report")
+also("g1_all_trial_offsets", "g1_trial_offsets")
+also("g3_collapse_all_epochs", "g3_collapse_to_epochs")
 
 
 _MERGED = """
@@ -902,7 +914,11 @@ def h4_anomalies(spark, d):
 _REPORT = (LABELED, _RUN_QUALITY, _CALIBRATION, _ANOMALIES)
 
 
-@query(f"SELECT * FROM rq LEFT JOIN cal USING ({KEY}) LEFT JOIN anomalies USING ({KEY})", *_REPORT)
+_NAMED = """
+named AS (SELECT DISTINCT subject, run, run_type, 's' || subject || 'r' || lpad(run::VARCHAR, 2, '0') || CASE WHEN run_type = 'report' THEN 'r' ELSE 'nr' END || '_preprocessed.csv' AS filename FROM g)"""
+
+
+@query(f"SELECT * FROM named JOIN rq USING ({KEY}) LEFT JOIN cal USING ({KEY}) LEFT JOIN anomalies USING ({KEY})", *_REPORT, _NAMED)
 def h5_quality_report(spark, d):
     return _listed(Q.quality_report(_labeled(spark, d))).withColumns(r6(*_ROUNDED, *_CAL))
 
@@ -976,3 +992,49 @@ def h12_event_coverage(spark, d):
 @query(f"SELECT {KEY}, floor(x / 50)::BIGINT AS bin_x, floor(y / 50)::BIGINT AS bin_y, count(*)::BIGINT AS n FROM g WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL")
 def h13_gaze_density(spark, d):
     return Q.gaze_density(samples(spark, d))
+
+
+# --- A, whole jobs
+
+_SINKS = f"""
+tr_rows AS (SELECT {KEYT}, {_COUNTS} FROM tr GROUP BY ALL),
+typed AS (SELECT DISTINCT {KEY}, run_type FROM g)"""
+
+
+@query(f"""SELECT subject, run, 'sections' AS what, 'report' AS run_type, count(*)::BIGINT AS n, sum(n_samples)::BIGINT AS a, count(*) FILTER (match)::BIGINT AS b, NULL::DOUBLE AS v FROM scored GROUP BY ALL
+UNION ALL SELECT subject, run, 'trials', 'report', count(*)::BIGINT, sum(n_samples)::BIGINT, count(*) FILTER (match)::BIGINT, NULL FROM tscored GROUP BY ALL
+UNION ALL SELECT subject, run, 'summary', 'report', 1, n_sections, n_trials, accuracy_3 FROM evaluated
+UNION ALL SELECT subject, run, 'transitions', run_type, count(*)::BIGINT, sum(n_transitions)::BIGINT, sum(n_jump)::BIGINT, NULL FROM tr_rows JOIN typed USING (subject, run) WHERE n_transitions > 0 GROUP BY ALL""", *_EVAL, _TRIAL_MEDIAN, _TRANSITIONS, _SINKS)
+def a12_evaluation_files(spark, d):
+    """Evaluation and transitions as files of each run, written and read back."""
+    path, told = _folder(spark), _reported(spark, d)
+    T.write_evaluation(_evaluated(spark, d), M.sections_to_score(told), M.sections_to_score(told, (*TRIAL, "section")).drop("first_trial"), path)
+    kinds = samples(spark, d).select(*RUN, "run_type").distinct()
+    T.write_transitions(P.transition_summary(_transitions(spark, d)).join(kinds, list(RUN)), path)
+    counted = lambda df, what, a, b: df.groupBy(*RUN, F.lit(what).alias("what"), "run_type").agg(F.count("*").alias("n"), F.sum(a).alias("a"), b.alias("b")).withColumn("v", F.lit(None).cast("double"))
+    keys = "subject long, run long, "
+    sections = T.read_run_files(spark, path, "_eval_by_section.csv", keys + "section long, first_trial long, reported string, n_samples long, inferred string, match boolean")
+    trials = T.read_run_files(spark, path, "_eval_by_trial.csv", keys + "trial long, section long, reported string, n_samples long, inferred string, match boolean")
+    summary = T.read_run_files(spark, path, "_eval_summary.json", keys + "n_sections long, n_trials long, accuracy_3 double")
+    moves = T.read_run_files(spark, path, "_transition_summary.csv", keys + "trial long, n_transitions long, n_jump long, n_spontaneous long, pct_jump double, run_type string")
+    out = counted(sections, "sections", "n_samples", F.count_if("match")).unionByName(counted(trials, "trials", "n_samples", F.count_if("match")))
+    out = out.unionByName(counted(moves, "transitions", "n_transitions", F.sum("n_jump")))
+    return out.unionByName(summary.select(*RUN, F.lit("summary").alias("what"), "run_type", F.lit(1).cast("long").alias("n"), F.col("n_sections").alias("a"), F.col("n_trials").alias("b"), F.col("accuracy_3").alias("v")))
+
+
+@query("""SELECT subject, run, 'errors' AS stage, 'no positions' AS reason FROM (SELECT DISTINCT subject, run FROM g) WHERE subject = 11 AND run = 1
+UNION ALL SELECT subject, run, 'errors', 'no parameters' FROM (SELECT DISTINCT subject, run FROM g) WHERE subject = 12
+UNION ALL SELECT subject, run, stage, NULL FROM (SELECT DISTINCT subject, run, run_type FROM g) , (VALUES ('preprocessed'), ('percepts'), ('scores'), ('events')) AS s(stage)
+WHERE NOT (subject = 11 AND run = 1) AND subject <> 12 AND (run_type = 'report' OR stage <> 'scores') AND NOT (subject = 13 AND stage = 'percepts')""")
+def a13_isolated_batch(spark, d):
+    """All stages over all runs, one of which has lost its positions; a subject has no parameters, and
+    another one's percepts are done. Runs by stage, and the broken ones."""
+    s = samples(spark, d)
+    lost = (F.col("subject") == 11) & (F.col("run") == 1)
+    s = s.withColumns({c: F.when(~lost, F.col(c)) for c in ("x", "y")})
+    done = s.filter("subject = 13").select(*RUN).distinct().withColumn("stage", F.lit("percepts"))
+    loose = {"threshold": 2.0, "coalesce_us": 9_000, "blink_padding": 1, "share": 1.0}
+    out = B.run_batch(s, stimuli(spark, d).filter("subject <> 12"), reports(spark, d), evaluate=True, events=True, cleaning=loose, isolate=True, done=done)
+    errors = out.pop("errors").withColumn("stage", F.lit("errors"))
+    out.pop("switch_events")
+    return B.manifest(out).unionByName(errors, allowMissingColumns=True)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import RUN
-from .tracker import run_info
+from .files import write_csv_files, write_json_files, write_lines
+from .tracker import run_info, run_stem
 
 SIDECAR = ("trial_us", "trial", "type", "percept", "percept3", "section", "aggregated", "reported")
+#: Names of report files: subject, run, and a suffix by which the latest is found.
+REPORT_NAME = r"sub-(\d+)_run(\d+)_report_perceptData_[^/]*\.csv$"
 REPORT_SCHEMA = "trial long, type string, percept string, onset_us long, duration_us long"
 
 
@@ -40,10 +43,23 @@ def read_runs(spark: SparkSession, path: str, schema: str, fmt: str = "parquet",
     return df if "run_type" in df.columns else df.withColumn("run_type", F.lit(None).cast("string"))
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report files (CSV named like recordings); where a run has several, the last by name."""
-    df = spark.read.schema(REPORT_SCHEMA).option("header", True).csv(path).withColumn("file", F.col("_metadata.file_path"))
-    return latest(df.withColumns(run_info(F.col("file"))), "file").drop("file", "run_type")
+def report_files(spark: SparkSession, path: str) -> DataFrame:
+    """(subject, run, path) of each run's last report file by name, from the listing alone."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*_report_perceptData_*.csv").option("recursiveFileLookup", True).load(path).select("path")
+    part = lambda i: F.regexp_extract("path", REPORT_NAME, i)
+    found = listed.filter(F.col("path").rlike(REPORT_NAME)).withColumns({"subject": part(1).cast("long"), "run": part(2).cast("long"), "_name": part(0)})
+    return found.groupBy(*RUN).agg(F.max_by("path", "_name").alias("path"))
+
+
+def read_reports(spark: SparkSession, path: str, schema: str = REPORT_SCHEMA) -> DataFrame:
+    """Report files; where a run has several, the last by name. Older files are not opened: the
+    choice is made on the listing, and the chosen paths (one a run, which the scan's file index
+    holds anyway) are read. No files give no rows."""
+    chosen = [r["path"] for r in report_files(spark, path).select("path").collect()]
+    rows = spark.read.schema(schema).option("header", True).csv(chosen) if chosen else spark.createDataFrame([], schema)
+    name = F.col("_metadata.file_path") if chosen else F.lit("")
+    part = lambda i: F.regexp_extract(name, REPORT_NAME, i).cast("long")
+    return rows.withColumns({"subject": part(1), "run": part(2)})
 
 
 def latest(df: DataFrame, file: str) -> DataFrame:
@@ -69,3 +85,38 @@ def write_events(events: DataFrame, path: str) -> None:
     """Events as tab-separated onset, duration, trial_type in order of onset, a folder a run."""
     out = events.select(*RUN, "onset", "duration", "trial_type").repartition(*RUN).sortWithinPartitions(*RUN, "onset")
     out.write.mode("overwrite").partitionBy(*RUN).option("header", True).option("sep", "\t").csv(path)
+
+
+def write_report_files(reports: DataFrame, path: str, suffix: str) -> None:
+    """Reports as one file a run under the names that read_reports looks for; `suffix` (such as a
+    time) decides between files of a run."""
+    name = F.format_string(f"sub-%d/sub-%d_run%02d_report_perceptData_{suffix}.csv", "subject", "subject", "run")
+    rows = reports.select(*RUN, "trial", "type", "percept", "onset_us", "duration_us")
+    keyed = rows.withColumn("_name", name)
+    columns = F.to_csv(F.struct("trial", "type", "percept", "onset_us", "duration_us"))
+    write_lines(keyed, path, F.col("_name"), columns, ("trial", "onset_us"), "trial,type,percept,onset_us,duration_us")
+
+
+def _of_run(what: str, kind: Column) -> Column:
+    return F.concat(run_stem(kind), F.lit(what))
+
+
+def write_evaluation(summary: DataFrame, sections: DataFrame, trials: DataFrame, path: str) -> None:
+    """A run's scores as <run>_eval_summary.json, its sections as <run>_eval_by_section.csv and its
+    sections by trial as <run>_eval_by_trial.csv. Evaluated runs are report runs."""
+    kind = F.lit("report")
+    write_json_files(summary, path, _of_run("_eval_summary.json", kind))
+    write_csv_files(sections, path, _of_run("_eval_by_section.csv", kind), ("section",))
+    write_csv_files(trials, path, _of_run("_eval_by_trial.csv", kind), ("trial", "section"))
+
+
+def write_transitions(trials: DataFrame, path: str) -> None:
+    """Transitions by trial as <run>_transition_summary.csv; trials carry their run_type."""
+    write_csv_files(trials, path, _of_run("_transition_summary.csv", F.col("run_type")), ("trial",))
+
+
+def read_run_files(spark: SparkSession, path: str, what: str, schema: str, tabs: bool = False) -> DataFrame:
+    """Files of runs whose names end with `what`, CSV or JSON, with `run_type` as the name tells it."""
+    reader = spark.read.schema(schema).option("pathGlobFilter", f"*{what}")
+    found = reader.option("multiLine", True).json(path) if what.endswith(".json") else reader.option("header", True).option("sep", "\t" if tabs else ",").csv(path)
+    return found.withColumn("run_type", run_info(F.col("_metadata.file_path"))["run_type"])

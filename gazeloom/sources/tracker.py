@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import RUN, so_far
 
 #: File names like s11r03nr.asc: subject, run, with or without reports.
-NAME = r"s(\d+)r(\d+)(nr|r)(?:_[A-Za-z]+)?\.[A-Za-z]+$"
+NAME = r"s(\d+)r(\d+)(nr|r)(?:_[A-Za-z]+)*\.[A-Za-z]+$"
 
 
 def run_info(path: Column) -> dict[str, Column]:
@@ -18,6 +18,12 @@ def run_info(path: Column) -> dict[str, Column]:
     return {"subject": part(1).cast("long"), "run": part(2).cast("long"), "run_type": F.when(part(3) == "nr", "no-report").when(part(3) == "r", "report")}
 
 
+def run_stem(run_type: Column | str = "run_type") -> Column:
+    """The name that files of a run share, such as s11r03nr (missing run types count as no report)."""
+    kind = F.col(run_type) if isinstance(run_type, str) else run_type
+    return F.format_string("s%dr%02d%s", "subject", "run", F.when(kind == "report", "r").otherwise("nr"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of recordings in their order. Files are read in splits, as Spark plans them; a line's
     number is its split's first byte plus its place there, so it grows along the file (with gaps), and `block` names
