@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.windows import RUN, TRIAL, changed, last_known, mirrored, moving_sums, run_order, running, trial_order
+from .grid import grid_search  # noqa: F401
 
 #: The pipelines of `pipelines` and the sample labels whose modes they take.
 PIPELINES = {"baseline": "percept", "no_jumps": "percept", "smoothed": "_s", "ratio": "_r0", "ratio_smoothed": "_s2"}
@@ -113,39 +114,6 @@ def pipelines(df: DataFrame, margin_us: int = 50_000, size: int = 150, delta: fl
     return out.drop("_r0", "_r2", "_s", "_s2")
 
 
-def grid_search(df: DataFrame, true: str, inferred: str, windows: tuple[int, ...] = tuple(range(200, 2001, 10)), deltas: tuple[float, ...] = (0.02, 0.05, 0.07, 0.1), threshold: float = 0.5, method: str = "uniform") -> DataFrame:
-    """(subject, run, size, delta, mismatches) of the best window and dead band: fewest
-    disagreements, then the smallest window, then the first delta. method: uniform or median, as in
-    smooth. The running sum is made once; each window is two offsets of it, and the windows of a
-    sample are rows only up to the sums of its partition."""
-    widest = max(windows)
-    value = F.struct(L.encode(F.col(inferred)).alias("p"), L.encode(F.col(true)).alias("t"))
-    rows = mirrored(df, RUN, "run_us", value, widest // 2 + 1, widest)
-    w = Window.partitionBy(*RUN).orderBy("_at")
-    p = F.col("_value.p")
-    # The median's rank follows from the counts of zeros and of values under one.
-    sums = {"uniform": {"a": p}, "median": {"a": (p < 0.5).cast("int"), "b": (p < 1).cast("int")}}.get(method)
-    if sums is None:
-        raise ValueError(f"unknown method {method}")
-    rows = rows.withColumns({f"_c{k}": running(c, w) for k, c in sums.items()})
-    edges = {}
-    for i, size in enumerate(windows):
-        for k in sums:
-            edges[f"_n{k}{i}"], edges[f"_l{k}{i}"] = F.lead(f"_c{k}", size - size // 2 - 1).over(w), F.lag(f"_c{k}", size // 2 + 1).over(w)
-    moved = lambda k, i: F.col(f"_n{k}{i}") - F.coalesce(F.col(f"_l{k}{i}"), F.lit(0))
-    if method == "uniform":
-        smoothed = [moved("a", i) / size for i, size in enumerate(windows)]
-    else:
-        smoothed = [F.when(F.lit(size // 2) < moved("a", i), 0.0).when(F.lit(size // 2) < moved("b", i), 0.5).otherwise(1.0) for i, size in enumerate(windows)]
-    rows = rows.withColumns(edges).filter("_own")
-    each = rows.select(*RUN, F.col("_value.t").alias("_t"), F.posexplode(F.array(*smoothed)).alias("_w", "_s"))
-    missed = [F.sum((L.dead_band(F.col("_s"), threshold, delta) != F.col("_t")).cast("long")).alias(f"m{j}") for j, delta in enumerate(deltas)]
-    per = each.groupBy(*RUN, "_w").agg(*missed).withColumn("_size", F.element_at(F.array(*[F.lit(size) for size in windows]), F.col("_w") + 1))
-    options = F.array(*[F.struct(F.col(f"m{j}").alias("mismatches"), F.col("_size").alias("size"), F.lit(j).alias("order"), F.lit(float(delta)).alias("delta")) for j, delta in enumerate(deltas)])
-    best = per.groupBy(*RUN).agg(F.min(F.array_min(options)).alias("_b"))
-    return best.select(*RUN, F.col("_b.size").cast("long").alias("size"), F.col("_b.delta").alias("delta"), F.col("_b.mismatches").alias("mismatches"))
-
-
 def label_transitions(df: DataFrame, column: str = "percept", jump_us: int = 200_000, window_ms: float = 400.0, rate: float = 250.0) -> DataFrame:
     """smoothed (per-trial median, odd window), transition (its label changes; never on a trial's
     first sample) and transition_type: jump_induced within the window of a section start of

@@ -126,6 +126,32 @@ def test_default_grid_is_the_references(spark, method):
     assert [tuple(r) for r in P.grid_search(df, "t", "p", method=method).collect()] == [(1, 1, best[1], best[3], best[0])]
 
 
+@pytest.mark.parametrize("method", ["uniform", "median"])
+@pytest.mark.parametrize("block", [64, 700, 65_536])
+def test_grid_search_by_changes_counts_every_sample(spark, method, block):
+    """Runs with few changes, many, none and a single sample, in blocks shorter and longer than a window;
+    every combination's best against windows over the padded series."""
+    rng, code = np.random.default_rng(11), {"house": 1.0, "face": 0.0, "mixed": 0.5, None: 0.5}
+    names = ("house", "face", "mixed", None)
+    stretch = lambda n, mean: [x for k in range(n) for x in [names[rng.integers(4)]] * (1 + int(rng.exponential(mean)))][:n]
+    runs = {1: (stretch(1500, 120), stretch(1500, 150)), 2: (stretch(400, 1), stretch(400, 2)), 3: (["face"] * 90, ["house"] * 90), 4: (["mixed"], ["face"]), 5: (stretch(1400, 300), stretch(1400, 300))}
+    rows = [(7, r, 4000 * i, t, s) for r, (true, seen) in runs.items() for i, (t, s) in enumerate(zip(true, seen))]
+    df = spark.createDataFrame(rows, "subject long, run long, run_us long, t string, p string")
+    windows, deltas, want = (1, 2, 5, 40, 333), (0.3, 0.0, 0.1), []
+    for r, (true, seen) in runs.items():
+        v, t = np.array([code[x] for x in seen]), np.array([code[x] for x in true])
+        options = []
+        for size in windows:
+            padded = np.lib.stride_tricks.sliding_window_view(np.pad(v, (size // 2, size - size // 2 - 1), mode="symmetric"), size)
+            s = padded.sum(1) / size if method == "uniform" else np.sort(padded, axis=1)[:, size // 2]
+            options += [(int((np.where(s >= 0.5 + d, 1.0, np.where(s <= 0.5 - d, 0.0, 0.5)) != t).sum()), size, j, d) for j, d in enumerate(deltas)]
+        missed, size, _, delta = min(options)
+        want.append((7, r, size, delta, missed))
+    got = P.grid_search(df, "t", "p", windows, deltas, method=method, block=block)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert P.grid_search(df.filter("false"), "t", "p", windows, deltas, method=method, block=block).isEmpty()
+
+
 @pytest.mark.parametrize("name", ["d11_full_grid_search", "d11_full_grid_search_median"])
 def test_full_grid_against_sql(spark, name):
     assert all(200 <= r["size"] <= 2000 for r in against_sql(spark, name))
