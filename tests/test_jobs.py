@@ -3,10 +3,11 @@ metrics, the low pass and the merging of epochs."""
 
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_whole import against_sql
+from test_whole import SF, against_sql
 
 from gazeloom.operators import batch as B
 from gazeloom.operators import cleaning as C
@@ -150,3 +151,21 @@ def test_metric_report(spark):
     assert got[(None, "accuracy_2")] == (3, 2, 0.75, 0.25, 0.5, 1.0)
     assert got[(None, "mcc_3")][:3] == (2, 2, pytest.approx(0.3)) and got[(1, "mcc_3")] == (1, 1, 0.2, None, 0.2, 0.2)
     assert got[(2, "accuracy_2")][:3] == (1, 1, 0.75)
+
+
+@pytest.fixture(scope="module")
+def many_users(tmp_path_factory):
+    """The smallest events twice: as they are, and by users so far on that all their y are off the screen."""
+    path = tmp_path_factory.mktemp("users")
+    duckdb.execute(f"COPY (SELECT * REPLACE (event_id + k * 1000003 AS event_id, user_id + k * 160 * 80 AS user_id) FROM '{SF}/events.parquet', (VALUES (0), (1)) AS t(k)) TO '{path}/events.parquet'")
+    return str(path)
+
+
+def test_runs_without_a_centroid_are_left_out_as_in_sql(spark, many_users):
+    assert max(r["subject"] for r in against_sql(spark, "b14_clean_chain", many_users)) < 740
+    against_sql(spark, "b10_align_to_center", many_users)
+    data = [(1, 1, 0, 900.0, 500.0, 1), (1, 1, 1, None, 500.0, 1), (1, 2, 0, 7.0, None, 1), (1, 3, 0, 7.0, 8.0, 0)]
+    df = spark.createDataFrame(data, KEY + "run_us long, x double, y double, fixation int")
+    got = lambda **k: sorted((r["run"], r["run_us"], r["x"], r["y"]) for r in C.align_to_center(df, 100.0, **k).collect())
+    assert got(uncentered=False) == [(1, 0, 960.0, 540.0), (1, 1, None, 540.0)]
+    assert got() == [*got(uncentered=False), (2, 0, 7.0, None), (3, 0, 7.0, 8.0)]
