@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.windows import RUN
 from .files import write_csv_files, write_json_files, write_lines
 from .tracker import run_info, run_stem
 
+#: Folders of runs hold so many subjects, and are named by the first one they have room for.
+FOLDER, TOGETHER = "subjects_from", 50
 SIDECAR = ("trial_us", "trial", "type", "percept", "percept3", "section", "aggregated", "reported")
 #: Names of report files: subject, run, and a suffix by which the latest is found.
 REPORT_NAME = r"sub-(\d+)_run(\d+)_report_perceptData_[^/]*\.csv$"
@@ -25,20 +28,29 @@ def require(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return df
 
 
-def write_runs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Sample tables by subject, run and, if there, run_type, so that a reader of some runs opens only
-    their folders and a run's type is known by its path."""
-    writer = df.write.partitionBy(*RUN, *(c for c in df.columns if c == "run_type")).mode("overwrite")
+def write_runs(df: DataFrame, path: str, fmt: str = "parquet", together: int = TOGETHER) -> None:
+    """Sample tables in folders of `together` subjects and, if there, run_type, so that a reader of some
+    runs opens only their folders, a run's type is known by its path, and files grow with the samples and not with
+    the number of runs. A task writes one run of each of these subjects."""
+    kinds = [c for c in df.columns if c == "run_type"]
+    folder = F.floor(F.col("subject") / together).cast("long")
+    # Reading goes by these keys as the last columns of a file, whatever their place was here.
+    rows = df.select(*[c for c in df.columns if c not in (*RUN, *kinds)], *RUN, *kinds, (folder * together).alias(FOLDER))
+    rows = rows.repartition(FOLDER, "run").sortWithinPartitions(FOLDER, *kinds, *RUN)
+    writer = rows.write.partitionBy(FOLDER, *kinds).mode("overwrite")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def read_runs(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", subjects: list[int] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """Runs written by write_runs, with run_type as the folders tell it (missing where they don't; name it
-    in the schema where they do); only the given subjects' folders are read."""
-    df = spark.read.schema(schema).option("header", True).format(fmt).load(path)
-    df = df.withColumns({k: F.col(k).cast("long") for k in RUN})
+def read_runs(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", subjects: list[int] | None = None, required: tuple[str, ...] = (), together: int = TOGETHER) -> DataFrame:
+    """Runs written by write_runs (or in a folder a run), with run_type as the folders tell it (missing
+    where they don't; name it in the schema where they do); only the given subjects' folders are read."""
+    given = StructType.fromDDL(schema).fields
+    fields = sorted(given, key=lambda f: ("run_type", "run", "subject").index(f.name) if f.name in (*RUN, "run_type") else 3, reverse=True)
+    df = spark.read.schema(StructType([*fields, StructField(FOLDER, LongType())])).option("header", True).format(fmt).load(path)
     if subjects is not None:
-        df = df.filter(F.col("subject").isin(subjects))
+        folders = sorted({s // together * together for s in subjects})
+        df = df.filter(F.col(FOLDER).isNull() | F.col(FOLDER).isin(folders)).filter(F.col("subject").isin(subjects))
+    df = df.select(*[f.name for f in given]).withColumns({k: F.col(k).cast("long") for k in RUN})
     df = require(df, (*RUN, *required))
     return df if "run_type" in df.columns else df.withColumn("run_type", F.lit(None).cast("string"))
 

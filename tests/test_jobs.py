@@ -169,3 +169,20 @@ def test_runs_without_a_centroid_are_left_out_as_in_sql(spark, many_users):
     got = lambda **k: sorted((r["run"], r["run_us"], r["x"], r["y"]) for r in C.align_to_center(df, 100.0, **k).collect())
     assert got(uncentered=False) == [(1, 0, 960.0, 540.0), (1, 1, None, 540.0)]
     assert got() == [*got(uncentered=False), (2, 0, 7.0, None), (3, 0, 7.0, 8.0)]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_files_of_runs_grow_with_samples_not_runs(spark, tmp_path, fmt):
+    """120 subjects of four runs: a folder for 50 subjects, and only folders of the asked ones are opened.
+    Folders of single runs are read as well."""
+    s = spark.range(960).select((F.col("id") % 120 + 11).alias("subject"), (F.floor(F.col("id") / 120) % 4 + 1).alias("run"), F.when(F.floor(F.col("id") / 120) % 2 == 0, "report").otherwise("no-report").alias("run_type"), (F.col("id") * 0.5).alias("x"))
+    T.write_runs(s, str(tmp_path / "new"), fmt)
+    s.write.partitionBy("subject", "run", "run_type").option("header", True).format(fmt).save(str(tmp_path / "old"))
+    assert len(list((tmp_path / "new").rglob("part-*"))) <= 3 * 4 < len(list((tmp_path / "old").rglob("part-*")))
+    want = sorted(tuple(r) for r in s.collect())
+    for name in ("new", "old"):
+        back = lambda **k: T.read_runs(spark, str(tmp_path / name), KEY + "run_type string, x double", fmt, **k)
+        assert sorted(tuple(r) for r in back().collect()) == want
+        assert sorted(tuple(r) for r in back(subjects=[12, 130]).collect()) == [r for r in want if r[0] in (12, 130)]
+    kept = T.read_runs(spark, str(tmp_path / "new"), KEY + "run_type string, x double", fmt, subjects=[130, 70])
+    assert "PartitionFilters: [(isnull(subjects_from" in kept._jdf.queryExecution().executedPlan().toString()
