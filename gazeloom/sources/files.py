@@ -1,25 +1,31 @@
-"""Files under names of their own: a data source that writes lines to the files they name.
+"""Files under names of their own: a data source that writes lines to the files they name, and reads them.
 
 Spark's own writers name files themselves. Here each row is (file, line); a task writes its files beside
 the target under unique names, and the driver moves them to their names when all tasks are done, so that a
-lost or repeated task leaves nothing behind. Only names pass through the driver.
+lost or repeated task leaves nothing behind. Reading, a task takes many files, since small ones are as many as
+runs and each costs a scan of Spark's more than its lines do. Only names pass through the driver.
 """
 
 from __future__ import annotations
 
+import io
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 _STAGING = "_temporary"
+#: What a task reads at most (a larger file is a task), and the rows of a batch.
+_FILES, _BYTES, _ROWS = 1_000, 32 << 20, 10_000
 
 
 @dataclass
@@ -62,12 +68,17 @@ class NamedFilesWriter(DataSourceArrowWriter):
         if len({name for name, _ in files}) < len(files):
             self.abort(messages)
             raise ValueError("lines of one file are in several partitions")
-        for name, where in files:
-            target = f"{root}/{name}"
-            system.create_dir(posixpath.dirname(target), recursive=True)
+        for folder in {posixpath.dirname(f"{root}/{name}") for name, _ in files}:
+            system.create_dir(folder, recursive=True)
+
+        def place(staged: tuple[str, str]) -> None:
+            target = f"{root}/{staged[0]}"
             if system.get_file_info(target).type != fs.FileType.NotFound:
                 system.delete_file(target)
-            system.move(f"{root}/{where}", target)
+            system.move(f"{root}/{staged[1]}", target)
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(place, files))
         self.abort(messages)
 
     def abort(self, messages: list[Staged | None]) -> None:
@@ -76,6 +87,51 @@ class NamedFilesWriter(DataSourceArrowWriter):
             system.delete_dir(f"{root}/{_STAGING}/{self.job}")
 
 
+@dataclass
+class Some(InputPartition):
+    """The files of one task."""
+
+    files: list[str]
+
+
+class NamedFilesReader(DataSourceReader):
+    """Rows (file, line) of the files whose names end with the option `ending`, without their first line
+    if `header` is true; with `whole` a file's text is one row. Hidden names are left out, as Spark's sources do."""
+
+    def __init__(self, options: dict):
+        self.path, self.ending = options["path"], options.get("ending", "")
+        self.header, self.whole = (str(options.get(k)).lower() == "true" for k in ("header", "whole"))
+
+    def partitions(self) -> list[Some]:
+        system, root = fs.FileSystem.from_uri(self.path)
+        hidden = lambda path: any(part[0] in "._" for part in path[len(root) :].split("/") if part)
+        found = system.get_file_info(fs.FileSelector(root, recursive=True))
+        out, held = [Some([])], 0
+        for f in sorted((f for f in found if f.type == fs.FileType.File and f.path.endswith(self.ending) and not hidden(f.path)), key=lambda f: f.path):
+            if out[-1].files and (len(out[-1].files) >= _FILES or held + f.size > _BYTES):
+                out.append(Some([]))
+                held = 0
+            out[-1].files.append(f.path)
+            held += f.size
+        return out
+
+    def _lines(self, partition: Some) -> Iterator[tuple[str, str]]:
+        system, _ = fs.FileSystem.from_uri(self.path)
+        for path in partition.files:
+            with io.TextIOWrapper(system.open_input_stream(path, compression=None), encoding="utf-8") as text:
+                if self.whole:
+                    yield path, text.read()
+                    continue
+                for i, line in enumerate(text):
+                    if i or not self.header:
+                        yield path, line.removesuffix("\n")
+
+    def read(self, partition: Some) -> Iterator[pa.RecordBatch]:
+        lines = self._lines(partition)
+        while some := list(islice(lines, _ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some)], ["file", "line"])
+
+
 class NamedFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -84,6 +140,9 @@ class NamedFiles(DataSource):
     def schema(self) -> str:
         return "file string, line string"
 
+    def reader(self, schema: StructType) -> NamedFilesReader:
+        return NamedFilesReader(self.options)
+
     def writer(self, schema: StructType, overwrite: bool) -> NamedFilesWriter:
         return NamedFilesWriter(self.options)
 
@@ -108,3 +167,9 @@ def write_csv_files(df: DataFrame, path: str, file: Column, order: tuple[str, ..
 def write_json_files(df: DataFrame, path: str, file: Column) -> None:
     """One object for each name (a row each); missing values are null."""
     write_lines(df, path, file, F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"}))
+
+
+def read_lines(spark: SparkSession, path: str, ending: str, header: bool = False, whole: bool = False) -> DataFrame:
+    """(file, line) of the files whose names end so; see NamedFilesReader."""
+    spark.dataSource.register(NamedFiles)
+    return spark.read.format("named_files").option("ending", ending).option("header", header).option("whole", whole).load(path)

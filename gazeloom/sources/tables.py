@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions.windows import RUN
-from .files import write_csv_files, write_json_files, write_lines
+from .files import read_lines, write_csv_files, write_json_files, write_lines
 from .tracker import run_info, run_stem
 
 #: Folders of runs hold so many subjects, and are named by the first one they have room for.
@@ -129,6 +129,9 @@ def write_transitions(trials: DataFrame, path: str) -> None:
 
 def read_run_files(spark: SparkSession, path: str, what: str, schema: str, tabs: bool = False) -> DataFrame:
     """Files of runs whose names end with `what`, CSV or JSON, with `run_type` as the name tells it."""
-    reader = spark.read.schema(schema).option("pathGlobFilter", f"*{what}")
-    found = reader.option("multiLine", True).json(path) if what.endswith(".json") else reader.option("header", True).option("sep", "\t" if tabs else ",").csv(path)
-    return found.withColumn("run_type", run_info(F.col("_metadata.file_path"))["run_type"])
+    if what.endswith(".json"):
+        rows = read_lines(spark, path, what, whole=True).select("file", F.explode(F.from_json("line", ArrayType(StructType.fromDDL(schema)))).alias("_r"))
+    else:
+        lines = read_lines(spark, path, what, header=True).filter(F.trim("line") != "")
+        rows = lines.select("file", F.from_csv("line", schema, {"sep": "\t" if tabs else ","}).alias("_r"))
+    return rows.select("file", "_r.*").withColumn("run_type", run_info(F.col("file"))["run_type"]).drop("file")

@@ -186,3 +186,21 @@ def test_files_of_runs_grow_with_samples_not_runs(spark, tmp_path, fmt):
         assert sorted(tuple(r) for r in back(subjects=[12, 130]).collect()) == [r for r in want if r[0] in (12, 130)]
     kept = T.read_runs(spark, str(tmp_path / "new"), KEY + "run_type string, x double", fmt, subjects=[130, 70])
     assert "PartitionFilters: [(isnull(subjects_from" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_named_files_are_read_many_a_task(spark, tmp_path):
+    """3,000 files of two kinds, and what the readers leave out: other names, hidden ones, blank lines."""
+    path = f"file://{tmp_path}/out"
+    df = spark.range(6_000).select(F.lit(12).cast("long").alias("subject"), (F.col("id") % 1500).alias("run"), F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.concat_ws(",", F.lit('é "x"'), "id")).alias("v"), F.lit("report").alias("run_type"))
+    name = lambda what: F.concat(F.lit("some/"), K.run_stem(), F.lit(what))
+    N.write_csv_files(df, path, name("_a.csv"), ("k",))
+    N.write_json_files(df.filter("k < 1500"), path, name("_a.json"))
+    (tmp_path / "out/_s12r01r_a.csv").write_text("h\n1,1,1,1,1\n")
+    (tmp_path / "out/s12r9999nr_a.csv").write_text("subject,run,k,v,run_type\r\n\n12,9999,7,,report\n")
+    schema = KEY + "k long, v string, run_type string"
+    want = {tuple(r) for r in df.collect()}
+    got = T.read_run_files(spark, path, "_a.csv", schema)
+    assert got.columns == df.columns and got.rdd.getNumPartitions() == 2
+    assert {tuple(r) for r in got.collect()} == want | {(12, 9999, 7, None, "no-report")} and got.count() == 6_001
+    assert {tuple(r) for r in T.read_run_files(spark, path, "_a.json", schema).collect()} == {r for r in want if r[2] < 1500}
+    assert T.read_run_files(spark, path, "_b.csv", schema).isEmpty()
