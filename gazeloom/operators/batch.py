@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
 def run_batch(
     samples: DataFrame, stimuli: DataFrame, reports: DataFrame | None = None, subjects: list[int] | None = None, preprocess_only: bool = False, reconstruct_only: bool = False,
     evaluate: bool = False, events: bool = False, exclude_jump_induced: bool = False, percepts: DataFrame | None = None, cleaning: dict | None = None, margin_us: int | None = 50_000, least: float = 1.75,
-    isolate: bool = False, done: DataFrame | None = None,
+    isolate: bool = False, done: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """The tables of the stages that are asked for: preprocessed, percepts, scores, events and
     switch_events, of all subjects or the given ones.
@@ -60,7 +62,11 @@ def run_batch(
 
     isolate leaves out broken runs and returns them with their reasons as `errors`, so that the
     others go on. done (subject, run, stage; see manifest) leaves out of each stage's input the
-    runs that have been through it, so that a stopped batch is taken up where it was."""
+    runs that have been through it, so that a stopped batch is taken up where it was.
+
+    settle is given the tables that several stages go on from (cleaned samples, percepts, epochs) and returns
+    them, written and read back, say: then no stage does another one's work again, and no task holds the buffers of
+    all stages. A run through which all stages are done is left out before."""
     mine = (lambda df: df) if subjects is None else (lambda df: df.filter(F.col("subject").isin(subjects)))
     whole, told = mine(samples), None if reports is None else mine(reports)
     out: dict[str, DataFrame] = {}
@@ -71,17 +77,31 @@ def run_batch(
     def open_runs(df: DataFrame, stage: str) -> DataFrame:
         return df if done is None else df.join(done.filter(F.col("stage") == stage).select(*RUN).distinct(), list(RUN), "left_anti")
 
-    def preprocessed(stage: str) -> DataFrame:
-        table = open_runs(whole, stage)
+    # All steps are run by run, so that runs that a stage has done can be left out after the steps as well as before.
+    stages = [stage for stage, asked in (("preprocessed", not reconstruct_only), ("percepts", not preprocess_only), ("scores", evaluate and not preprocess_only), ("events", events and not preprocess_only)) if asked]
+    if settle and done is not None:
+        closed = done.filter(F.col("stage").isin(stages)).groupBy(*RUN).agg(F.countDistinct("stage").alias("_n")).filter(F.col("_n") == len(stages))
+        whole = whole.join(closed.select(*RUN), list(RUN), "left_anti")
+
+    def cleaned(table: DataFrame) -> DataFrame:
         return table if reconstruct_only else C.clean(table, stimuli, **(cleaning or {}))
 
-    def labelled(stage: str) -> DataFrame:
-        table = preprocessed(stage)
+    def labels(table: DataFrame) -> DataFrame:
         known = P.labeled(table, C.parameters_as_of(table, stimuli))
         if margin_us is not None:
             known = P.aggregate_sections(P.mark_peri_jump(known, margin_us), "percept", skip_peri_jump=True)
         return known if told is None else J.report_as_of(known, told)
 
+    if settle:
+        clean_all = settle(cleaned(whole)) if stages else whole
+        known_all = clean_all if preprocess_only else settle(labels(clean_all))
+
+    def preprocessed(stage: str) -> DataFrame:
+        return open_runs(clean_all, stage) if settle else cleaned(open_runs(whole, stage))
+
+    def labelled(stage: str) -> DataFrame:
+        return open_runs(known_all, stage) if settle else labels(preprocessed(stage))
+
     if not reconstruct_only:
         out["preprocessed"] = preprocessed("preprocessed")
     if not preprocess_only:
@@ -103,6 +123,7 @@ def run_batch(
         if told is not None:
             in_table = told.join(known.select("subject", "run").distinct(), ["subject", "run"], "left_semi")
             made = made.unionByName(E.events_from_reports(in_table, offsets, known if exclude_jump_induced else None).select(*columns))
+        made = settle(made) if settle else made
         out["events"] = E.merge_short_epochs(made, least)
         out["switch_events"] = out["events"].withColumn("duration", F.lit(0.0))
     return out

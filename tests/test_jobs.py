@@ -13,6 +13,7 @@ from gazeloom.operators import batch as B
 from gazeloom.operators import cleaning as C
 from gazeloom.operators import events as E
 from gazeloom.operators import quality as Q
+from gazeloom.plans import bind, reference
 from gazeloom.sources import files as N
 from gazeloom.sources import tables as T
 from gazeloom.sources import tracker as K
@@ -204,3 +205,25 @@ def test_named_files_are_read_many_a_task(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == want | {(12, 9999, 7, None, "no-report")} and got.count() == 6_001
     assert {tuple(r) for r in T.read_run_files(spark, path, "_a.json", schema).collect()} == {r for r in want if r[2] < 1500}
     assert T.read_run_files(spark, path, "_b.csv", schema).isEmpty()
+
+
+def test_settled_batches_are_the_same_and_clean_each_run_once(spark):
+    """With done stages, one run of which is through all; tables that others go on from are settled once, and
+    their tasks have a bounded number of rows."""
+    s, p, r = (f(spark, SF) for f in (bind.samples, bind.stimuli, bind.reports))
+    seen = []
+
+    def settle(df):
+        seen.append(reference._settled(df, 100))
+        return seen[-1]
+
+    done = spark.createDataFrame([(12, 1, "percepts"), (12, 3, "events"), *[(14, 1, k) for k in ("preprocessed", "percepts", "scores", "events")]], KEY + "stage string")
+    make = lambda **k: B.run_batch(s, p, r, [12, 14], evaluate=True, events=True, cleaning={"threshold": 2.0, "coalesce_us": 9_000, "blink_padding": 1, "share": 1.0}, isolate=True, done=done, **k)
+    got, want = make(settle=settle), make()
+    assert list(got) == list(want) and len(seen) == 3
+    rows = lambda df: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in x]) for x in df.select(sorted(df.columns)).collect())
+    for stage in ("preprocessed", "percepts", "scores", "events", "errors"):
+        assert rows(got[stage]) == rows(want[stage]), stage
+    runs = {(x["subject"], x["run"]) for x in seen[0].select("subject", "run").distinct().collect()}
+    assert (12, 1) in runs and (14, 1) not in runs
+    assert seen[0].rdd.getNumPartitions() == -(-seen[0].count() // 100) > 1
